@@ -12,9 +12,18 @@ from nimbora.operators.split import days_around, join_days
 FOLD = "fold_id"
 
 
+def year_list(spark: SparkSession, years: Iterable[int]) -> DataFrame:
+    """Years to evaluate, as a table."""
+    return spark.createDataFrame([(int(y),) for y in years], "year int")
+
+
+def years_of(series: DataFrame) -> DataFrame:
+    """Calendar years a series has rows in, as a table."""
+    return series.select(F.year("date").alias("year")).distinct()
+
+
 def fold_grid(
-    spark: SparkSession,
-    years: Iterable[int],
+    years: DataFrame,
     horizon: int,
     year_min_day: int | None = None,
     year_max_day: int | None = None,
@@ -24,12 +33,11 @@ def fold_grid(
     `start_day` runs from 0 to the length of the year, inclusive, and counts from the
     last day of the year before. 0 for either bound means its default.
     """
-    listed = spark.createDataFrame([(int(y),) for y in years], "year int")
     year_end = F.make_date("year", F.lit(12), F.lit(31))
     first = F.lit(year_min_day or 0)
     past = F.lit(year_max_day) if year_max_day else F.dayofyear(year_end) + 1
     starts = F.when(past > first, F.sequence(first, past - 1, F.lit(horizon)))
-    grid = listed.select("year", F.explode(starts).alias("start_day"))
+    grid = years.select("year", F.explode(starts).alias("start_day"))
     eve = F.make_date(F.col("year") - 1, F.lit(12), F.lit(31))
     return grid.select(
         (F.col("year") * 1000 + F.col("start_day")).alias(FOLD),

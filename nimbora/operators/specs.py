@@ -48,6 +48,8 @@ class FeatureConfig:
         unknown = set(self.calendar) - set(CALENDAR)
         if unknown:
             raise ValueError(f"unknown calendar columns: {sorted(unknown)}")
+        if self.horizon < 1:
+            raise ValueError("a forecast horizon is at least one day")
 
     @property
     def warmup(self) -> int:

@@ -16,6 +16,7 @@ from nimbora.operators.folds import (
     fold_grid,
     fold_windows,
     observed_values,
+    year_list,
 )
 from nimbora.operators.learners import expanding_least_squares, importance_rows
 from nimbora.operators.metrics import (
@@ -65,7 +66,7 @@ def fold_forecasts(
     """Predictions of every fitted fold, paired with the rows that came after it."""
     inputs = base_columns(distinct_specs(configs))
     horizon = max(c.horizon for c in configs)
-    lookback = max(1, *(c.warmup for c in configs))
+    lookback = max(1, max(c.warmup for c in configs))
     windows = fold_windows(series, grid, inputs, lookback, horizon)
     if training_min_date is not None:
         # Days before the training period are no history for the recursion.
@@ -96,8 +97,6 @@ def _candidate(config: FeatureConfig, inputs: Sequence[str], lookback: int):
         config, arrays, F.col("cutoff"), fit["intercept"], fit["coefficients"]
     )
     seen = F.slice(observed_values(config.warmup), 1, config.horizon)
-    if config.horizon < 1:
-        raise ValueError("a forecast horizon is at least one day")
     candidate = F.struct(
         F.lit(config.config_id).alias("config_id"), path.alias("path"), seen.alias("observed")
     )
@@ -122,9 +121,8 @@ def run_benchmark(
     if len({c.config_id for c in configs}) != len(configs):
         raise ValueError("config ids must be distinct")
     rows = indexed(series)
-    grid = fold_grid(
-        series.sparkSession, years, configs[0].horizon, year_min_day, year_max_day
-    )
+    spark = series.sparkSession
+    grid = fold_grid(year_list(spark, years), configs[0].horizon, year_min_day, year_max_day)
     features = union_features(rows, configs)
     if training_min_date is not None:
         features = features.filter(F.col(DATE) >= F.lit(training_min_date))

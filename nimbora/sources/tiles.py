@@ -1,6 +1,7 @@
 """Backfill requests cut into tiles no longer than a given number of months."""
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from nimbora.constants import KEY
 
@@ -12,19 +13,20 @@ def backfill_tiles(requests: DataFrame, max_months: int = 6) -> DataFrame:
     starts a day later, so clamping carries on. A remainder of one single day, like a
     request with start = end, yields no tile.
     """
-    spark = requests.sparkSession
-    return spark.sql(
-        """
-        WITH RECURSIVE tiles (idema, tile, tile_start, tile_end, request_end) AS (
-          SELECT idema, 1, start, least(add_months(start, :months), end), end
-          FROM {requests} WHERE start < end
-          UNION ALL
-          SELECT idema, tile + 1, date_add(tile_end, 1),
-                 least(add_months(date_add(tile_end, 1), :months), request_end), request_end
-          FROM tiles WHERE date_add(tile_end, 1) < request_end
-        )
-        SELECT idema, tile, tile_start AS start, tile_end AS end FROM tiles
-        """,
-        args={"months": max_months},
-        requests=requests.select(KEY, "start", "end"),
+    # A tile and the day after it always cover more than `max_months` months.
+    most = F.floor(F.months_between("end", "start") / max_months).cast("int") + 1
+    starts = F.aggregate(
+        F.sequence(F.lit(1), most),
+        F.array("start"),
+        lambda tiles, _: F.concat(
+            tiles, F.array(F.date_add(F.add_months(F.element_at(tiles, -1), max_months), 1))
+        ),
+    )
+    # A recursive query would say the same but is limited in depth and total rows.
+    tiles = requests.filter(F.col("start") < F.col("end")).select(
+        KEY, F.col("end").alias("_last"), F.posexplode(starts).alias("_pos", "start")
+    )
+    tile_end = F.least(F.add_months("start", max_months), F.col("_last"))
+    return tiles.filter(F.col("start") < F.col("_last")).select(
+        KEY, (F.col("_pos") + 1).alias("tile"), "start", tile_end.alias("end")
     )
