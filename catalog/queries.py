@@ -7,14 +7,29 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nimbora.constants import BASE_COLUMNS, DATE, DAY, KEY, METRIC_FIELDS, TARGET, WIND_DIRECTION
+from nimbora.constants import (
+    BASE_COLUMNS,
+    DATE,
+    DAY,
+    KEY,
+    METRIC_FIELDS,
+    SEED,
+    TARGET,
+    WIND_DIRECTION,
+)
 from nimbora.functions.calendar import CALENDAR, calendar_columns
 from nimbora.functions.scoring import severity
 from nimbora.operators import metrics
 from nimbora.operators.asof import asof_features, features_at
 from nimbora.operators.blocks import ROW_INDEX
 from nimbora.operators.bulk import bulk_features, feature_table, short_stations
-from nimbora.operators.clean import clean_daily, parse_records, station_means, unreadable_readings
+from nimbora.operators.clean import (
+    clean_daily,
+    parse_records,
+    raw_fields,
+    station_means,
+    unreadable_readings,
+)
 from nimbora.operators.folds import (
     FOLD,
     dense_history,
@@ -24,6 +39,7 @@ from nimbora.operators.folds import (
     test_rows,
     years_of,
 )
+from nimbora.operators.learners import fit_boosted_trees, fit_tweedie
 from nimbora.operators.recursion import as_predictions, linear_path
 from nimbora.operators.seasonality import seasonality
 from nimbora.operators.specs import (
@@ -44,9 +60,17 @@ from nimbora.operators.split import (
 )
 from nimbora.operators.upsert import latest_records, upsert_counts
 from nimbora.plans.benchmark import run_benchmark
+from nimbora.plans.predict import (
+    chart_table,
+    fit_at,
+    forecast_from_bundle,
+    predict_dates,
+    run_prediction,
+)
+from nimbora.plans.search import explore_configs
 from nimbora.session import scratch_path
 from nimbora.sources.adapter import daily_series, region_records, supplier_records
-from nimbora.sources.bundle import check_manifests
+from nimbora.sources.bundle import Manifest, check_manifests, load_bundle, save_bundle
 from nimbora.sources.records import to_json_text
 from nimbora.sources.shards import read_lines, read_shards, read_shards_tolerant
 from nimbora.sources.sinks import write_json_lines
@@ -359,24 +383,26 @@ def fold_rows(spark, sf_dir):
     return counted.join(grid, FOLD).select(KEY, FOLD, "year", "start_day", "cutoff", "n")
 
 
-def _standin(series: DataFrame, lag: int = 14, by_date: bool = False) -> DataFrame:
-    """Predictions of the naive learner: the value exactly `lag` days before."""
+def _standin(series: DataFrame, lags=(14,), by_date: bool = False) -> DataFrame:
+    """Predictions of naive learners, one per lag: the value exactly `lag` days before."""
     grid = _grid(series)
     actual = test_rows(series, grid, HORIZON).select(
         KEY, FOLD, DATE, F.col(TARGET).alias("actual")
     )
+    config = F.format_string("lag_%d", "lag").alias("config_id")
+    lag = F.explode(F.array(*[F.lit(n) for n in lags])).alias("lag")
     folds = actual.select(KEY, FOLD).distinct().join(grid, FOLD)
-    ahead = days_around(folds, -1, HORIZON).withColumnRenamed("offset", "step")
-    past = series.select(
-        KEY, F.date_add(DATE, lag).alias(DATE), F.col(TARGET).alias("past")
+    ahead = days_around(folds.select("*", lag), -1, HORIZON).select("*", config)
+    past = series.select(KEY, DATE, F.col(TARGET).alias("past"), lag).select(
+        KEY, config, F.date_add(DATE, F.col("lag")).alias(DATE), "past"
     )
-    forecast = ahead.join(past, [KEY, DATE], "left").select(
-        F.lit(f"lag_{lag}").alias("config_id"),
+    forecast = ahead.join(past, [KEY, "config_id", DATE], "left").select(
+        "config_id",
         KEY,
         FOLD,
         "year",
         "cutoff",
-        "step",
+        F.col("offset").alias("step"),
         DATE,
         F.coalesce("past", F.lit(0.0)).alias("prediction"),
     )
@@ -446,9 +472,7 @@ def leaderboard_topk(spark, sf_dir):
     """Four naive learners ranked per station, best 60% kept."""
     series = _regions(spark, sf_dir)
     lags = (14, 16, 18, 20)
-    predictions = _standin(series, lags[0])
-    for lag in lags[1:]:
-        predictions = predictions.unionByName(_standin(series, lag))
+    predictions = _standin(series, lags)
     ranked = metrics.leaderboard(metrics.cv_summary(metrics.fold_metrics(predictions)))
     return _rounded(metrics.best_share(ranked, len(lags), 0.6), "mae", "mae_std", "rain_error")
 
@@ -502,6 +526,63 @@ def default_benchmark(spark, sf_dir):
     return report.summary
 
 
+def date_forecasts(spark, sf_dir):
+    """Least-squares forecasts from two given first days, with bands and levels."""
+    series = _regions(spark, sf_dir, DEFAULT_CONFIG.inputs)
+    return chart_table(predict_dates(series, [date(1998, 3, 14), date(2000, 2, 26)]))
+
+
+def _pooled(spark, sf_dir):
+    return _regions(spark, sf_dir, DEFAULT_CONFIG.inputs)
+
+
+FEW_TREES = partial(fit_boosted_trees, maxIter=5)
+LAST_TRAINING_DAY = date(1999, 6, 30)
+
+
+def gbt_forecast(spark, sf_dir):
+    """Boosted trees fitted on all stations, forecasting each of them."""
+    return run_prediction(_pooled(spark, sf_dir), LAST_TRAINING_DAY, learner=FEW_TREES)
+
+
+def tweedie_forecast(spark, sf_dir):
+    return run_prediction(_pooled(spark, sf_dir), LAST_TRAINING_DAY, learner=fit_tweedie)
+
+
+def feature_importance(spark, sf_dir):
+    model = fit_at(_pooled(spark, sf_dir), DEFAULT_CONFIG, LAST_TRAINING_DAY, FEW_TREES)
+    return model.importances(spark)
+
+
+def bundle_roundtrip(spark, sf_dir):
+    """Fit, save, load, and forecast from the trailing window of the stored records."""
+    records = latest_records(
+        region_records(spark, sf_dir), columns=raw_fields(DEFAULT_CONFIG.inputs)
+    )
+    series = clean_daily(records, row_index=True, columns=DEFAULT_CONFIG.inputs)
+    fitted = fit_at(series, DEFAULT_CONFIG, LAST_TRAINING_DAY, FEW_TREES)
+    manifest = Manifest(
+        model_name=fitted.name,
+        seed=SEED,
+        min_date=date(1995, 1, 1),
+        max_date=LAST_TRAINING_DAY,
+        forecast_horizon=HORIZON,
+        feature_columns=fitted.feature_columns,
+        additional_date_features=list(DEFAULT_CONFIG.calendar),
+    )
+    path = scratch_path(spark, "bundle")
+    save_bundle(spark, fitted, manifest, path)
+    loaded, checked = load_bundle(spark, path)
+    return forecast_from_bundle(records, loaded, checked, DEFAULT_CONFIG)
+
+
+def config_search(spark, sf_dir):
+    """The default and three random feature sets, best 20% per station."""
+    series = _regions(spark, sf_dir, BASE_COLUMNS)
+    _, best = explore_configs(series, [DEFAULT_CONFIG], 3, years=range(1999, 2001))
+    return best
+
+
 # --- manifests --------------------------------------------------------------
 
 
@@ -589,5 +670,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ols_summary": ols_summary,
     "ols_importance": ols_importance,
     "default_benchmark": default_benchmark,
+    "date_forecasts": date_forecasts,
+    "gbt_forecast": gbt_forecast,
+    "tweedie_forecast": tweedie_forecast,
+    "feature_importance": feature_importance,
+    "bundle_roundtrip": bundle_roundtrip,
+    "config_search": config_search,
     "manifest_validate": manifest_validate,
 }

@@ -11,6 +11,7 @@ from datetime import date
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
 from pyspark.sql import DataFrame
@@ -168,9 +169,15 @@ class FittedModel:
         )
 
 
-def _assembled(train: DataFrame, config: FeatureConfig) -> DataFrame:
+def _fit(estimator, train: DataFrame, config: FeatureConfig):
+    """Fit on assembled rows; they are held while the estimator iterates over them."""
     assembler = VectorAssembler(inputCols=config.columns, outputCol="features")
-    return assembler.transform(train).select("features", F.col(TARGET).alias("label"))
+    rows = assembler.transform(train).select("features", F.col(TARGET).alias("label"))
+    rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return estimator.fit(rows)
+    finally:
+        rows.unpersist()
 
 
 # Rounds, learning rate, depth, row share, column share, rows per leaf.
@@ -193,7 +200,7 @@ def fit_boosted_trees(
     Squared loss: MLlib trees have no Tweedie objective. `fit_tweedie` has it.
     """
     trees = GBTRegressor(**{**TREE_DEFAULTS, "seed": seed, **params})
-    return FittedModel("BoostedTrees", trees.fit(_assembled(train, config)), config.columns)
+    return FittedModel("BoostedTrees", _fit(trees, train, config), config.columns)
 
 
 def fit_tweedie(train: DataFrame, config: FeatureConfig, **params) -> FittedModel:
@@ -207,7 +214,7 @@ def fit_tweedie(train: DataFrame, config: FeatureConfig, **params) -> FittedMode
             **params,
         }
     )
-    model = glm.fit(_assembled(train, config))
+    model = _fit(glm, train, config)
     (sd,) = train.agg(
         F.array(*[F.coalesce(F.stddev_samp(c), F.lit(0.0)) for c in config.columns]).alias("sd")
     ).collect()
