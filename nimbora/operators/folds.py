@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nimbora.constants import KEY, TARGET
+from nimbora.functions.arrays import let
 from nimbora.operators.blocks import ROW_INDEX
 from nimbora.operators.split import days_around, join_days
 
@@ -85,15 +86,14 @@ def dense_history(inputs: Sequence[str], lookback: int, warmup: int = 0) -> dict
     are not history either.
     """
     kept = F.filter("history", lambda e: e[ROW_INDEX] > warmup)
-    entries = F.transform(kept, lambda e: F.struct(e["offset"].alias("k"), e.alias("v")))
-    by_offset = F.coalesce(
-        F.map_from_entries(entries),
-        F.map_from_entries(F.slice(entries, 1, 0)),
-    )
     offsets = F.sequence(F.lit(-lookback + 1), F.lit(0))
 
     def values(column: str) -> Column:
-        return F.transform(offsets, lambda k: F.try_element_at(by_offset, k)[column])
+        entries = F.transform(kept, lambda e: F.struct(e["offset"], e[column]))
+        return let(
+            F.map_from_entries(entries),
+            lambda by_offset: F.transform(offsets, lambda k: F.try_element_at(by_offset, k)),
+        )
 
     return {c: values(c) for c in inputs}
 

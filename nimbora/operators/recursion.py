@@ -13,33 +13,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nimbora.constants import DATE, TARGET
+from nimbora.functions.arrays import array_mean, array_std, array_sum, let
 from nimbora.functions.calendar import CALENDAR
 from nimbora.functions.scoring import non_negative
 from nimbora.operators.specs import LAG, FeatureConfig, Spec
 
+
 def _missing() -> Column:
     return F.lit(None).cast("double")
 
 
-def _moments(values: Column) -> Column:
-    """(n, mean, m2) of the non-NULL values in one pass."""
-    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
-
-    def add(acc: Column, x: Column) -> Column:
-        step = x - acc["mean"]
-        n = acc["n"] + 1
-        grown = F.struct(
-            n.alias("n"),
-            (acc["mean"] + step / n).alias("mean"),
-            (acc["m2"] + step * step * acc["n"] / n).alias("m2"),
-        )
-        return F.when(x.isNull(), acc).otherwise(grown)
-
-    return F.aggregate(values, start, add)
-
-
-def _total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
+# Statistic of a non-empty array, and how many values it needs.
+STATISTICS = {
+    "mean": (array_mean, 1),
+    "std": (array_std, 2),
+    "max": (F.array_max, 1),
+    "min": (F.array_min, 1),
+    "sum": (array_sum, 1),
+}
 
 
 def state_feature(spec: Spec, arrays: dict[str, Column]) -> Column:
@@ -52,27 +43,16 @@ def state_feature(spec: Spec, arrays: dict[str, Column]) -> Column:
     if spec.kind == LAG:
         present = F.element_at(target, -spec.window).isNotNull()
         return F.when(present, F.element_at(values, -spec.window)).otherwise(F.lit(0.0))
-    frame = F.slice(values, -spec.window, spec.window)
-    if spec.kind == "sum":
-        return _total(frame)
-    days = F.slice(target, -spec.window, spec.window)
-    if spec.kind in ("max", "min"):
-        extreme = F.array_max(frame) if spec.kind == "max" else F.array_min(frame)
-        if spec.column == TARGET:
-            return F.coalesce(extreme, F.lit(0.0))
-        return F.when(F.size(F.array_compact(days)) > 0, extreme).otherwise(F.lit(0.0))
-    needed = 2 if spec.kind == "std" else 1
-
-    def statistic(acc: Column) -> Column:
-        if spec.kind == "mean":
-            return F.when(acc["n"] > 0, acc["mean"])
-        return F.when(acc["n"] > 1, F.sqrt(acc["m2"] / (acc["n"] - 1)))
-
-    # A one-element transform names the moments so they are computed once.
-    result = F.transform(F.array(_moments(frame)), statistic)[0]
-    if spec.column == TARGET:
-        return F.coalesce(result, F.lit(0.0))
-    return F.when(F.size(F.array_compact(days)) < needed, F.lit(0.0)).otherwise(result)
+    statistic, needed = STATISTICS[spec.kind]
+
+    def of_frame(seen: Column) -> Column:
+        return F.when(F.size(seen) >= needed, statistic(seen))
+
+    derived = let(F.array_compact(F.slice(values, -spec.window, spec.window)), of_frame)
+    if spec.column == TARGET or spec.kind == "sum":
+        return F.coalesce(derived, F.lit(0.0))
+    days = F.size(F.array_compact(F.slice(target, -spec.window, spec.window)))
+    return F.when(days < needed, F.lit(0.0)).otherwise(derived)
 
 
 def step_inputs(config: FeatureConfig, arrays: dict[str, Column], date: Column) -> list[Column]:

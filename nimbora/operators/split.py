@@ -34,8 +34,15 @@ def days_around(cutoffs: DataFrame, before: int, after: int) -> DataFrame:
 
 
 def join_days(rows: DataFrame, days: DataFrame) -> DataFrame:
-    """Rows on the given days, of the given station if the days name one."""
-    return rows.join(days, [KEY, DATE] if KEY in days.columns else [DATE])
+    """Rows on the given days, of the given station if the days name one.
+
+    Days that name no station come from a grid of cutoffs. Its size is configuration
+    (folds x days per fold, some 80,000 rows for 75 years), so it is broadcast and the
+    series stays where it is.
+    """
+    if KEY in days.columns:
+        return rows.join(days, [KEY, DATE])
+    return rows.join(F.broadcast(days), DATE)
 
 
 def context_slice(rows: DataFrame, cutoffs: DataFrame, horizon: int, days: int = 30) -> DataFrame:

@@ -4,10 +4,11 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nimbora.constants import BENCHMARK_YEARS, DATE, KEY
+from nimbora.functions.arrays import let
 from nimbora.functions.calendar import calendar_columns
 from nimbora.operators.bulk import bulk_features, indexed
 from nimbora.operators.folds import (
@@ -71,7 +72,7 @@ def fold_forecasts(
     if training_min_date is not None:
         # Days before the training period are no history for the recursion.
         first = F.datediff(F.lit(training_min_date), F.col("cutoff"))
-        windows = windows.join(grid.select(FOLD, "cutoff"), FOLD).select(
+        windows = windows.join(F.broadcast(grid.select(FOLD, "cutoff")), FOLD).select(
             KEY,
             FOLD,
             F.filter("history", lambda e: e["offset"] >= first).alias("history"),
@@ -79,28 +80,35 @@ def fold_forecasts(
         )
     fit = F.struct("intercept", "coefficients")
     by_config = F.map_from_entries(F.collect_list(F.struct("config_id", fit.alias("fit"))))
-    folds = fits.groupBy(KEY, "cutoff").agg(by_config.alias("fits")).join(grid, "cutoff")
+    folds = fits.groupBy(KEY, "cutoff").agg(by_config.alias("fits")).join(
+        F.broadcast(grid), "cutoff"
+    )
     state = folds.join(windows, [KEY, FOLD], "left")
-    candidates = [_candidate(c, inputs, lookback) for c in configs]
+    candidates = [_candidate(c, lookback) for c in configs]
     paths = state.select(
         KEY, FOLD, "year", "cutoff", F.inline(F.array_compact(F.array(*candidates)))
     )
     return as_predictions(paths)
 
 
-def _candidate(config: FeatureConfig, inputs: Sequence[str], lookback: int):
+def _candidate(config: FeatureConfig, lookback: int) -> Column:
     """(config_id, path, observed) of one config over a state row, NULL if it has no fit."""
     fit = F.try_element_at("fits", F.lit(config.config_id))
-    used = base_columns(config.specs)
-    arrays = dense_history(used, lookback, config.warmup)
-    path = linear_path(
-        config, arrays, F.col("cutoff"), fit["intercept"], fit["coefficients"]
-    )
+    arrays = dense_history(base_columns(config.specs), lookback, config.warmup)
     seen = F.slice(observed_values(config.warmup), 1, config.horizon)
-    candidate = F.struct(
-        F.lit(config.config_id).alias("config_id"), path.alias("path"), seen.alias("observed")
-    )
-    return F.when(fit.isNotNull(), candidate)
+
+    def forecast(found: Column) -> Column:
+        path = linear_path(
+            config, arrays, F.col("cutoff"), found["intercept"], found["coefficients"]
+        )
+        candidate = F.struct(
+            F.lit(config.config_id).alias("config_id"),
+            path.alias("path"),
+            seen.alias("observed"),
+        )
+        return F.when(found.isNotNull(), candidate)
+
+    return let(fit, forecast)
 
 
 def run_benchmark(
