@@ -58,8 +58,9 @@ def check_manifests(manifests: DataFrame, text: str = "text") -> DataFrame:
         return F.try_variant_get(F.col("_v"), f"$.{field}", as_type)
 
     def texts(field: str) -> Column:
-        empty = F.size(_at(field, "array<variant>")) == 0
-        return (kind(field) == "ARRAY<STRING>") | (kind(field).startswith("ARRAY") & empty)
+        elements = _at(field, "array<variant>")
+        all_texts = F.forall(elements, lambda e: F.schema_of_variant(e) == "STRING")
+        return kind(field).startswith("ARRAY") & F.coalesce(all_texts, F.lit(False))
 
     def bad_day(field: str) -> Column:
         return F.try_to_date(_at(field, "string"), "yyyy-MM-dd").isNull()
