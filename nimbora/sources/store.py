@@ -11,7 +11,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nimbora.constants import DAY, KEY
+from nimbora.constants import DATE, DAY, KEY
+from nimbora.operators.split import days_around
 from nimbora.operators.upsert import keyed, latest_records, merge_records
 from nimbora.session import materialize
 from nimbora.sources.records import RECORD_COLUMNS
@@ -116,9 +117,11 @@ class RecordStore:
         )
 
     def _merged(self, incoming: DataFrame, arrival: str) -> DataFrame:
-        # The touched folders are a small set: at most buckets x years.
-        touched = self._placed(incoming).select(*LAYOUT).distinct()
-        stored = self._read().join(touched, list(LAYOUT), "left_semi").drop(*LAYOUT)
+        # Folder names the batch touches, at most buckets x years. As literals they prune
+        # the scan of the store to those folders.
+        folder = F.concat_ws("/", *LAYOUT)
+        touched = self._placed(incoming).select(folder.alias("folder")).distinct().collect()
+        stored = self._read().filter(folder.isin([r.folder for r in touched])).drop(*LAYOUT)
         merged = self._placed(merge_records(stored, incoming, arrival))
         # Written aside first: the folders it was read from are about to be replaced.
         return materialize(merged, "upsert")
@@ -134,19 +137,16 @@ def _complete(records: DataFrame) -> DataFrame:
     return records
 
 
-def trailing_window(
-    records: DataFrame, lookback_days: int, end: Column | None = None
-) -> DataFrame:
-    """Last `lookback_days` + 1 days of every station at once, up to its last day or `end`."""
-    last = records.groupBy(KEY).agg(F.max(DAY).alias("_last"))
-    end_day = F.coalesce(end, F.col("_last")) if end is not None else F.col("_last")
-    first = F.date_sub(F.to_date(end_day), lookback_days).cast("string")
-    bounds = last.select(KEY, first.alias("_first"), end_day.cast("string").alias("_end"))
-    return (
-        records.join(bounds, KEY)
-        .filter(F.col(DAY).between(F.col("_first"), F.col("_end")))
-        .drop("_first", "_end")
-    )
+def trailing_window(records: DataFrame, lookback_days: int, end: date | None = None) -> DataFrame:
+    """Last `lookback_days` + 1 days of every station at once, up to its last day or `end`.
+
+    Each station's window is spread to its days: the join key is then (station, day) and
+    a station with very many records does not meet in one task.
+    """
+    last = records.groupBy(KEY).agg(F.to_date(F.max(DAY)).alias("cutoff"))
+    if end is not None:
+        last = last.select(KEY, F.lit(end).alias("cutoff"))
+    return inference_window(records, last, lookback_days, 0).drop("cutoff")
 
 
 def inference_window(
@@ -156,8 +156,6 @@ def inference_window(
 
     A cutoff is spread to its days, so this is an equi-join on (station, day).
     """
-    offsets = F.explode(F.sequence(F.lit(-lookback_days), F.lit(horizon))).alias("_offset")
-    days = cutoffs.select(KEY, "cutoff", offsets).select(
-        KEY, "cutoff", F.date_add("cutoff", F.col("_offset")).cast("string").alias(DAY)
-    )
-    return records.join(days, [KEY, DAY])
+    days = days_around(cutoffs.select(KEY, "cutoff"), lookback_days, horizon)
+    wanted = days.select(KEY, "cutoff", F.col(DATE).cast("string").alias(DAY))
+    return records.join(wanted, [KEY, DAY])
