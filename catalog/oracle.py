@@ -265,7 +265,7 @@ walk as (
 _SMALL = f"""
 rows_ as (select *, {_bulk_lag("precipitation", 14)} x, cast(dayofyear(date) as double) d
   from clean qualify rn > 14),
-small_grid as (select * from grid where year between {YEARS[0]} and {YEARS[-1]}),
+small_grid as (%s),
 moments as (
   select r.idema, g.fold_id, g.year, g.cutoff,
          avg(x) mx, avg(d) md, avg(precipitation) my,
@@ -290,6 +290,10 @@ small_pred as (
   left join small_tests t on t.idema = f.idema and t.fold_id = f.fold_id and t.step = f.step),
 small_pairs as (select * from small_pred where actual is not null)"""
 
+_YEAR_GRID = f"select * from grid where year between {YEARS[0]} and {YEARS[-1]}"
+_DAY_GRID = """select fold_id, year(cutoff) as year, cutoff
+  from (values (1, date '1998-03-13'), (2, date '2000-02-25')) v(fold_id, cutoff)"""
+
 _DEFECTS = {
     1: "Unsupported manifest version: 99",
     2: "manifest.version must be an int",
@@ -309,7 +313,7 @@ def _clean_columns() -> str:
 def oracle_sql() -> dict[str, str]:
     latest = _with() + f"\nselect {_KEYS} from latest"
     scores = _clean(_GRID, _standin(14), _scores("pairs_14"))
-    small = _clean(_GRID, _SMALL)
+    small = _clean(_GRID, _SMALL % _YEAR_GRID)
     six_scores = "round(mae + 1.37e-8, 6) mae, round(rain_error + 1.37e-8, 6) rain_error"
     texts = {
         "upsert_latest": latest,
@@ -443,6 +447,10 @@ select idema, round(rain_error + 1.37e-8, 6) custom_rain_error, round(mae + 1.37
 from scores""",
         "cv_summary": _clean(_GRID, _standin(14), _scores("pairs_14"), _SUMMARY)
         + f"\nselect config_id, idema, {six_scores}, round(mae_std + 1.37e-8, 6) mae_std from summary",
+        "residuals": _clean(_GRID, _standin(14), base=_LINES)
+        + """
+select idema, fold_id, cast(step as int) step, round(actual - prediction + 1.37e-8, 6) residual
+from pairs_14""",
         "residual_spread": _clean(_GRID, _standin(14))
         + """
 select config_id, idema, cast(step as int) step, round(stddev_pop(actual - prediction) + 1.37e-8, 6) sd
@@ -498,7 +506,20 @@ where w.step > 0""",
         + """
 select idema, fold_id, step, date, round(prediction + 1.37e-8, 5) prediction, round(actual + 1.37e-8, 5) actual
 from small_pred""",
-        "ols_summary": _clean(_GRID, _SMALL, _scores("small_pairs"), _SUMMARY)
+        "date_forecasts": _clean(
+            _GRID,
+            _SMALL % _DAY_GRID,
+            _SPREAD,
+            """bands as (select p.*, greatest(prediction - sd, 0e0) lo, prediction + sd hi
+  from small_pred p join spread s on s.step = p.step)""",
+        )
+        + f"""
+select idema, cutoff, step, date, round(prediction + 1.37e-8, 5) prediction,
+       round(actual + 1.37e-8, 5) actual, round(lo + 1.37e-8, 5) lower_band,
+       round(hi + 1.37e-8, 5) upper_band, {_LEVEL.format("prediction")} as level,
+       {_LEVEL.format("lo")} lower_level, {_LEVEL.format("hi")} upper_level
+from bands""",
+        "ols_summary": _clean(_GRID, _SMALL % _YEAR_GRID, _scores("small_pairs"), _SUMMARY)
         + """
 select config_id, idema, round(mae + 1.37e-8, 5) mae, round(mae_std + 1.37e-8, 5) mae_std,
        round(rain_error + 1.37e-8, 5) rain_error

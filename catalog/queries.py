@@ -1,7 +1,7 @@
 """Spark side: one callable per query, each over whole tables."""
 
 from collections.abc import Callable
-from datetime import date
+from datetime import date, timedelta
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +13,6 @@ from nimbora.constants import (
     DAY,
     KEY,
     METRIC_FIELDS,
-    SEED,
     TARGET,
     WIND_DIRECTION,
 )
@@ -62,6 +61,7 @@ from nimbora.operators.upsert import latest_records, upsert_counts
 from nimbora.plans.benchmark import run_benchmark
 from nimbora.plans.predict import (
     chart_table,
+    export_model,
     fit_at,
     forecast_from_bundle,
     predict_dates,
@@ -70,7 +70,7 @@ from nimbora.plans.predict import (
 from nimbora.plans.search import explore_configs
 from nimbora.session import scratch_path
 from nimbora.sources.adapter import daily_series, region_records, supplier_records
-from nimbora.sources.bundle import Manifest, check_manifests, load_bundle, save_bundle
+from nimbora.sources.bundle import check_manifests, load_bundle
 from nimbora.sources.records import to_json_text
 from nimbora.sources.shards import read_lines, read_shards, read_shards_tolerant
 from nimbora.sources.sinks import write_json_lines
@@ -435,6 +435,11 @@ def cv_summary(spark, sf_dir):
     return _rounded(metrics.cv_summary(folds), "mae", "mae_std", "rain_error")
 
 
+def residual_rows(spark, sf_dir):
+    rows = metrics.residuals(_standin(_suppliers(spark, sf_dir)))
+    return _rounded(rows.select(KEY, FOLD, "step", "residual"), "residual")
+
+
 def residual_spread(spark, sf_dir):
     spread = metrics.residual_spread(_standin(_regions(spark, sf_dir)))
     return _rounded(spread, "sd")
@@ -528,8 +533,11 @@ def default_benchmark(spark, sf_dir):
 
 def date_forecasts(spark, sf_dir):
     """Least-squares forecasts from two given first days, with bands and levels."""
-    series = _regions(spark, sf_dir, DEFAULT_CONFIG.inputs)
-    return chart_table(predict_dates(series, [date(1998, 3, 14), date(2000, 2, 26)]))
+    first_days = [date(1998, 3, 14), date(2000, 2, 26)]
+    shown = chart_table(predict_dates(_regions(spark, sf_dir), first_days, SMALL_CONFIG))
+    columns = ("prediction", "actual", "lower_band", "upper_band")
+    kept = shown.select(KEY, "cutoff", "step", DATE, *columns, "level", "lower_level", "upper_level")
+    return _rounded(kept, *columns, places=5)
 
 
 def _pooled(spark, sf_dir):
@@ -560,18 +568,8 @@ def bundle_roundtrip(spark, sf_dir):
         region_records(spark, sf_dir), columns=raw_fields(DEFAULT_CONFIG.inputs)
     )
     series = clean_daily(records, row_index=True, columns=DEFAULT_CONFIG.inputs)
-    fitted = fit_at(series, DEFAULT_CONFIG, LAST_TRAINING_DAY, FEW_TREES)
-    manifest = Manifest(
-        model_name=fitted.name,
-        seed=SEED,
-        min_date=date(1995, 1, 1),
-        max_date=LAST_TRAINING_DAY,
-        forecast_horizon=HORIZON,
-        feature_columns=fitted.feature_columns,
-        additional_date_features=list(DEFAULT_CONFIG.calendar),
-    )
     path = scratch_path(spark, "bundle")
-    save_bundle(spark, fitted, manifest, path)
+    export_model(series, path, LAST_TRAINING_DAY + timedelta(days=1), learner=FEW_TREES)
     loaded, checked = load_bundle(spark, path)
     return forecast_from_bundle(records, loaded, checked, DEFAULT_CONFIG)
 
@@ -659,6 +657,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fold_scores_by_date": fold_scores_by_date,
     "window_report": window_report,
     "cv_summary": cv_summary,
+    "residuals": residual_rows,
     "residual_spread": residual_spread,
     "forecast_band": forecast_band,
     "severity_levels": severity_levels,

@@ -29,6 +29,7 @@ from nimbora.operators.metrics import (
 )
 from nimbora.operators.recursion import as_predictions, linear_path
 from nimbora.operators.specs import FeatureConfig, base_columns, distinct_specs
+from nimbora.session import materialize
 from nimbora.sources.sinks import write_table
 
 
@@ -118,11 +119,14 @@ def run_benchmark(
     training_min_date: date | None = None,
     year_min_day: int | None = None,
     year_max_day: int | None = None,
+    keep: bool = False,
 ) -> BenchmarkReport:
     """Refit per cutoff, forecast, score and summarise each config on each station.
 
     The learner is least squares, whose refits share one pass over the data. Configs of
-    one call must agree on the horizon, because the fold grid steps by it.
+    one call must agree on the horizon, because the fold grid steps by it. `keep` writes
+    fits and predictions to shared storage, so that reading several of the result tables
+    does the work once.
     """
     if len({c.horizon for c in configs}) != 1:
         raise ValueError("configs of one benchmark must share the forecast horizon")
@@ -135,7 +139,11 @@ def run_benchmark(
     if training_min_date is not None:
         features = features.filter(F.col(DATE) >= F.lit(training_min_date))
     fits = expanding_least_squares(features, grid, configs)
+    if keep:
+        fits = materialize(fits, "fits")
     predictions = fold_forecasts(rows, fits, grid, configs, training_min_date)
+    if keep:
+        predictions = materialize(predictions, "predictions")
     folds = fold_metrics(predictions)
     summary = cv_summary(folds)
     return BenchmarkReport(

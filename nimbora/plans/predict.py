@@ -6,7 +6,7 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nimbora.constants import DATE, HORIZON, KEY
+from nimbora.constants import DATE, HORIZON, KEY, SEED
 from nimbora.operators.blocks import ROW_INDEX
 from nimbora.operators.bulk import feature_table, indexed
 from nimbora.operators.clean import clean_daily
@@ -22,7 +22,7 @@ from nimbora.operators.metrics import default_spread, forecast_bands, window_met
 from nimbora.operators.recursion import as_predictions, transform_path
 from nimbora.operators.specs import DEFAULT_CONFIG, LOOKBACK_DAYS, FeatureConfig
 from nimbora.plans.benchmark import fold_forecasts, union_features
-from nimbora.sources.bundle import Manifest
+from nimbora.sources.bundle import Manifest, save_bundle
 
 Learner = Callable[[DataFrame, FeatureConfig], FittedModel]
 
@@ -121,6 +121,32 @@ def predict_dates_with(
     return together
 
 
+def export_model(
+    series: DataFrame,
+    path: str,
+    prediction_date: date | None = None,
+    config: FeatureConfig = DEFAULT_CONFIG,
+    learner: Learner = fit_boosted_trees,
+    seed: int = SEED,
+) -> Manifest:
+    """Fit on everything before `prediction_date`, or on all rows, and save a bundle."""
+    table = feature_table(series, config)
+    bounds = table.agg(F.min(DATE).alias("first"), F.max(DATE).alias("last")).first()
+    cutoff = bounds.last if prediction_date is None else prediction_date - timedelta(days=1)
+    fitted = learner(table.filter(F.col(DATE) <= F.lit(cutoff)), config)
+    manifest = Manifest(
+        model_name=fitted.name,
+        seed=seed,
+        min_date=bounds.first,
+        max_date=cutoff,
+        forecast_horizon=config.horizon,
+        feature_columns=fitted.feature_columns,
+        additional_date_features=list(config.calendar),
+    )
+    save_bundle(series.sparkSession, fitted, manifest, path)
+    return manifest
+
+
 def forecast_from_bundle(
     records: DataFrame, fitted: FittedModel, manifest: Manifest, config: FeatureConfig
 ) -> DataFrame:

@@ -103,14 +103,15 @@ def explore_configs(
     year_max_day: int | None = None,
     share: float = 0.2,
     seed: int = SEED,
+    keep: bool = False,
 ) -> tuple[BenchmarkReport, DataFrame]:
     """Benchmark all configs; returns the report and the best share of the leaderboard.
 
-    Without random configs everything is kept.
+    Without random configs the whole leaderboard is returned. `keep` as in `run_benchmark`.
     """
     configs = exploration_configs(series.sparkSession, initial, iterations, seed)
     result = run_benchmark(
-        series, configs, years, training_min_date, year_min_day, year_max_day
+        series, configs, years, training_min_date, year_min_day, year_max_day, keep
     )
     kept = share if iterations > 0 else 1.0
     return result, best_share(result.leaderboard, len(configs), kept)
