@@ -14,6 +14,7 @@ from nimbora.operators.recursion import linear_path, transform_path
 from nimbora.operators.specs import DEFAULT_CONFIG, KINDS, LOOKBACK_DAYS, FeatureConfig, Spec
 from nimbora.plans.benchmark import run_benchmark
 from nimbora.plans.predict import (
+    export_model,
     fit_at,
     forecast_from_bundle,
     forecast_states,
@@ -251,6 +252,21 @@ def test_bundle_round_trip_and_trailing_window(spark, records, tmp_path):
         run_forecast(full, FittedModel("x", fitted.model, ["a"]), DEFAULT_CONFIG, cutoff)
 
 
+def test_export_trains_to_the_day_before_or_on_everything(spark, series, tmp_path):
+    rows = series({"a": random_days(120, 1.0, 17)})
+    until = export_model(rows, str(tmp_path / "until"), date(2020, 4, 1), learner=FEW)
+    every = export_model(rows, str(tmp_path / "every"), learner=FEW)
+    assert (until.min_date, until.max_date) == (date(2020, 1, 26), date(2020, 3, 31))
+    assert every.max_date == START + timedelta(days=119)
+    fitted, manifest = load_bundle(spark, str(tmp_path / "until"))
+    again = fit_at(rows, DEFAULT_CONFIG, until.max_date, FEW)
+    first, second = (
+        [r.prediction for r in run_forecast(rows, m, DEFAULT_CONFIG, until.max_date).orderBy("step").collect()]
+        for m in (fitted, again)
+    )
+    assert manifest == until and first == second
+
+
 def test_inference_window_is_twice_the_longest_feature():
     first, last = inference_data_window(date(2025, 2, 25))
     assert (date(2025, 2, 25) - first).days == LOOKBACK_DAYS == 51 and last == date(2025, 3, 11)
@@ -301,8 +317,13 @@ def test_random_configs_are_seeded_and_in_bounds(spark, series):
                 assert windows in ([14], [14, 16, 18, 20])
 
 
-def test_search_keeps_the_best_share(series):
+def test_search_keeps_the_best_share(spark, series, tmp_path):
     rows = series({"a": random_days(500, 1.0, 16)})
     initial = [FeatureConfig("one", (Spec(P, "lag", 14),)), FeatureConfig("two", (Spec(P, "mean", 14),))]
     result, best = explore_configs(rows, initial, 0, years=[2021], year_max_day=60)
+    kept, _ = explore_configs(rows, initial, 0, years=[2021], year_max_day=60, keep=True)
     assert best.count() == 2 and result.leaderboard.count() == 2
+    kept.write(str(tmp_path / "report"))
+    boards = [{r.config_id: (r.mae, r.rain_error) for r in b.leaderboard.collect()} for b in (kept, result)]
+    assert {c: pytest.approx(v) for c, v in boards[0].items()} == boards[1]
+    assert spark.read.parquet(str(tmp_path / "report" / "residual_spread")).count() == 28
