@@ -51,11 +51,20 @@ def rows_before() -> Column:
 def number_rows(yearly: DataFrame, years: DataFrame) -> DataFrame:
     """Join per-(station, year) facts with `_before` and turn it into `row_index`."""
     in_year = F.row_number().over(Window.partitionBy(KEY, YEAR).orderBy(DATE))
-    return yearly.join(years, [KEY, YEAR]).withColumn(
+    return with_facts(yearly, years).withColumn(
         ROW_INDEX, (F.col("_before") + in_year).cast("int")
     )
 
 
+def with_facts(yearly: DataFrame, years: DataFrame) -> DataFrame:
+    """Attach one fact row to the at most 366 rows of its (station, year).
+
+    A shuffled hash join: it leaves the rows partitioned as the numbering window needs
+    them, and keeps small runs from broadcasting the series onto the few fact partitions.
+    """
+    return yearly.join(years.hint("shuffle_hash"), [KEY, YEAR])
+
+
 def day_number() -> Column:
     return F.unix_date(DATE)
 

@@ -25,7 +25,14 @@ from nimbora.functions.parsing import (
     rain_amount,
     wind_sector,
 )
-from nimbora.operators.blocks import ROW_INDEX, YEAR, number_rows, rows_before, year_key
+from nimbora.operators.blocks import (
+    ROW_INDEX,
+    YEAR,
+    number_rows,
+    rows_before,
+    with_facts,
+    year_key,
+)
 
 
 def raw_fields(columns: Sequence[str] = BASE_COLUMNS) -> list[str]:
@@ -125,7 +132,7 @@ def clean_daily(
     """
     parsed = parse_records(records, strict, columns).withColumn(YEAR, year_key())
     facts = station_year_facts(parsed, columns)
-    joined = number_rows(parsed, facts) if row_index else parsed.join(facts, [KEY, YEAR])
+    joined = number_rows(parsed, facts) if row_index else with_facts(parsed, facts)
     filled = [
         F.coalesce(F.col(c), F.col(f"_mean_{c}"))
         .cast("int" if c == WIND_DIRECTION else "double")
