@@ -68,7 +68,7 @@ from nimbora.plans.predict import (
     run_prediction,
 )
 from nimbora.plans.search import explore_configs
-from nimbora.session import scratch_path
+from nimbora.session import materialize, scratch_path
 from nimbora.sources.adapter import daily_series, region_records, supplier_records
 from nimbora.sources.bundle import check_manifests, load_bundle
 from nimbora.sources.records import to_json_text
@@ -384,7 +384,11 @@ def fold_rows(spark, sf_dir):
 
 
 def _standin(series: DataFrame, lags=(14,), by_date: bool = False) -> DataFrame:
-    """Predictions of naive learners, one per lag: the value exactly `lag` days before."""
+    """Predictions of naive learners, one per lag: the value exactly `lag` days before.
+
+    The series is read several times, so it is written out once, as a clean table would be.
+    """
+    series = materialize(series, "series")
     grid = _grid(series)
     actual = test_rows(series, grid, HORIZON).select(
         KEY, FOLD, DATE, F.col(TARGET).alias("actual")
