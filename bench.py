@@ -1,8 +1,8 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
 `<query>` is the wall time of the whole query, result fully computed but not collected.
-`folds_per_sec` sets the benchmark runs against the reference's published 1,998 folds in
-15 minutes; the learner differs (see README).
+`folds_per_sec` is the throughput of the network benchmark; the published figure is 1,998
+folds in 15 minutes with another learner (see README).
 """
 
 import json
