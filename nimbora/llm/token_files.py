@@ -101,8 +101,8 @@ def write_token_files(
 ) -> None:
     """Encode whole texts and write them in ascending key order, `end_id` after each.
 
-    A null or empty text is the end id alone. Rows are range-sorted by key, then text, before
-    they are encoded, so each text is encoded once; null keys come first, repeated keys follow
+    A null or empty text is the end id alone. Rows are range-sorted by key, then hash of the text,
+    before they are encoded, so each text is encoded once; null keys come first, repeated keys follow
     each other. An empty table gives a folder without blocks. Other columns are not read.
     """
     import pyarrow as pa
@@ -140,9 +140,11 @@ def write_token_files(
         if keys:
             yield block()
 
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    ordered = rows.repartitionByRange("k", "t").sortWithinPartitions("k", "t")
-    ordered.mapInArrow(blocks, BLOCK).write.option("compression", "zstd").parquet(path)
+    rows = docs.select(
+        F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h")
+    )
+    ordered = rows.repartitionByRange("k", "h").sortWithinPartitions("k", "h", "t")
+    ordered.select("k", "t").mapInArrow(blocks, BLOCK).write.option("compression", "zstd").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
