@@ -16,7 +16,7 @@ from nimbora.llm.ngrams import bounded_sample, fold, hashed_ngrams
 SIZES = (1, 2, 3)
 BITS = 12
 #: Bound of the training sample: so many documents of each language.
-PER_LANGUAGE = 800
+PER_LANGUAGE = 400
 UNKNOWN = "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 

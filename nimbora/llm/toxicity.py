@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nimbora.llm.common import slices
+from nimbora.llm.common import slices, write_scratch
 from nimbora.llm.ngrams import bounded_sample, fold, hashed_ngrams
 
 SIZES = (4, 5)
@@ -16,6 +16,7 @@ PER_CLASS = 3000
 #: n-grams kept: the strongest log-count ratios, weighted by how often they occur.
 FEATURES = 20_000
 LEAST_DOCUMENTS = 5
+PENALTY = 1e-4
 
 
 @dataclass
@@ -34,49 +35,41 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[seen].sum(), -30, 30))))
 
 
-def fit(features: list[np.ndarray], labels: np.ndarray, row_weights: np.ndarray, sizes=SIZES, bits=BITS) -> ToxicityModel:
-    """Log-count ratios of the weighted classes, then logistic regression on them.
+def select(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> tuple[np.ndarray, np.ndarray]:
+    """The chosen buckets and their log-count ratios, from documents of each class per bucket."""
+    ratio = np.log((1 + toxic) / (2 + n_toxic)) - np.log((1 + clean) / (2 + n_clean))
+    n = toxic + clean
+    strength = np.abs(ratio) * np.sqrt(n) * (n >= LEAST_DOCUMENTS)
+    chosen = np.argsort(-strength, kind="stable")[:FEATURES]
+    chosen = np.sort(chosen[strength[chosen] > 0])
+    return chosen, ratio[chosen]
 
-    `features` holds the distinct buckets of each document. With one class only, the score is
-    that class's share for every text.
+
+def fit(features: list[np.ndarray], labels: np.ndarray, row_weights: np.ndarray, chosen: np.ndarray, ratio: np.ndarray) -> ToxicityModel:
+    """Logistic regression on presence times log-count ratio.
+
+    `features` holds, for each document, places in `chosen`. With one class only, or none, the
+    score is the same for every text.
     """
-    width = 1 << bits
     share = np.clip((row_weights * labels).sum() / max(row_weights.sum(), 1e-9), 0.01, 0.99)
-    weights = np.zeros(width)
-    base = float(np.log(share / (1 - share)))
-    if labels.min(initial=1) == labels.max(initial=0):
-        return ToxicityModel(weights, base, sizes, bits)
-    flat = np.concatenate(features)
+    weights, base = np.zeros(1 << BITS, dtype=np.float32), float(np.log(share / (1 - share)))
+    if labels.min(initial=1) == labels.max(initial=0) or not len(chosen):
+        return ToxicityModel(weights, base)
+    columns = np.concatenate(features)
     rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
-    toxic = np.bincount(flat, weights=labels[rows], minlength=width)
-    clean = np.bincount(flat, weights=1.0 - labels[rows], minlength=width)
-    p = (1 + toxic) / (2 + labels.sum())
-    q = (1 + clean) / (2 + (1 - labels).sum())
-    ratio = np.log(p / q)
-    n = toxic + clean
-    strength = np.abs(ratio) * np.sqrt(n) * (n >= LEAST_DOCUMENTS)
-    chosen = np.argsort(-strength, kind="stable")[:FEATURES]
-    chosen = chosen[strength[chosen] > 0]
-    place = np.full(width, -1)
-    place[chosen] = np.arange(len(chosen))
-    columns = place[flat]
-    rows, columns = rows[columns >= 0], columns[columns >= 0]
-    scale = ratio[chosen]
-    value = scale[columns]
+    value = ratio[columns]
     w, bias = np.zeros(len(chosen)), base
     slope, slope0 = np.full(len(chosen), 1e-8), 1e-8
-    penalty = 1e-4
     for _ in range(150):
         z = bias + np.bincount(rows, weights=value * w[columns], minlength=len(labels))
         error = row_weights * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / row_weights.sum()
-        grad = np.bincount(columns, weights=value * error[rows], minlength=len(chosen)) + penalty * w
+        grad = np.bincount(columns, weights=value * error[rows], minlength=len(chosen)) + PENALTY * w
         slope += grad**2
         slope0 += error.sum() ** 2
         w -= 0.1 * grad / np.sqrt(slope)
         bias -= 0.1 * error.sum() / np.sqrt(slope0)
-    weights[chosen] = w * scale
-    weights = weights.astype(np.float32)
-    return ToxicityModel(weights, float(bias), sizes, bits)
+    weights[chosen] = w * ratio
+    return ToxicityModel(weights, float(bias))
 
 
 def train(
@@ -106,15 +99,42 @@ def train(
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], ["k", "y", "f"])
 
+    def counts(batches):
+        seen = np.zeros((2, 1 << BITS), dtype=np.int64)
+        for batch in slices(batches):
+            for y, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                seen[y, np.frombuffer(f, "<u4")] += 1
+        at = np.flatnonzero(seen.any(axis=0))
+        for part in np.array_split(at, len(at) // 10_000 + 1):
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(seen[1][part]), pa.array(seen[0][part])], ["bucket", "toxic", "clean"])
+
+    def kept(batches):
+        place = np.full(1 << BITS, -1)
+        place[chosen] = np.arange(len(chosen))
+        for batch in slices(batches):
+            places = [place[np.frombuffer(f, "<u4")] for f in batch.column(2).to_pylist()]
+            found = [p[p >= 0].astype("<u4").tobytes() for p in places]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["k", "y", "f"])
+
     # At most 2 * per_class rows of two numbers, so the sample may be broadcast.
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("k is not null")
-    chosen = texts.join(F.broadcast(sample), "k").select(F.col("k").cast("string").alias("k"), "t", "y")
-    rows = chosen.mapInArrow(features, "k string, y int, f binary").collect()
-    rows.sort(key=lambda r: (r["k"], r["f"]))
-    y = np.array([r["y"] for r in rows], dtype=float)
-    counts = np.bincount(y.astype(int), minlength=2)
-    weight = [totals.get(c, 0) / max(1, counts[c]) for c in (0, 1)]
-    return fit([np.frombuffer(r["f"], "<u4").astype(np.int64) for r in rows], y, np.where(y == 1, weight[1], weight[0]))
+    texts = texts.join(F.broadcast(sample), "k").select(F.col("k").cast("string").alias("k"), "t", "y")
+    fields = "k string, y int, f binary"
+    rows, _ = write_scratch(texts.mapInArrow(features, fields), "toxic-sample")
+    sums = rows.mapInArrow(counts, "bucket long, toxic long, clean long").groupBy("bucket")
+    sums = sums.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    sums = sums.filter(F.col("toxic") + F.col("clean") >= LEAST_DOCUMENTS).toArrow()
+    seen = np.zeros((2, 1 << BITS))
+    for i, name in enumerate(("clean", "toxic")):
+        seen[i, sums.column("bucket").to_numpy()] = sums.column(name).to_numpy()
+    sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    chosen, ratio = select(seen[1], seen[0], sizes.get(1, 0), sizes.get(0, 0))
+    # The sample with its chosen buckets: some MB at most, by the bounds of sample and choice.
+    data = sorted(rows.mapInArrow(kept, fields).collect())
+    y = np.array([r["y"] for r in data], dtype=float)
+    weight = [totals.get(c, 0) / max(1, sizes.get(c, 0)) for c in (0, 1)]
+    places = [np.frombuffer(r["f"], "<u4").astype(np.int64) for r in data]
+    return fit(places, y, np.where(y == 1, weight[1], weight[0]), chosen, ratio)
 
 
 def with_score(docs: DataFrame, model: ToxicityModel, text: str = "text", column: str = "score") -> DataFrame:
