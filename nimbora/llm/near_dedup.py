@@ -5,7 +5,7 @@ joined. Each class has `COORDINATES` minwise tokens. In each of `TREES` independ
 chooses `BRANCH` coordinates from its own path, and a class goes to one child for each: the one
 named by its token there. A pair of similarity s shares a child with chance 1 - (1 - s)**2 at
 the first level, and over any number of levels at 0.8 shares one in some tree with chance above
-0.99999. Nodes of up to `SMALL` classes are compared exhaustively, by the share of equal tokens;
+0.99999. Nodes of up to `SMALL` classes are compared exhaustively, by a finer sketch of the sets;
 larger ones are compared with two of their members and branch again, unless all their classes
 are known to be in one group already, which is what ends large groups of near copies. Larger
 nodes that are left after `LEVELS` levels are compared in full but for their largest known group
@@ -23,14 +23,20 @@ from nimbora.llm.common import slices, worker_cache, write_scratch
 COORDINATES = 48
 TREES = 5
 BRANCH = 2
-SMALL = 64
-LEVELS = 6
-#: A pair is confirmed on full sets when at least this share of the minwise tokens is equal;
-#: at similarity 0.8 a lower share has a chance of about one in a million.
-CANDIDATE_SHARE = 0.5
+SMALL = 256
+LEVELS = 3
+#: The sketch of a set: a byte of the smallest hash in each of so many equal parts of the range.
+BINS = 512
+#: A pair is confirmed on full sets unless its sketches lie this many deviations below the
+#: threshold: less than one linked pair in a hundred million is.
+DEVIATIONS, MARGIN = 6.0, 0.01
 #: Larger nodes at the last level are compared in blocks of so many classes.
 BLOCK = 1024
+#: Up to so many ids of texts to confirm are broadcast (8 bytes each); beyond it they are joined.
+SENT_IDS = 2_000_000
 MEMO_WORDS = 1_000_000
+#: Shingles of the sets that a task remembers while it confirms pairs.
+SETS_HELD = 5_000_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -87,12 +93,21 @@ def minwise(values: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return low
 
 
+def sketch(values: np.ndarray) -> np.ndarray:
+    """One byte for each bin of the sorted set, 0 where the bin is empty."""
+    bins = (values >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    first = np.flatnonzero(np.diff(bins, prepend=-1))
+    out = np.zeros(BINS, dtype=np.uint8)
+    out[bins[first]] = 1 + values[first] % np.uint64(255)
+    return out
+
+
 def factors() -> np.ndarray:
     return np.random.default_rng(11).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def document_sets(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
-    """(key, n_shingles, digest, tokens): size, identity and minwise tokens of each set."""
+    """(key, n_shingles, digest, tokens): size, identity, minwise tokens and sketch of each set."""
     import pyarrow as pa
 
     odd = factors()
@@ -107,7 +122,7 @@ def document_sets(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
                     batch.column(0),
                     pa.array([len(s) for s in found], pa.int64()),
                     pa.array(digests, pa.binary()),
-                    pa.array([minwise(s, odd).tobytes() if len(s) else None for s in found], pa.binary()),
+                    pa.array([minwise(s, odd).tobytes() + sketch(s).tobytes() if len(s) else None for s in found], pa.binary()),
                 ],
                 ["k", "n_shingles", "digest", "tokens"],
             )
@@ -136,9 +151,16 @@ def _roots() -> np.ndarray:
     return _mixed(np.arange(1, TREES + 1, dtype=np.uint64) * ODD)
 
 
+def _stored(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, 4 * COORDINATES + BINS)
+
+
 def _tokens(column) -> np.ndarray:
-    joined = b"".join(column.to_pylist())
-    return np.frombuffer(joined, dtype=np.uint32).reshape(-1, COORDINATES)
+    return np.ascontiguousarray(_stored(column)[:, : 4 * COORDINATES]).view(np.uint32)
+
+
+def _sketches(column) -> np.ndarray:
+    return _stored(column)[:, 4 * COORDINATES :]
 
 
 def _long(column) -> np.ndarray:
@@ -184,10 +206,19 @@ def next_level(large: DataFrame) -> DataFrame:
     return large.select("node", "rep", "comp", "n", "tokens").mapInArrow(nodes, fields)
 
 
-def _similar(n1, t1, n2, t2, least):
-    """Rows that may link: enough equal tokens, sizes within the threshold."""
-    equal = (t1 == t2).mean(axis=-1) >= CANDIDATE_SHARE
-    return equal & (np.minimum(n1, n2) * 100 >= np.maximum(n1, n2) * least)
+def _similar(n1, s1, n2, s2, least):
+    """Rows that may link, by size and sketch.
+
+    A bin that either set fills shows the smallest hash of the union there, which both sets have
+    with the chance of their similarity. The bins are a sample of the union without repetition.
+    """
+    t = least / 100
+    fits = np.minimum(n1, n2) >= np.maximum(n1, n2) * t - 1e-9
+    filled = np.maximum(((s1 | s2) != 0).sum(axis=-1), 1)
+    equal = ((s1 == s2) & (s1 != 0)).sum(axis=-1)
+    left = np.maximum(0, 1 - filled * (1 + t) / (n1 + n2))
+    floor = t - DEVIATIONS * np.sqrt(t * (1 - t) / filled * left) - MARGIN - 1 / filled
+    return fits & (equal >= filled * floor)
 
 
 def small_pairs(small: DataFrame, least: int) -> DataFrame:
@@ -198,7 +229,7 @@ def small_pairs(small: DataFrame, least: int) -> DataFrame:
         held = None
         for batch in _with_end(batches):
             if batch is not None and batch.num_rows:
-                new = [_long(batch.column(i)) for i in range(4)] + [_tokens(batch.column(4))]
+                new = [_long(batch.column(i)) for i in range(4)] + [_sketches(batch.column(4))]
                 held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
             if held is None:
                 continue
@@ -227,8 +258,8 @@ def _within(node, rep, comp, n, tokens, least):
         live = live[node[live] == node[live + d]]
         if not len(live):
             break
-        for start in range(0, len(live), 20_000):
-            i = live[start : start + 20_000]
+        for start in range(0, len(live), 8192):
+            i = live[start : start + 8192]
             i = i[(comp[i] != comp[i + d]) & (rep[i] != rep[i + d])]
             i = i[_similar(n[i], tokens[i], n[i + d], tokens[i + d], least)]
             first.append(np.minimum(rep[i], rep[i + d]))
@@ -237,15 +268,17 @@ def _within(node, rep, comp, n, tokens, least):
 
 
 def _compare(rows: DataFrame, least: int) -> DataFrame:
-    """(a, b) of rows (rep, n, tokens, rep2, n2, tokens2) that may link."""
+    """(a, b) that may link, of rows (rep, n, tokens) and two others in the same row."""
     import pyarrow as pa
 
     def keep(batches):
-        for batch in batches:
-            if batch.num_rows:
-                a, n1, t1 = _long(batch.column(0)), _long(batch.column(1)), _tokens(batch.column(2))
-                b, n2, t2 = _long(batch.column(3)), _long(batch.column(4)), _tokens(batch.column(5))
-                ok = _similar(n1, t1, n2, t2, least) & (a != b)
+        for batch in slices(batches, 2048):
+            if not batch.num_rows:
+                continue
+            a, n1, s1 = _long(batch.column(0)), _long(batch.column(1)), _sketches(batch.column(2))
+            for at in (3, 6):
+                b, n2, s2 = _long(batch.column(at)), _long(batch.column(at + 1)), _sketches(batch.column(at + 2))
+                ok = _similar(n1, s1, n2, s2, least) & (a != b)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok])], ["a", "b"]
                 )
@@ -256,27 +289,25 @@ def _compare(rows: DataFrame, least: int) -> DataFrame:
 def leader_pairs(large: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     """Candidates between the rows of larger nodes and two members of the same node."""
     salts = 16
+
+    def lead(i):
+        kept = {"rep": f"rep{i}", "comp": f"comp{i}", "n": f"n{i}", "tokens": f"tokens{i}"}
+        return classes.select(*kept).withColumnsRenamed(kept)
+
     leaders = (
         large.groupBy("node")
-        .agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
-        .select(F.col("node").alias("node2"), F.explode(F.array("low", "high")).alias("lead"))
-        .join(
-            classes.select(
-                F.col("rep").alias("lead"),
-                F.col("comp").alias("comp2"),
-                F.col("n").alias("n2"),
-                F.col("tokens").alias("tokens2"),
-            ),
-            "lead",
-        )
+        .agg(F.min("rep").alias("rep1"), F.max("rep").alias("rep2"))
+        .withColumnRenamed("node", "at")
+        .join(lead(1), "rep1")
+        .join(lead(2), "rep2")
         .withColumn("salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
     # A node may hold a third of all rows: each is met by its leaders under every salt.
     salted = large.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(salts)).cast("int"))
-    met = salted.join(
-        leaders, (F.col("node") == F.col("node2")) & (F.col("salt") == F.col("salt2"))
-    ).filter(F.col("comp") != F.col("comp2"))
-    return _compare(met.select("rep", "n", "tokens", "lead", "n2", "tokens2"), least)
+    other = (F.col("comp") != F.col("comp1")) | (F.col("comp") != F.col("comp2"))
+    met = salted.join(leaders, (F.col("node") == F.col("at")) & (F.col("salt") == F.col("salt2")) & other)
+    fields = ["rep", "n", "tokens", "rep1", "n1", "tokens1", "rep2", "n2", "tokens2"]
+    return _compare(met.select(fields), least)
 
 
 def last_pairs(large: DataFrame, least: int) -> DataFrame:
@@ -285,8 +316,8 @@ def last_pairs(large: DataFrame, least: int) -> DataFrame:
     import pyarrow as pa
 
     groups = large.groupBy("node", "comp").count()
-    main = groups.groupBy("node").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.sum("count").alias("size"))
-    rows = large.join(main, "node").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    main = groups.groupBy("node").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.sum("count").alias("all"))
+    rows = large.join(main, "node").withColumn("blocks", F.ceil(F.col("all") / BLOCK).cast("int"))
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     all_rows = rows.withColumn("block", block).withColumn("side", F.lit(0))
     others = (
@@ -299,7 +330,7 @@ def last_pairs(large: DataFrame, least: int) -> DataFrame:
     def compare(keys, table):
         side = table.column("side").to_numpy()
         rep, comp, n = (table.column(c).to_numpy() for c in ("rep", "comp", "n"))
-        tokens = _tokens(table.column("tokens"))
+        tokens = _sketches(table.column("tokens"))
         here, a, b = np.flatnonzero(side == 0), [], []
         for i in np.flatnonzero(side == 1):
             j = here[comp[here] != comp[i]]
@@ -319,19 +350,28 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, least: int, key: str,
     import pyarrow as pa
 
     def check(batches):
-        make, last, mine = shingler(), None, None
+        make, sets, held = shingler(), {}, 0
         for batch in slices(batches):
             a, b = _long(batch.column(0)), _long(batch.column(1))
             keep = np.zeros(len(a), dtype=bool)
-            for i, (ta, tb) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                if last is None or last != ta:
-                    last, mine = ta, make(ta, size)
-                other = make(tb, size)
-                both = len(np.intersect1d(mine, other, assume_unique=True))
-                keep[i] = 100 * both >= least * (len(mine) + len(other) - both)
+            for i, two in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                if held > SETS_HELD:
+                    sets, held = {}, 0
+                for t in two:
+                    if t not in sets:
+                        sets[t] = make(t, size)
+                        held += len(sets[t])
+                one, other = sets[two[0]], sets[two[1]]
+                both = len(np.intersect1d(one, other, assume_unique=True))
+                keep[i] = 100 * both >= least * (len(one) + len(other) - both)
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
     texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    ids = pairs.select(F.col("a").alias("i")).union(pairs.select("b")).distinct()
+    ids, _ = write_scratch(ids, "pair-ids")
+    if ids.count() <= SENT_IDS:
+        ids = F.broadcast(ids)
+    texts = texts.join(ids, F.col("k") == F.col("i"), "left_semi")
     first = texts.withColumnsRenamed({"k": "a", "t": "ta"})
     second = texts.withColumnsRenamed({"k": "b", "t": "tb"})
     # Pairs of two long texts meet in small Arrow batches; rows come sorted by a.
@@ -446,7 +486,7 @@ def _links(base, docs, shingle, least, key, text):
     classes, _ = write_scratch(grouped(links), "grouped")
     found = None
     large = large.drop("comp").join(classes.select("rep", "comp"), "rep")
-    large = sized(large.drop("size"))
+    large, _ = write_scratch(sized(large.drop("size")), "level")
     for level in range(2, LEVELS + 1):
         rows, _ = write_scratch(sized(next_level(large)), "level")
         small, large = rows.filter(F.col("size") <= SMALL), rows.filter(F.col("size") > SMALL)
@@ -457,5 +497,5 @@ def _links(base, docs, shingle, least, key, text):
             return links.unionByName(confirmed(found))
     links = links.unionByName(confirmed(found))
     classes = grouped(links).select("rep", "comp")
-    large = sized(large.drop("comp", "size").join(classes, "rep"))
+    large, _ = write_scratch(sized(large.drop("comp", "size").join(classes, "rep")), "level")
     return links.unionByName(confirmed(last_pairs(large, least)))
