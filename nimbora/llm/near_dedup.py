@@ -444,7 +444,7 @@ def near_duplicates(
     if tied.limit(1).count():
         top = components(tied).select(F.col("v").alias("group"), F.col("comp").alias("top"))
         labelled = labelled.join(top, "group", "left").withColumn("group", F.coalesce("top", "group"))
-    component = F.coalesce("group", "k")
+    component = F.when(F.col("k").isNotNull(), F.coalesce("group", "k"))
     return labelled.select(
         F.col("k").alias("key"),
         "n_shingles",
