@@ -80,7 +80,7 @@ from nimbora.streaming.ingest import stream_upsert
 
 HORIZON = 14
 ROUND_SHIFT = 1.37e-8
-YEARS = range(1996, 2001)
+YEARS = range(1996, 2002)
 
 # Coefficients of the fixed linear model: intercept, then one per input.
 FIXED_CONFIG = FeatureConfig(

@@ -44,7 +44,8 @@ def wind_sector(text: Column) -> Column:
 
     360 degrees, and anything else outside [0, 360), is sector 0.
     """
-    tens = text.try_cast("double")
+    # A cast would take the suffixes of number literals, as in 12d, for part of the number.
+    tens = F.when(~text.rlike(r"[dDfF]\s*$"), text.try_cast("double"))
     inside = (tens >= 0) & (tens < 36)
     return (
         F.when(tens.isin(*WIND_SENTINELS) | F.isnan(tens), F.lit(None).cast("double"))

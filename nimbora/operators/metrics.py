@@ -101,9 +101,12 @@ def default_spread(spark: SparkSession) -> DataFrame:
 def forecast_bands(predictions: DataFrame, spread: DataFrame) -> DataFrame:
     """Add the one-sigma band in mm, clipped at 0 below, and everything as levels.
 
-    `spread` has one row per step of the horizon and is broadcast.
+    `spread` has one row per step of the horizon, for all forecasts or for each of the keys
+    config_id and station that it holds; only the former, one row per step, is broadcast.
     """
-    banded = predictions.join(F.broadcast(spread.select("step", "sd")), "step")
+    keys = [c for c in ("config_id", KEY, "step") if c in spread.columns]
+    table = spread.select(*keys, "sd")
+    banded = predictions.join(table if len(keys) > 1 else F.broadcast(table), keys)
     lower = non_negative(F.col("prediction") - F.col("sd"))
     upper = F.col("prediction") + F.col("sd")
     return banded.select(

@@ -2,6 +2,7 @@
 
 from collections.abc import Callable, Iterable
 from datetime import date, timedelta
+from inspect import signature
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +28,11 @@ from nimbora.sources.bundle import Manifest, save_bundle
 Learner = Callable[[DataFrame, FeatureConfig], FittedModel]
 
 
-def inference_data_window(max_date: date, horizon: int = HORIZON) -> tuple[date, date]:
+def inference_data_window(
+    max_date: date, horizon: int = HORIZON, lookback_days: int = LOOKBACK_DAYS
+) -> tuple[date, date]:
     """First and last day to load to forecast after `max_date` and to score the forecast."""
-    return max_date - timedelta(days=LOOKBACK_DAYS), max_date + timedelta(days=horizon)
+    return max_date - timedelta(days=lookback_days), max_date + timedelta(days=horizon)
 
 
 def forecast_states(series: DataFrame, config: FeatureConfig, cutoff: date) -> DataFrame:
@@ -133,7 +136,8 @@ def export_model(
     table = feature_table(series, config)
     bounds = table.agg(F.min(DATE).alias("first"), F.max(DATE).alias("last")).first()
     cutoff = bounds.last if prediction_date is None else prediction_date - timedelta(days=1)
-    fitted = learner(table.filter(F.col(DATE) <= F.lit(cutoff)), config)
+    seeded = {"seed": seed} if "seed" in signature(learner).parameters else {}
+    fitted = learner(table.filter(F.col(DATE) <= F.lit(cutoff)), config, **seeded)
     manifest = Manifest(
         model_name=fitted.name,
         seed=seed,
@@ -154,7 +158,8 @@ def forecast_from_bundle(
 
     The window is cleaned by itself, so its fill values are those of the window.
     """
-    first, last = inference_data_window(manifest.max_date, manifest.forecast_horizon)
+    lookback = 2 * config.warmup + 1
+    first, last = inference_data_window(manifest.max_date, manifest.forecast_horizon, lookback)
     window = records.filter(F.col("fecha").between(first.isoformat(), last.isoformat()))
     series = clean_daily(window, row_index=True, columns=config.inputs)
     return run_forecast(series, fitted, config, manifest.max_date)
@@ -165,7 +170,8 @@ def report(predictions: DataFrame, horizon: int = HORIZON) -> DataFrame:
     return window_metrics(predictions, horizon)
 
 
-def chart_table(predictions: DataFrame) -> DataFrame:
-    """Forecast rows with the default band and levels, as the charts show them."""
-    return forecast_bands(predictions, default_spread(predictions.sparkSession))
+def chart_table(predictions: DataFrame, spread: DataFrame | None = None) -> DataFrame:
+    """Forecast rows with band and levels, as the charts show them. `spread` is that of a
+    benchmark of the same model; without it the default band is used."""
+    return forecast_bands(predictions, spread or default_spread(predictions.sparkSession))
 

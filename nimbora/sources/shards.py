@@ -42,21 +42,25 @@ def _arrival(start: Column, pos: Column) -> Column:
     ).alias("arrival")
 
 
-def _is_array(parsed: Column) -> Column:
-    return F.schema_of_variant(parsed).startswith("ARRAY")
+def _parsed(files: DataFrame) -> DataFrame:
+    """(path, value, items): the array's elements, NULL where the text is no JSON array.
+
+    Each element is a variant of its own, so only an element, never the file, has the size limit
+    of a variant; the text itself is one value, at most 2 GB. Of a repeated key the last counts.
+    """
+    files.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return files.select("path", "value", F.from_json("value", "array<variant>").alias("items"))
 
 
 def _objects(arrays: DataFrame) -> DataFrame:
-    """Explode (path, parsed array) to records; elements that are no objects are skipped."""
-    elements = arrays.lateralJoin(
-        arrays.sparkSession.tvf.variant_explode(F.col("parsed").outer())
-    )
-    objects = elements.filter(F.schema_of_variant("value").startswith("OBJECT"))
+    """Explode (path, items) to records; elements that are no objects are skipped."""
+    elements = arrays.select("path", F.posexplode("items").alias("pos", "item"))
+    objects = elements.filter(F.schema_of_variant("item").startswith("OBJECT"))
     return from_fields(
         objects.select(
             "path",
             _arrival(F.lit(0), F.col("pos")),
-            F.col("value").cast("map<string,string>").alias("fields"),
+            F.col("item").cast("map<string,string>").alias("fields"),
         )
     )
 
@@ -66,13 +70,10 @@ def read_shards(spark: SparkSession, folder: str | list[str], pattern: str = "*.
 
     A file that is no JSON array stops the job.
     """
-    files = discover_shards(spark, folder, pattern)
-    parsed = files.select("path", F.parse_json("value").alias("parsed"))
+    parsed = _parsed(discover_shards(spark, folder, pattern))
     complaint = F.concat(F.lit("Expected a JSON array in "), F.col("path"))
-    checked = F.when(_is_array(F.col("parsed")), F.col("parsed")).otherwise(
-        F.raise_error(complaint).cast("variant")
-    )
-    return _objects(parsed.select("path", checked.alias("parsed")))
+    checked = F.coalesce("items", F.raise_error(complaint).cast("array<variant>"))
+    return _objects(parsed.select("path", checked.alias("items")))
 
 
 @dataclass(frozen=True)
@@ -85,13 +86,12 @@ def read_shards_tolerant(
     spark: SparkSession, folder: str | list[str], pattern: str = "*.json"
 ) -> TolerantLoad:
     """Like `read_shards`, but bad files end up in `rejected` and the rest still loads."""
-    files = discover_shards(spark, folder, pattern)
-    parsed = files.select("path", F.try_parse_json("value").alias("parsed"))
-    good = parsed.filter(F.col("parsed").isNotNull() & _is_array(F.col("parsed")))
-    error = F.when(F.col("parsed").isNull(), F.lit("not valid JSON")).when(
-        ~_is_array(F.col("parsed")), F.lit("not a JSON array")
-    )
-    bad = parsed.select("path", error.alias("error")).filter(F.col("error").isNotNull())
+    parsed = _parsed(discover_shards(spark, folder, pattern))
+    good = parsed.filter(F.col("items").isNotNull())
+    opens_array = F.ltrim("value").startswith("[")
+    other_json = ~opens_array & F.try_parse_json("value").isNotNull()
+    error = F.when(other_json, F.lit("not a JSON array")).otherwise(F.lit("not valid JSON"))
+    bad = parsed.filter(F.col("items").isNull()).select("path", error.alias("error"))
     return TolerantLoad(_objects(good), bad)
 
 

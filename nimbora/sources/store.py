@@ -7,18 +7,19 @@ and an upsert rewrites only the (bucket, year) folders it touches.
 
 from datetime import date, timedelta
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nimbora.constants import DATE, DAY, KEY
 from nimbora.operators.split import days_around
 from nimbora.operators.upsert import keyed, latest_records, merge_records
-from nimbora.session import materialize
+from nimbora.session import scratch_path
 from nimbora.sources.records import RECORD_COLUMNS
 
 BUCKET, YEAR = "bucket", "year_text"
 LAYOUT = (BUCKET, YEAR)
+# Holds the number of buckets. Readers of the data skip names with an underscore.
+LAYOUT_FILE = "_layout"
 
 
 def _bucket(station: Column, buckets: int) -> Column:
@@ -31,17 +32,41 @@ def _year(day: Column) -> Column:
 
 
 class RecordStore:
-    """A folder of upserted records."""
+    """A folder of upserted records.
+
+    The number of buckets is that of the first upsert: it is kept with the data, and `buckets`
+    only counts for a new store.
+    """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 16) -> None:
         self.spark, self.path, self.buckets = spark, path, buckets
+        if self.exists():
+            self.buckets = self._stored_buckets()
+
+    def _file(self, path: str):
+        """Hadoop file system and path, of whatever store the path names."""
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
 
     def exists(self) -> bool:
+        files, target = self._file(f"{self.path}/{LAYOUT_FILE}")
+        return files.exists(target)
+
+    def _stored_buckets(self) -> int:
+        files, target = self._file(f"{self.path}/{LAYOUT_FILE}")
+        stream = files.open(target)
+        try:
+            return stream.readInt()
+        finally:
+            stream.close()
+
+    def _store_buckets(self) -> None:
+        files, target = self._file(f"{self.path}/{LAYOUT_FILE}")
+        stream = files.create(target)
         try:
-            self.spark.read.parquet(self.path)
-        except AnalysisException:
-            return False
-        return True
+            stream.writeInt(self.buckets)
+        finally:
+            stream.close()
 
     def read(self) -> DataFrame:
         """All stored records."""
@@ -56,17 +81,25 @@ class RecordStore:
         attempted = incoming.count()
         if not attempted:
             return 0
+        aside = None
         if self.exists():
-            latest = self._merged(incoming, arrival)
+            self.buckets = self._stored_buckets()
+            latest, aside = self._merged(incoming, arrival)
         else:
+            self._store_buckets()
             latest = self._placed(latest_records(incoming, arrival))
-        spread = latest.repartition(*LAYOUT).sortWithinPartitions(*LAYOUT, KEY, DAY)
+        # By range, so that one folder may be the work of many tasks.
+        order = (*LAYOUT, KEY, DAY)
+        spread = latest.repartitionByRange(*order).sortWithinPartitions(*order)
         (
             spread.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(*LAYOUT)
             .parquet(self.path)
         )
+        if aside:
+            files, target = self._file(aside)
+            files.delete(target, True)
         return attempted
 
     def station_range(
@@ -116,7 +149,7 @@ class RecordStore:
             YEAR, _year(F.col(DAY))
         )
 
-    def _merged(self, incoming: DataFrame, arrival: str) -> DataFrame:
+    def _merged(self, incoming: DataFrame, arrival: str) -> tuple[DataFrame, str]:
         # Folder names the batch touches, at most buckets x years. As literals they prune
         # the scan of the store to those folders.
         folder = F.concat_ws("/", *LAYOUT)
@@ -124,7 +157,9 @@ class RecordStore:
         stored = self._read().filter(folder.isin([r.folder for r in touched])).drop(*LAYOUT)
         merged = self._placed(merge_records(stored, incoming, arrival))
         # Written aside first: the folders it was read from are about to be replaced.
-        return materialize(merged, "upsert")
+        aside = scratch_path(self.spark, "upsert")
+        merged.write.parquet(aside)
+        return self.spark.read.schema(merged.schema).parquet(aside), aside
 
 
 def _complete(records: DataFrame) -> DataFrame:

@@ -169,3 +169,27 @@ def test_station_dimension(spark, series):
     assert shard_glob("Madrid").endswith("Madrid_*.json")
     (row,) = with_city(series({"3195": {0: (1, 2)}})).collect()
     assert row.city == "Madrid"
+
+
+def test_store_keeps_its_buckets(spark, records, make, tmp_path):
+    rows = [make.raw("2024-01-01", indicativo=f"s{i}", prec="1,0") for i in range(12)]
+    path = str(tmp_path / "store")
+    RecordStore(spark, path, buckets=4).upsert(records(rows))
+    again = RecordStore(spark, path)
+    assert again.buckets == 4
+    assert all(again.station_range(f"s{i}").count() == 1 for i in range(12))
+    again.upsert(records(rows))
+    assert again.read().count() == 12
+
+
+def test_shards_with_repeated_keys_and_odd_elements(spark, tmp_path):
+    (tmp_path / "a_0.json").write_text(
+        '[{"fecha": "2024-01-01", "indicativo": "1", "prec": "1,0", "prec": "2,0"}, 5, null,'
+        ' {"fecha": "2024-01-02", "indicativo": "1", "prec": null}]'
+    )
+    (tmp_path / "b_0.json").write_text('{"fecha": "2024-01-01"}')
+    (tmp_path / "c_0.json").write_text('[{"fecha": ')
+    loaded = read_shards_tolerant(spark, str(tmp_path))
+    assert loaded.records.count() == 2
+    errors = {r["path"].rsplit("/", 1)[1]: r["error"] for r in loaded.rejected.collect()}
+    assert errors == {"b_0.json": "not a JSON array", "c_0.json": "not valid JSON"}
