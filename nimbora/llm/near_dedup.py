@@ -286,20 +286,26 @@ def _compare(rows: DataFrame, least: int) -> DataFrame:
     return rows.mapInArrow(keep, "a long, b long")
 
 
-def leader_pairs(large: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+def leader_pairs(large: DataFrame, least: int) -> DataFrame:
     """Candidates between the rows of larger nodes and two members of the same node."""
     salts = 16
 
-    def lead(i):
-        kept = {"rep": f"rep{i}", "comp": f"comp{i}", "n": f"n{i}", "tokens": f"tokens{i}"}
-        return classes.select(*kept).withColumnsRenamed(kept)
-
+    # Each task offers its own first and last row of a node, so a large node sends a few rows.
+    row = F.struct("comp", "n", "tokens")
     leaders = (
-        large.groupBy("node")
-        .agg(F.min("rep").alias("rep1"), F.max("rep").alias("rep2"))
-        .withColumnRenamed("node", "at")
-        .join(lead(1), "rep1")
-        .join(lead(2), "rep2")
+        large.groupBy(F.col("node").alias("at"))
+        .agg(
+            F.min("rep").alias("rep1"),
+            F.max("rep").alias("rep2"),
+            F.min_by(row, "rep").alias("one"),
+            F.max_by(row, "rep").alias("two"),
+        )
+        .select(
+            "at",
+            *(F.col(f"{name}.{c}").alias(f"{c}{i}") for i, name in ((1, "one"), (2, "two")) for c in ("comp", "n", "tokens")),
+            "rep1",
+            "rep2",
+        )
         .withColumn("salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
     # A node may hold a third of all rows: each is met by its leaders under every salt.
@@ -415,24 +421,26 @@ def near_duplicates(
     distinct shingles of `shingle` words; a shorter text is one shingle; without words the set is
     empty and linked with nothing. Rows link where 100 * intersection >= least * union;
     component_id is the smallest key reachable, kept marks the row that has it. Rows with one key
-    are one document: linked through any of them, all kept or none. Rows with a null key are
+    are one document: all kept or none; where their texts differ and none is smaller, links are
+    sought by one of the texts only. Rows with a null key are
     linked with nothing, have a null component_id and are kept. An empty table gives no rows.
     Other columns are not read.
     """
     sets, _ = write_scratch(document_sets(docs, shingle, key, text), "sets")
     usable = sets.filter(F.col("k").isNotNull() & F.col("digest").isNotNull())
-    classes, _ = write_scratch(usable.groupBy("digest").agg(F.min("k").alias("rep")), "classes")
-    base = (
-        usable.join(classes.select(F.col("rep").alias("k"), "digest"), ["k", "digest"])
-        .groupBy("k")
-        .agg(F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"))
-        .withColumnRenamed("k", "rep")
+    # Rows of one digest have one set, so any of them gives the class its size and tokens.
+    classes, _ = write_scratch(
+        usable.groupBy("digest").agg(
+            F.min("k").alias("rep"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens")
+        ),
+        "classes",
     )
+    base = classes.groupBy("rep").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     base, _ = write_scratch(base, "class-sets")
 
     links = _links(base, docs, shingle, least, key, text)
     groups = components(links)
-    named = classes.join(groups.withColumnRenamed("v", "rep"), "rep", "left").select(
+    named = classes.select("digest", "rep").join(groups.withColumnRenamed("v", "rep"), "rep", "left").select(
         F.col("digest").alias("d"), F.coalesce("comp", "rep").alias("group")
     )
     labelled = sets.join(named, F.col("digest") == F.col("d"), "left")
@@ -479,7 +487,7 @@ def _links(base, docs, shingle, least, key, text):
     lean = first_level(base).withColumn("comp", F.col("rep"))
     rows, _ = write_scratch(sized(lean).drop("comp").join(classes, "rep"), "level")
     small, large = rows.filter(F.col("size") <= SMALL), rows.filter(F.col("size") > SMALL)
-    pairs = small_pairs(small, least).unionByName(leader_pairs(large, classes, least))
+    pairs = small_pairs(small, least).unionByName(leader_pairs(large, least))
     links = confirmed(pairs)
     if not large.limit(1).count():
         return links
@@ -487,10 +495,12 @@ def _links(base, docs, shingle, least, key, text):
     found = None
     large = large.drop("comp").join(classes.select("rep", "comp"), "rep")
     large, _ = write_scratch(sized(large.drop("size")), "level")
+    if not large.limit(1).count():
+        return links
     for level in range(2, LEVELS + 1):
         rows, _ = write_scratch(sized(next_level(large)), "level")
         small, large = rows.filter(F.col("size") <= SMALL), rows.filter(F.col("size") > SMALL)
-        pairs = small_pairs(small, least).unionByName(leader_pairs(large, classes, least))
+        pairs = small_pairs(small, least).unionByName(leader_pairs(large, least))
         pairs, _ = write_scratch(pairs.distinct(), "pairs")
         found = pairs if found is None else found.unionByName(pairs)
         if not large.limit(1).count():
@@ -498,4 +508,6 @@ def _links(base, docs, shingle, least, key, text):
     links = links.unionByName(confirmed(found))
     classes = grouped(links).select("rep", "comp")
     large, _ = write_scratch(sized(large.drop("comp", "size").join(classes, "rep")), "level")
+    if not large.limit(1).count():
+        return links
     return links.unionByName(confirmed(last_pairs(large, least)))
