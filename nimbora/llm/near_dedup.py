@@ -421,8 +421,8 @@ def near_duplicates(
     distinct shingles of `shingle` words; a shorter text is one shingle; without words the set is
     empty and linked with nothing. Rows link where 100 * intersection >= least * union;
     component_id is the smallest key reachable, kept marks the row that has it. Rows with one key
-    are one document: all kept or none; where their texts differ and none is smaller, links are
-    sought by one of the texts only. Rows with a null key are
+    are one document: all kept or none; a key that is the smallest of several different sets
+    is linked by one of these sets only. Rows with a null key are
     linked with nothing, have a null component_id and are kept. An empty table gives no rows.
     Other columns are not read.
     """
