@@ -39,7 +39,6 @@ CLEAN_NAMES = {**NUMBER_FIELDS, WIND_FIELD: WIND_DIRECTION}
 
 SEED = 28
 HORIZON = 14
-DEMO_DATES = ("2022-07-27", "2024-03-14", "2023-08-27", "2023-09-11", "2025-02-26")
 BENCHMARK_YEARS = (1951, 2024)
 
 # Spread of (actual - predicted) in mm for forecast days 1..14.
