@@ -13,10 +13,13 @@ SIZES = (4, 5)
 BITS = 18
 #: Bound of the training sample: so many labelled documents of each class.
 PER_CLASS = 3000
-#: n-grams kept: the strongest log-count ratios, weighted by how often they occur.
+#: n-grams kept: those whose log-likelihood ratio against independence of the class is at least
+#: this (chi-squared, one degree: chance alone puts about two of all buckets above it), and of
+#: these at most FEATURES, the largest. Rare insults pass, the noise of long texts doesn't.
+SIGNIFICANT = 20.0
 FEATURES = 20_000
 LEAST_DOCUMENTS = 5
-PENALTY = 1e-4
+PENALTY = 1e-3
 
 
 @dataclass
@@ -38,10 +41,14 @@ class ToxicityModel:
 def select(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> tuple[np.ndarray, np.ndarray]:
     """The chosen buckets and their log-count ratios, from documents of each class per bucket."""
     ratio = np.log((1 + toxic) / (2 + n_toxic)) - np.log((1 + clean) / (2 + n_clean))
-    n = toxic + clean
-    strength = np.abs(ratio) * np.sqrt(n) * (n >= LEAST_DOCUMENTS)
+    n, total = toxic + clean, max(n_toxic + n_clean, 1)
+    strength = np.zeros(len(n))
+    for seen, size in ((toxic, n_toxic), (clean, n_clean)):
+        for cell, expected in ((seen, n * size / total), (size - seen, (total - n) * size / total)):
+            strength += 2 * cell * np.log(np.maximum(cell, 1e-9) / np.maximum(expected, 1e-9))
+    strength *= n >= LEAST_DOCUMENTS
     chosen = np.argsort(-strength, kind="stable")[:FEATURES]
-    chosen = np.sort(chosen[strength[chosen] > 0])
+    chosen = np.sort(chosen[strength[chosen] >= SIGNIFICANT])
     return chosen, ratio[chosen]
 
 
