@@ -501,7 +501,6 @@ def _links(base, docs, shingle, least, key, text):
         rows, _ = write_scratch(sized(next_level(large)), "level")
         small, large = rows.filter(F.col("size") <= SMALL), rows.filter(F.col("size") > SMALL)
         pairs = small_pairs(small, least).unionByName(leader_pairs(large, least))
-        pairs, _ = write_scratch(pairs.distinct(), "pairs")
         found = pairs if found is None else found.unionByName(pairs)
         if not large.limit(1).count():
             return links.unionByName(confirmed(found))
