@@ -188,22 +188,22 @@ def first_level(classes: DataFrame) -> DataFrame:
 
 
 def next_level(large: DataFrame) -> DataFrame:
-    """(node, rep, comp, n, tokens) of the children of larger nodes."""
+    """(node, rep, comp) of the children of larger nodes."""
     import pyarrow as pa
 
     def nodes(batches):
         for batch in batches:
             if batch.num_rows:
                 node = _long(batch.column(0)).view(np.uint64)
-                below = _children(node, _tokens(batch.column(4)))
+                below = _children(node, _tokens(batch.column(3)))
                 for b in range(BRANCH):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(below[:, b].view(np.int64)), *batch.columns[1:]],
-                        ["node", "rep", "comp", "n", "tokens"],
+                        [pa.array(below[:, b].view(np.int64)), batch.column(1), batch.column(2)],
+                        ["node", "rep", "comp"],
                     )
 
-    fields = "node long, rep long, comp long, n long, tokens binary"
-    return large.select("node", "rep", "comp", "n", "tokens").mapInArrow(nodes, fields)
+    fields = "node long, rep long, comp long"
+    return large.select("node", "rep", "comp", "tokens").mapInArrow(nodes, fields)
 
 
 def _similar(n1, s1, n2, s2, least):
@@ -498,7 +498,9 @@ def _links(base, docs, shingle, least, key, text):
     if not large.limit(1).count():
         return links
     for level in range(2, LEVELS + 1):
-        rows, _ = write_scratch(sized(next_level(large)), "level")
+        # Counting and keeping both read the children, so they are made once, without tokens.
+        below, _ = write_scratch(next_level(large), "children")
+        rows, _ = write_scratch(sized(below).join(base, "rep"), "level")
         small, large = rows.filter(F.col("size") <= SMALL), rows.filter(F.col("size") > SMALL)
         pairs = small_pairs(small, least).unionByName(leader_pairs(large, least))
         found = pairs if found is None else found.unionByName(pairs)
