@@ -335,6 +335,13 @@ def oracle_sql() -> dict[str, str]:
 select concat('station=', idema, '/year=', substring(fecha, 1, 4)) shard,
        cast(count(*) as int) records
 from latest group by all""",
+        "tolerant_import": _with()
+        + """,
+shards as (select idema, substring(fecha, 1, 4) y, count(*) n from latest group by all)
+select concat('station=', idema, '/year=', y) shard,
+       cast(case when cast(y as int) % 4 in (1, 2) then 0 else n end as int) records,
+       case cast(y as int) % 4 when 1 then 'not valid JSON' when 2 then 'not a JSON array' end error
+from shards""",
         "unreadable_readings": _with()
         + "\nselect idema, fecha, 'hrMedia' field, '77%' as text from latest where hrMedia = '77'",
         "clean_daily": _clean() + f"\nselect idema, date, {_clean_columns()} from clean",
@@ -531,6 +538,19 @@ weights as (
 select 'small' config_id, idema, unnest(['precipitation_lag_14d', 'day_of_year']) feature,
        round(unnest([avg(wx / (wx + wd)), avg(wd / (wx + wd))]) + 1.37e-8, 6) importance
 from weights group by idema""",
+        **{
+            name: _clean("""trained as (select * from clean where rn > 25),
+after_ as (
+  select idema, precipitation, row_number() over (partition by idema order by date) step
+  from trained where date > date '1999-06-30' and date <= date '1999-07-14')""")
+            + """
+select s.idema, cast(s.step as int) step, cast(date '1999-06-30' + cast(s.step as int) as date) date,
+       round(a.precipitation + 1.37e-8, 5) actual, cast(1 as int) usable
+from (select *, unnest(range(1, 15)) step
+      from (select distinct idema from trained where date <= date '1999-06-30')) s
+left join after_ a on a.idema = s.idema and a.step = s.step"""
+            for name in ("gbt_forecast", "tweedie_forecast")
+        },
         "manifest_validate": "with checked as (select c_custkey, case c_custkey % 9 "
         + " ".join(f"when {k} then '{m}'" for k, m in _DEFECTS.items())
         + """ end error from customer)
