@@ -569,7 +569,6 @@ def _pooled(spark, sf_dir):
     return _regions(spark, sf_dir, DEFAULT_CONFIG.inputs)
 
 
-FEW_TREES = partial(fit_boosted_trees, maxIter=5)
 LAST_TRAINING_DAY = date(1999, 6, 30)
 
 
@@ -582,17 +581,27 @@ def _usable(forecasts: DataFrame) -> DataFrame:
     return _rounded(kept, "actual", places=5)
 
 
-def gbt_forecast(spark, sf_dir):
+def gbt_predictions(spark, sf_dir):
     """Boosted trees fitted on all stations, forecasting each of them."""
-    return _usable(run_prediction(_pooled(spark, sf_dir), LAST_TRAINING_DAY, learner=FEW_TREES))
+    return run_prediction(_pooled(spark, sf_dir), LAST_TRAINING_DAY, learner=fit_boosted_trees)
+
+
+def tweedie_predictions(spark, sf_dir):
+    return run_prediction(_pooled(spark, sf_dir), LAST_TRAINING_DAY, learner=fit_tweedie)
+
+
+def gbt_forecast(spark, sf_dir):
+    """The part of `gbt_predictions` that SQL can express."""
+    return _usable(gbt_predictions(spark, sf_dir))
 
 
 def tweedie_forecast(spark, sf_dir):
-    return _usable(run_prediction(_pooled(spark, sf_dir), LAST_TRAINING_DAY, learner=fit_tweedie))
+    """The part of `tweedie_predictions` that SQL can express."""
+    return _usable(tweedie_predictions(spark, sf_dir))
 
 
 def feature_importance(spark, sf_dir):
-    model = fit_at(_pooled(spark, sf_dir), DEFAULT_CONFIG, LAST_TRAINING_DAY, FEW_TREES)
+    model = fit_at(_pooled(spark, sf_dir), DEFAULT_CONFIG, LAST_TRAINING_DAY, fit_boosted_trees)
     return model.importances(spark)
 
 
@@ -603,7 +612,7 @@ def bundle_roundtrip(spark, sf_dir):
     )
     series = clean_daily(records, row_index=True, columns=DEFAULT_CONFIG.inputs)
     path = scratch_path(spark, "bundle")
-    export_model(series, path, LAST_TRAINING_DAY + timedelta(days=1), learner=FEW_TREES)
+    export_model(series, path, LAST_TRAINING_DAY + timedelta(days=1), learner=fit_boosted_trees)
     loaded, checked = load_bundle(spark, path)
     return forecast_from_bundle(records, loaded, checked, DEFAULT_CONFIG)
 
@@ -706,7 +715,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "default_benchmark": default_benchmark,
     "date_forecasts": date_forecasts,
     "gbt_forecast": gbt_forecast,
+    "gbt_predictions": gbt_predictions,
     "tweedie_forecast": tweedie_forecast,
+    "tweedie_predictions": tweedie_predictions,
     "feature_importance": feature_importance,
     "bundle_roundtrip": bundle_roundtrip,
     "config_search": config_search,
