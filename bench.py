@@ -37,7 +37,7 @@ HEADLINE = (
 def network_benchmark(spark, sf_dir):
     """Cross-validation of the default features on every supplier station."""
     series = q._suppliers(spark, sf_dir, DEFAULT_CONFIG.inputs)
-    return run_benchmark(series, [DEFAULT_CONFIG], q.YEARS).folds
+    return run_benchmark(series, [DEFAULT_CONFIG], q.all_years(series)).folds
 
 
 def run(df) -> None:

@@ -80,6 +80,7 @@ from nimbora.streaming.ingest import stream_upsert
 
 HORIZON = 14
 ROUND_SHIFT = 1.37e-8
+#: What the SQL of the queries on SMALL_CONFIG is limited to.
 YEARS = range(1996, 2002)
 
 # Coefficients of the fixed linear model: intercept, then one per input.
@@ -526,12 +527,19 @@ def recursive_linear_forecast(spark, sf_dir):
     return _rounded(as_predictions(paths), "prediction", "actual")
 
 
-def _small_benchmark(spark, sf_dir):
-    return run_benchmark(_regions(spark, sf_dir), [SMALL_CONFIG], YEARS)
+def all_years(series: DataFrame) -> list[int]:
+    """Calendar years of the series, ascending."""
+    return [r.year for r in years_of(series).orderBy("year").collect()]
 
 
-def expanding_ols_forecast(spark, sf_dir):
-    predictions = _small_benchmark(spark, sf_dir).predictions
+def _small_benchmark(spark, sf_dir, every):
+    series = _regions(spark, sf_dir)
+    return run_benchmark(series, [SMALL_CONFIG], all_years(series) if every else YEARS)
+
+
+def expanding_ols_forecast(spark, sf_dir, every=False):
+    """Forecasts of the folds in YEARS, or of `every` year."""
+    predictions = _small_benchmark(spark, sf_dir, every).predictions
     return _rounded(
         predictions.select(KEY, FOLD, "step", DATE, "prediction", "actual"),
         "prediction",
@@ -540,20 +548,20 @@ def expanding_ols_forecast(spark, sf_dir):
     )
 
 
-def ols_summary(spark, sf_dir):
-    summary = _small_benchmark(spark, sf_dir).summary
+def ols_summary(spark, sf_dir, every=False):
+    summary = _small_benchmark(spark, sf_dir, every).summary
     return _rounded(summary, "mae", "mae_std", "rain_error", places=5)
 
 
-def ols_importance(spark, sf_dir):
-    importance = _small_benchmark(spark, sf_dir).importance
+def ols_importance(spark, sf_dir, every=False):
+    importance = _small_benchmark(spark, sf_dir, every).importance
     return _rounded(importance, "importance")
 
 
 def default_benchmark(spark, sf_dir):
     """The default feature set, all folds of all years, per station."""
-    report = run_benchmark(_regions(spark, sf_dir, DEFAULT_CONFIG.inputs), [DEFAULT_CONFIG], YEARS)
-    return report.summary
+    series = _regions(spark, sf_dir, DEFAULT_CONFIG.inputs)
+    return run_benchmark(series, [DEFAULT_CONFIG], all_years(series)).summary
 
 
 def date_forecasts(spark, sf_dir):
@@ -620,7 +628,7 @@ def bundle_roundtrip(spark, sf_dir):
 def config_search(spark, sf_dir):
     """The default and three random feature sets over all years, best 20% per station."""
     series = _regions(spark, sf_dir, BASE_COLUMNS)
-    _, best = explore_configs(series, [DEFAULT_CONFIG], 3, years=YEARS)
+    _, best = explore_configs(series, [DEFAULT_CONFIG], 3, years=all_years(series))
     return best
 
 
@@ -712,6 +720,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "expanding_ols_forecast": expanding_ols_forecast,
     "ols_summary": ols_summary,
     "ols_importance": ols_importance,
+    "expanding_ols_forecast_all": partial(expanding_ols_forecast, every=True),
+    "ols_summary_all": partial(ols_summary, every=True),
+    "ols_importance_all": partial(ols_importance, every=True),
     "default_benchmark": default_benchmark,
     "date_forecasts": date_forecasts,
     "gbt_forecast": gbt_forecast,

@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+import bench
 from catalog import queries as q
 from nimbora.operators import learners
 
@@ -30,3 +31,29 @@ def test_predictions_are_returned(spark, monkeypatch):
     for name in ("gbt_predictions", "tweedie_predictions"):
         rows = q.QUERIES[name](spark, SF_DIR).collect()
         assert len({r["prediction"] for r in rows}) > 1
+
+
+def test_benchmarks_score_every_year(spark, monkeypatch):
+    asked, run = [], q.run_benchmark
+
+    def noted(series, configs, years, **more):
+        asked.append(list(years))
+        return run(series, configs, asked[-1], **more)
+
+    monkeypatch.setattr(q, "run_benchmark", noted)
+    monkeypatch.setattr(bench, "run_benchmark", noted)
+    monkeypatch.setattr(q, "explore_configs", lambda series, *a, years: asked.append(list(years)) or (None, None))
+    for query in (q.default_benchmark, q.config_search, bench.network_benchmark):
+        query(spark, SF_DIR)
+    assert asked == [list(range(1995, 2002))] * 3
+
+
+def test_forecasts_of_every_year_hold_those_of_the_listed_years(spark):
+    key = lambda r: (r["idema"], r["date"], r["step"])
+    some, every = (
+        {key(r): r["prediction"] for r in q.QUERIES[n](spark, SF_DIR).collect()}
+        for n in ("expanding_ols_forecast", "expanding_ols_forecast_all")
+    )
+    more = set(every) - set(some)
+    assert set(some) < set(every) and all(abs(every[k] - some[k]) < 2e-5 for k in some)
+    assert 1995 in {d.year for _, d, _ in more}
