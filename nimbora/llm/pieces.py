@@ -4,11 +4,15 @@ Pieces never hold the space mark after another character, so the lattice of a te
 into that of its words. In a word, forward Viterbi scores are the exact heuristic of a backward
 A* search, which gives its segmentations best first. The best of a text are combinations of those
 of its words; only the words with the smallest loss of second place can differ from their best.
+
+The scores of a BPE model are merge ranks and do not add up to those of a text. For such a model a
+piece scores the logarithm of its share in the model's own encoding of all texts.
 """
 
 import heapq
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -21,13 +25,15 @@ MARK = "▁"
 MEMO_WORDS = 700_000
 #: Added to the lowest score of the vocabulary for a character without a piece. Fixed value.
 UNKNOWN_PENALTY = 10.0
+#: Counted scores are multiples of this, so that their sums are exact and equal scores tie.
+SCORE_STEP = 2.0**-16
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
 class PieceModel:
     """A SentencePiece model file's pieces and scores, and segmentation over them."""
 
-    def __init__(self, path: str, n_best: int, memo_words: int = MEMO_WORDS):
+    def __init__(self, path: str, n_best: int, memo_words: int = MEMO_WORDS, scores: np.ndarray | None = None):
         import sentencepiece
 
         model = self.processor = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -38,7 +44,7 @@ class PieceModel:
             if model.is_byte(i):
                 self.bytes[int(model.id_to_piece(i)[3:5], 16)] = i
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                self.scores[model.id_to_piece(i)] = (model.get_score(i), i.to_bytes(4, "little"))
+                self.scores[model.id_to_piece(i)] = (model.get_score(i) if scores is None else float(scores[i]), i.to_bytes(4, "little"))
         # Every piece and, with None, every other beginning of one.
         self.begins = {p[:n]: None for p in self.scores for n in range(1, len(p) + 1)} | self.scores
         usual = [s for s, _ in self.scores.values() if s > -1e8]
@@ -51,6 +57,22 @@ class PieceModel:
         """The library's own normal form of the text, spaces as marks."""
         return self.processor.normalize(text) if text else ""
 
+    def words(self, text: str) -> list[str]:
+        """The parts of the normal text that are segmented apart."""
+        normal = self.normal(text)
+        return WORD.findall(normal) if self.mark_cuts else [normal] if normal else []
+
+    def own_ids(self, word: str) -> list[int]:
+        """The library's own encoding of a part of a normal text."""
+        first = self.processor.normalize("a").startswith(MARK) and word.startswith(MARK)
+        rest = word[first:].replace(MARK, " ")
+        # Nothing is put before an empty text.
+        return self.processor.encode(rest) if rest else [self.processor.piece_to_id(word)]
+
+    def ranked(self) -> bool:
+        """Whether the model's scores are merge ranks, which are whole numbers."""
+        return all(s == int(s) for s, _ in self.scores.values())
+
     def _fallback(self, char: str) -> bytes:
         raw = char.encode("utf-8", "surrogatepass")
         ids = [self.bytes[b] for b in raw] if self.bytes else [self.unknown_id]
@@ -75,27 +97,26 @@ class PieceModel:
         return ends
 
     def word(self, word: str) -> tuple:
-        """Up to n_best (score, id bytes) of a word, best first; ties in order of id bytes."""
+        """Up to n_best (score, id bytes) of a word, best first; ties in a fixed order, longer
+        last pieces first, which keeps many equal segmentations from being searched side by side."""
         ends, n = self.lattice(word), len(word)
         forward = [0.0] + [0.0] * n
         for j in range(1, n + 1):
             forward[j] = max([forward[i] + s for i, s, _ in ends[j]])
         # Backward from the end: what is done, plus the best score from the start to here.
-        heap, found = [(-forward[n], b"", n, 0.0)], []
+        heap, found = [(-forward[n], n, b"", 0.0)], []
         while heap and len(found) < self.n_best:
-            total, ids, at, done = heapq.heappop(heap)
+            _, at, ids, done = heapq.heappop(heap)
             if at == 0:
                 found.append((done, ids))
                 continue
             for i, s, piece in ends[at]:
-                heapq.heappush(heap, (-(done + s + forward[i]), piece + ids, i, done + s))
+                heapq.heappush(heap, (-(done + s + forward[i]), i, piece + ids, done + s))
         return tuple(found)
 
     def n_best_of(self, text: str) -> list[tuple[float, bytes]]:
         """Up to n_best (score, little-endian 32-bit ids) of a whole text, best first."""
-        normal = self.normal(text)
-        words = WORD.findall(normal) if self.mark_cuts else [normal] if normal else []
-        memo = self.memo
+        words, memo = self.words(text), self.memo
         if len(memo) > self.memo_words:
             memo.clear()
         for w in set(words).difference(memo):
@@ -136,13 +157,51 @@ class PieceModel:
         return self.processor.decode(ids)
 
 
-def piece_model(path: str, n_best: int) -> PieceModel:
-    cache = worker_cache()
-    if cache.get("pieces_of") != (path, n_best):
-        cache["pieces"], cache["pieces_of"] = PieceModel(path, n_best), (path, n_best)
+def piece_model(path: str, n_best: int, scores: np.ndarray | None = None) -> PieceModel:
+    cache, asked = worker_cache(), (path, n_best, None if scores is None else scores.tobytes())
+    if cache.get("pieces_of") != asked:
+        cache["pieces"], cache["pieces_of"] = PieceModel(path, n_best, scores=scores), asked
     return cache["pieces"]
 
 
+def counted_scores(docs: DataFrame, model_path: str, text: str = "text") -> np.ndarray | None:
+    """Log-probability of each piece of a BPE model: its share, one added to each count, in the
+    model's own encoding of all texts. None for a model that has log-probabilities."""
+    import pyarrow as pa
+
+    local = PieceModel(model_path, 1)
+    if not local.ranked():
+        return None
+
+    def counted(batches):
+        model, seen, sums = piece_model(model_path, 1), Counter(), Counter()
+
+        def flush():
+            for word, n in seen.items():
+                for i in model.own_ids(word):
+                    sums[i] += n
+            seen.clear()
+
+        for batch in slices(batches):
+            for t in batch.column(0).to_pylist():
+                seen.update(model.words(t or ""))
+            if len(seen) > MEMO_WORDS:
+                flush()
+        flush()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.int64())], ["id", "n"]
+        )
+
+    found = docs.select(F.col(text).alias("t")).mapInArrow(counted, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = np.zeros(local.processor.get_piece_size())
+    for r in found.collect():  # a row for each piece of the vocabulary at most
+        counts[r["id"]] = r["n"]
+    used = [int.from_bytes(i, "little") for _, i in local.scores.values()]
+    scores = np.zeros(len(counts))
+    scores[used] = np.log((counts[used] + 1) / (counts[used].sum() + len(used)))
+    return np.round(scores / SCORE_STEP) * SCORE_STEP
+
+
 def encode(
     docs: DataFrame, model_path: str, n_best: int = 4, key: str = "doc_id", text: str = "text", with_ids: bool = False
 ) -> DataFrame:
@@ -152,14 +211,16 @@ def encode(
     Texts with fewer segmentations have fewer ranks. A null or empty text has one, without
     pieces, at score 0. Equal scores come in a fixed order; repeated rows are answered each for
     itself; texts are segmented whole; an empty table gives no rows. Other columns are not read.
+    Texts are read twice where pieces have to be counted.
     """
     import pyarrow as pa
 
+    scores = counted_scores(docs, model_path, text)
     names = ["key", "rank", "n_pieces", "score", "ids_crc32"] + ["ids"] * with_ids
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.int32())]
 
     def encoded(batches):
-        model = piece_model(model_path, n_best)
+        model = piece_model(model_path, n_best, scores)
         for batch in slices(batches):
             out = [[] for _ in names]
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

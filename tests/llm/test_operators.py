@@ -263,6 +263,36 @@ def test_best_segmentations_equal_enumeration(docs, empty, texts):
     assert pieces.encode(empty, path).count() == 0
 
 
+def test_first_segmentation_is_that_of_the_library(spark, texts):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    path = P.path("piece_bpe_32k.model")
+    rows = texts + [(100, "library"), (101, "the library of the libraries " * 5), (102, " " * 1007), (103, "  a    b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    scores = pieces.counted_scores(docs, path)
+    own = pieces.PieceModel(path, 4).processor
+    counts = np.bincount(sum((own.encode(t or "") for _, t in rows), []), minlength=len(scores))
+    usual = [i for i in range(len(scores)) if not (own.is_byte(i) or own.is_control(i) or own.is_unknown(i))]
+    want = np.log((counts[usual] + 1) / (counts[usual].sum() + len(usual)))
+    assert np.abs(scores[usual] - want).max() <= pieces.SCORE_STEP
+    # The library's own unigram search over the same scores.
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:
+        proto.ParseFromString(f.read())
+    proto.trainer_spec.model_type = 1
+    for i, piece in enumerate(proto.pieces):
+        piece.score = scores[i]
+    reference = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+    value = lambda ids: sum(scores[i] for i in ids)
+    got = {r["key"]: r for r in pieces.encode(docs, path, 1, with_ids=True).collect()}
+    for key, text in rows:
+        ids, expected = got[key]["ids"], reference.encode(text or "")
+        if not any(own.is_byte(i) for i in ids):
+            assert abs(value(ids) - value(expected)) < 1e-9 and abs(got[key]["score"] - value(ids)) < 1e-9, text
+    assert got[100]["ids"] == own.encode("library") == reference.encode("library")
+
+
 def test_pipeline_stages_take_effect(spark, tmp_path):
     import corpus_pipeline as cp
 
