@@ -51,6 +51,7 @@ class PieceModel:
         self.unknown = min(usual, default=0.0) - UNKNOWN_PENALTY
         self.unknown_id = model.unk_id()
         self.mark_cuts = not any(MARK in p.lstrip(MARK) for p in self.scores)
+        self.mark_first = model.normalize("a").startswith(MARK)
         self.memo: dict[str, tuple] = {}
 
     def normal(self, text: str) -> str:
@@ -64,8 +65,7 @@ class PieceModel:
 
     def own_ids(self, word: str) -> list[int]:
         """The library's own encoding of a part of a normal text."""
-        first = self.processor.normalize("a").startswith(MARK) and word.startswith(MARK)
-        rest = word[first:].replace(MARK, " ")
+        rest = self.plain(word)
         # Nothing is put before an empty text.
         return self.processor.encode(rest) if rest else [self.processor.piece_to_id(word)]
 
@@ -153,6 +153,10 @@ class PieceModel:
             return best
         return b"".join([o[changed.get(i, 0)][1] for i, o in enumerate(options)])
 
+    def plain(self, normal: str) -> str:
+        """A normal text with spaces for marks, without the one put before it."""
+        return normal[self.mark_first and normal.startswith(MARK) :].replace(MARK, " ")
+
     def decode(self, ids: list[int]) -> str:
         return self.processor.decode(ids)
 
@@ -203,10 +207,12 @@ def counted_scores(docs: DataFrame, model_path: str, text: str = "text") -> np.n
 
 
 def encode(
-    docs: DataFrame, model_path: str, n_best: int = 4, key: str = "doc_id", text: str = "text", with_ids: bool = False
+    docs: DataFrame, model_path: str, n_best: int = 4, key: str = "doc_id", text: str = "text", with_ids: bool = False,
+    decoded: bool = False,
 ) -> DataFrame:
     """One row per document and segmentation: key, rank (from 1), n_pieces, score, ids_crc32, and
-    `ids` where asked for.
+    `ids` where asked for. With `decoded`, also text_crc32 of the text decoded from the ids and
+    whether it is the normal text.
 
     Texts with fewer segmentations have fewer ranks. A null or empty text has one, without
     pieces, at score 0. Equal scores come in a fixed order; repeated rows are answered each for
@@ -216,23 +222,30 @@ def encode(
     import pyarrow as pa
 
     scores = counted_scores(docs, model_path, text)
-    names = ["key", "rank", "n_pieces", "score", "ids_crc32"] + ["ids"] * with_ids
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.int32())]
+    names = ["key", "rank", "n_pieces", "score", "ids_crc32"] + ["ids"] * with_ids + ["text_crc32", "same_text"] * decoded
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int64()]
+    kinds += [pa.list_(pa.int32())] * with_ids + [pa.int64(), pa.bool_()] * decoded
 
     def encoded(batches):
         model = piece_model(model_path, n_best, scores)
         for batch in slices(batches):
             out = [[] for _ in names]
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                whole = model.plain(model.normal(t or "")) if decoded else None
                 for rank, (score, ids) in enumerate(model.n_best_of(t or ""), 1):
                     row = [k, rank, len(ids) // 4, score, zlib.crc32(ids)]
-                    for column, value in zip(out, row + [np.frombuffer(ids, "<i4")] * with_ids):
+                    row += [np.frombuffer(ids, "<i4")] * with_ids
+                    if decoded:
+                        back = model.decode(np.frombuffer(ids, "<i4").tolist())
+                        row += [zlib.crc32(back.encode("utf-8", "surrogatepass")), back == whole]
+                    for column, value in zip(out, row):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
 
     fields = "key long, rank int, n_pieces long, score double, ids_crc32 long"
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    return rows.mapInArrow(encoded, fields + ", ids array<int>" * with_ids)
+    fields += ", ids array<int>" * with_ids + ", text_crc32 long, same_text boolean" * decoded
+    return rows.mapInArrow(encoded, fields)
 
 
 def decode(rows: DataFrame, model_path: str, ids: str = "ids", column: str = "text") -> DataFrame:

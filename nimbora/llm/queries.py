@@ -76,7 +76,7 @@ def largest_products(spark, sf_dir):
 
 
 def piece_segmentations(spark, sf_dir):
-    """The two best segmentations of every document."""
+    """The best segmentations of every document, and what each decodes to."""
     docs = table(spark, sf_dir, "documents")
-    found = pieces.encode(docs, vocabulary("piece_bpe_32k.model"), n_best=2)
+    found = pieces.encode(docs, vocabulary("piece_bpe_32k.model"), decoded=True)
     return found.withColumnRenamed("key", "doc_id")

@@ -293,6 +293,18 @@ def test_first_segmentation_is_that_of_the_library(spark, texts):
     assert got[100]["ids"] == own.encode("library") == reference.encode("library")
 
 
+def test_query_decodes_every_segmentation(spark, texts, tmp_path):
+    from nimbora.llm import queries
+
+    rows = texts + [(100, "library"), (101, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.piece_segmentations(spark, str(tmp_path)).collect()
+    assert {r["rank"] for r in got if r["doc_id"] == 100} == {1, 2, 3, 4}
+    text = {k: t or "" for k, t in rows}
+    assert all(r["same_text"] and r["text_crc32"] == zlib.crc32(text[r["doc_id"]].encode()) for r in got if r["doc_id"] < 5)
+    assert {r["doc_id"] for r in got} == set(text) and all(r["same_text"] for r in got)
+
+
 def test_pipeline_stages_take_effect(spark, tmp_path):
     import corpus_pipeline as cp
 
