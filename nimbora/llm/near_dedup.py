@@ -318,20 +318,34 @@ def leader_pairs(large: DataFrame, least: int) -> DataFrame:
 
 def last_pairs(large: DataFrame, least: int) -> DataFrame:
     """Candidates in larger nodes at the last level: rows outside a node's largest known group
-    against all its rows, in blocks."""
+    against all its rows, a block of about BLOCK of these with a block of about BLOCK of those."""
     import pyarrow as pa
 
     groups = large.groupBy("node", "comp").count()
-    main = groups.groupBy("node").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.sum("count").alias("all"))
-    rows = large.join(main, "node").withColumn("blocks", F.ceil(F.col("all") / BLOCK).cast("int"))
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    all_rows = rows.withColumn("block", block).withColumn("side", F.lit(0))
+    biggest = F.max_by(F.struct("comp", "count"), F.struct("count", "comp"))
+    main = groups.groupBy("node").agg(biggest.alias("main"), F.sum("count").alias("all"))
+    main = main.select(
+        "node",
+        F.col("main.comp").alias("main"),
+        F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"),
+        F.ceil((F.col("all") - F.col("main.count")) / BLOCK).cast("int").alias("other_blocks"),
+    )
+    rows = large.join(main, "node")
+
+    def placed(count):
+        return F.pmod(F.xxhash64("rep"), F.col(count)).cast("int")
+
+    def every(count):
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    all_rows = rows.withColumns({"block": placed("blocks"), "side": F.lit(0)}).withColumn("other", every("other_blocks"))
     others = (
         rows.filter(F.col("comp") != F.col("main"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("side", F.lit(1))
+        .withColumns({"other": placed("other_blocks"), "side": F.lit(1)})
+        .withColumn("block", every("blocks"))
     )
-    both = all_rows.unionByName(others).select("node", "block", "side", "rep", "comp", "n", "tokens")
+    fields = ["node", "block", "other", "side", "rep", "comp", "n", "tokens"]
+    both = all_rows.select(fields).unionByName(others.select(fields))
 
     def compare(keys, table):
         side = table.column("side").to_numpy()
@@ -345,7 +359,7 @@ def last_pairs(large: DataFrame, least: int) -> DataFrame:
             b.append(np.maximum(rep[i], rep[j]))
         return pa.table({"a": np.concatenate(a or [rep[:0]]), "b": np.concatenate(b or [rep[:0]])})
 
-    return both.groupBy("node", "block").applyInArrow(compare, "a long, b long")
+    return both.groupBy("node", "block", "other").applyInArrow(compare, "a long, b long")
 
 
 # --- links and groups -------------------------------------------------------

@@ -135,6 +135,31 @@ def test_near_duplicates_equal_brute_force(monkeypatch, docs, empty, texts, smal
         assert near_dedup.near_duplicates(empty, 4, 80).count() == 0
 
 
+def test_groups_of_the_last_level_are_bounded(spark, monkeypatch):
+    from pyspark.sql import GroupedData
+
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rng = np.random.default_rng(12)
+    empty = b"\0" * 4 * near_dedup.COORDINATES
+    looks = [rng.integers(1, 256, near_dedup.BINS, dtype=np.uint8).tobytes() for _ in range(4)]
+    # A main group of 60 rows, and 140 rows that are a group each.
+    rows = [(9, i, 0 if i < 60 else i, 100, bytearray(empty + looks[i % 4])) for i in range(200)]
+    large = spark.createDataFrame(rows, "node long, rep long, comp long, n long, tokens binary")
+    counts = "keys string, rows long"
+    with monkeypatch.context() as m:
+        import pyarrow as pa
+
+        size = lambda keys, table: pa.table({"keys": [str(keys)], "rows": [table.num_rows]})
+        run = GroupedData.applyInArrow
+        for kind in {GroupedData, type(large.groupBy("node"))}:
+            m.setattr(kind, "applyInArrow", lambda self, f, schema: run(self, size, counts))
+        sizes = [r["rows"] for r in near_dedup.last_pairs(large, 80).collect()]
+    assert len(sizes) > 50 and max(sizes) <= 5 * near_dedup.BLOCK
+    got = {(r["a"], r["b"]) for r in near_dedup.last_pairs(large, 80).collect()}
+    comp = [0 if i < 60 else i for i in range(200)]
+    assert got == {(a, b) for a, b in combinations(range(200), 2) if a % 4 == b % 4 and comp[a] != comp[b]}
+
+
 def test_rows_without_key_are_kept(spark):
     docs = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e"), (1, "a b c d e")], "doc_id long, text string")
     rows = near_dedup.near_duplicates(docs).collect()
