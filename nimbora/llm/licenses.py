@@ -90,11 +90,13 @@ def scan(
     Null and empty texts have no words, no places and the score 0. A label of a notice is added
     where a block of words holds at least `threshold` of the notice's distinct words; the score
     is the largest such share, 1 where a base phrase stands. Ties need no order, since labels are
-    sorted sets; repeated rows are answered each for itself; very long texts are many blocks; an
-    empty table gives no rows. Other columns are not read.
+    sorted sets; repeated rows are answered each for itself; very long texts are many blocks, of
+    at least twice the words of the longest notice; an empty table gives no rows. Other columns
+    are not read.
 
     Documents are read twice: once to count the notices' words, once to scan.
     """
+    block = max(block, *(2 * len(words.split(" ")) for _, words in notices))
     vocabulary = _strings(sorted({w for _, words in notices for w in words.split(" ")}))
     normal = docs.select(F.col(key).alias("key"), normal_text(F.col(text)).alias("normal"))
     counted = normal.select(F.array_intersect(word_list(F.col("normal")), vocabulary).alias("vocabulary"))

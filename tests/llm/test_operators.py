@@ -228,6 +228,13 @@ def test_license_places_and_notices(spark, docs, empty):
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(empty).count() == 0
 
 
+def test_long_notices_are_found_wherever_they_stand(spark):
+    notice = " ".join(f"w{i}" for i in range(150))
+    rows = [(i, "x " * i + notice + " y" * 90) for i in range(0, 300, 37)] + [(1000, notice), (1001, "x " * 400)]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), notices=(("long", notice),)).collect()
+    assert {r["key"]: (r["labels"], r["score"]) for r in found} == {k: ("long", 1.0) if k != 1001 else ("", 0.0) for k, _ in rows}
+
+
 def test_personal_data(spark, docs, empty):
     text = "mail a.b@c.example.com. call +1 (377) 555-0271 ip 10.1.2.3 999.1.2.3 card 4111 1111 1111 1111!"
     rows = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
