@@ -31,5 +31,9 @@ def bounded_sample(rows, per_class: int, class_column: str, key: str):
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
-    order = Window.partitionBy(class_column).orderBy(F.xxhash64(key), key)
-    return rows.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= per_class).drop("_place")
+    # First within salts, so that no task sorts all rows of a class.
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(key, F.lit("salt")), F.lit(16)))
+    for groups in ([class_column, "_salt"], [class_column]):
+        order = Window.partitionBy(*groups).orderBy(F.xxhash64(key), key)
+        salted = salted.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= per_class).drop("_place")
+    return salted.drop("_salt")

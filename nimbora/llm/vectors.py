@@ -26,11 +26,11 @@ def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
 
 def members(rows: DataFrame, count: int) -> DataFrame:
     """(id, v, rep): the `count` smallest ids of each class of equal vectors; rep is the smallest."""
+    # With the place alone in the window, each task limits its own rows of a class before the shuffle.
     order = Window.partitionBy("v").orderBy("id")
-    placed = rows.dropDuplicates(["id", "v"]).withColumns(
-        {"place": F.row_number().over(order), "rep": F.first("id").over(order)}
-    )
-    return placed.filter(F.col("place") <= count).drop("place")
+    placed = rows.dropDuplicates(["id", "v"]).withColumn("place", F.row_number().over(order))
+    classes = rows.groupBy("v").agg(F.min("id").alias("rep"))
+    return placed.filter(F.col("place") <= count).join(classes, "v").select("id", "v", "rep")
 
 
 def query_classes(queries: DataFrame) -> tuple[DataFrame, DataFrame]:

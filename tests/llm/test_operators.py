@@ -235,6 +235,22 @@ def test_long_notices_are_found_wherever_they_stand(spark):
     assert {r["key"]: (r["labels"], r["score"]) for r in found} == {k: ("long", 1.0) if k != 1001 else ("", 0.0) for k, _ in rows}
 
 
+def test_classes_and_samples_are_limited_before_the_shuffle(spark, vectors):
+    from pyspark.sql import functions as F
+
+    from nimbora.llm.ngrams import bounded_sample
+    from nimbora.llm.vectors import members, usable
+
+    found = members(usable(vectors[1], "vec_id", "embedding"), 6)
+    assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["id"] for r in found.filter("rep = 7").collect()) == [7, 300, 301, 302, 303, 304]
+    rows = spark.range(5000).selectExpr("id", "id % 2 as c")
+    sample = bounded_sample(rows, 1200, "c", "id")
+    assert "_salt" in sample._jdf.queryExecution().optimizedPlan().toString()
+    want = {r["id"] for c in (0, 1) for r in rows.filter(f"c = {c}").orderBy(F.xxhash64("id"), "id").limit(1200).collect()}
+    assert sample.columns == ["id", "c"] and {r["id"] for r in sample.collect()} == want
+
+
 def test_personal_data(spark, docs, empty):
     text = "mail a.b@c.example.com. call +1 (377) 555-0271 ip 10.1.2.3 999.1.2.3 card 4111 1111 1111 1111!"
     rows = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
