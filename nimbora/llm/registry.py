@@ -13,5 +13,8 @@ QUERIES = {
     "op8_toxicity": q.toxicity_scores,
     "op9_language": q.languages,
     "op10_token_files": q.token_files,
+    "op11_periodic_runs": q.periodic_runs,
+    "op12_spelling_variants": q.spelling_variants,
+    "op13_credentials": q.linked_credentials,
 }
 ORACLE: dict[str, str] = {}
