@@ -5,7 +5,7 @@ of the table adapter; everything after that is written out independently. Values
 1.37e-8 before rounding, as on the Spark side, so that no exact half has to be rounded.
 """
 
-from catalog.queries import FIXED_WEIGHTS, YEARS
+from catalog.queries import FIXED_WEIGHTS
 from nimbora.constants import METRIC_FIELDS, NUMBER_FIELDS, STEP_SPREAD_MM
 from nimbora.sources.adapter import DERIVED, FIELDS
 
@@ -273,8 +273,14 @@ moments as (
          covar_pop(x, precipitation) cxy, covar_pop(d, precipitation) cdy
   from small_grid g join rows_ r on r.date <= g.cutoff group by all),
 fits as (
-  select *, (cxy * vd - cdy * cxd) / (vx * vd - cxd * cxd) bx,
-            (cdy * vx - cxy * cxd) / (vx * vd - cxd * cxd) bd from moments),
+  select *,
+    case when flat_x then 0e0 when flat_d then cxy / vx when same then cxy / vx / 2
+         else (cxy * vd - cdy * cxd) / (vx * vd - cxd * cxd) end bx,
+    case when flat_d then 0e0 when flat_x then cdy / vd when same then cdy / vd / 2
+         else (cdy * vx - cxy * cxd) / (vx * vd - cxd * cxd) end bd
+  from (select *, 1 - abs(cxd) / sqrt(vx * vd) <= 1e-10 same from
+    (select *, vx <= 1e-12 * greatest(1, mx * mx) flat_x, vd <= 1e-12 * greatest(1, md * md) flat_d
+     from moments))),
 small_tests as (
   select r.idema, g.fold_id, r.precipitation actual,
          row_number() over (partition by r.idema, g.fold_id order by r.date) step
@@ -290,7 +296,7 @@ small_pred as (
   left join small_tests t on t.idema = f.idema and t.fold_id = f.fold_id and t.step = f.step),
 small_pairs as (select * from small_pred where actual is not null)"""
 
-_YEAR_GRID = f"select * from grid where year between {YEARS[0]} and {YEARS[-1]}"
+_YEAR_GRID = "select * from grid"
 _DAY_GRID = """select fold_id, year(cutoff) as year, cutoff
   from (values (1, date '1998-03-13'), (2, date '2000-02-25')) v(fold_id, cutoff)"""
 
@@ -536,8 +542,21 @@ from summary""",
 weights as (
   select idema, abs(bx) * sqrt(vx) wx, abs(bd) * sqrt(vd) wd from fits)
 select 'small' config_id, idema, unnest(['precipitation_lag_14d', 'day_of_year']) feature,
-       round(unnest([avg(wx / (wx + wd)), avg(wd / (wx + wd))]) + 1.37e-8, 6) importance
+       round(unnest([avg(case when wx + wd > 0 then wx / (wx + wd) else 0 end),
+                     avg(case when wx + wd > 0 then wd / (wx + wd) else 0 end)]) + 1.37e-8, 6) importance
 from weights group by idema""",
+        "tree_fold_scores": _clean(
+            """trained as (select idema, date, precipitation from clean where rn > 25),
+firsts as (select distinct cast(date_trunc('quarter', date) as date) - 1 cutoff from clean),
+means as (
+  select idema, cast(cutoff as date) cutoff, avg(precipitation) mean
+  from firsts join trained on date <= cutoff group by all)"""
+        )
+        + """
+select m.idema, cast(count(distinct cutoff) as int) folds, cast(count(*) as int) as days,
+       round(avg(abs(precipitation - mean)) + 1.37e-8, 6) mean_error, cast(1 as int) sound
+from means m join trained t on t.idema = m.idema and t.date > cutoff and t.date <= cutoff + 14
+group by all""",
         **{
             name: _clean("""trained as (select * from clean where rn > 25),
 after_ as (
@@ -560,4 +579,6 @@ select c_custkey, error,
        case when error is null then 14 end forecast_horizon
 from checked""",
     }
+    # Names from when the plain ones were limited to some years.
+    texts |= {f"{name}_all": texts[name] for name in ("expanding_ols_forecast", "ols_summary", "ols_importance")}
     return texts

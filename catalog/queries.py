@@ -58,7 +58,7 @@ from nimbora.operators.split import (
     train_test_split,
 )
 from nimbora.operators.upsert import latest_records, upsert_counts
-from nimbora.plans.benchmark import run_benchmark
+from nimbora.plans.benchmark import boosted_trees, run_benchmark
 from nimbora.plans.predict import (
     chart_table,
     export_model,
@@ -80,8 +80,6 @@ from nimbora.streaming.ingest import stream_upsert
 
 HORIZON = 14
 ROUND_SHIFT = 1.37e-8
-#: What the SQL of the queries on SMALL_CONFIG is limited to.
-YEARS = range(1996, 2002)
 
 # Coefficients of the fixed linear model: intercept, then one per input.
 FIXED_CONFIG = FeatureConfig(
@@ -527,19 +525,20 @@ def recursive_linear_forecast(spark, sf_dir):
     return _rounded(as_predictions(paths), "prediction", "actual")
 
 
-def all_years(series: DataFrame) -> list[int]:
-    """Calendar years of the series, ascending."""
-    return [r.year for r in years_of(series).orderBy("year").collect()]
+def all_years(records: DataFrame) -> list[int]:
+    """Calendar years of stored records, ascending, from their day texts alone."""
+    years = records.select(F.substring(F.trim(DAY), 1, 4).cast("int").alias("year")).distinct()
+    return [r.year for r in years.orderBy("year").collect()]
 
 
-def _small_benchmark(spark, sf_dir, every):
-    series = _regions(spark, sf_dir)
-    return run_benchmark(series, [SMALL_CONFIG], all_years(series) if every else YEARS)
+def _small_benchmark(spark, sf_dir):
+    """Every fold of all years."""
+    records = region_records(spark, sf_dir)
+    return run_benchmark(daily_series(records, (TARGET,)), [SMALL_CONFIG], all_years(records))
 
 
-def expanding_ols_forecast(spark, sf_dir, every=False):
-    """Forecasts of the folds in YEARS, or of `every` year."""
-    predictions = _small_benchmark(spark, sf_dir, every).predictions
+def expanding_ols_forecast(spark, sf_dir):
+    predictions = _small_benchmark(spark, sf_dir).predictions
     return _rounded(
         predictions.select(KEY, FOLD, "step", DATE, "prediction", "actual"),
         "prediction",
@@ -548,20 +547,20 @@ def expanding_ols_forecast(spark, sf_dir, every=False):
     )
 
 
-def ols_summary(spark, sf_dir, every=False):
-    summary = _small_benchmark(spark, sf_dir, every).summary
+def ols_summary(spark, sf_dir):
+    summary = _small_benchmark(spark, sf_dir).summary
     return _rounded(summary, "mae", "mae_std", "rain_error", places=5)
 
 
-def ols_importance(spark, sf_dir, every=False):
-    importance = _small_benchmark(spark, sf_dir, every).importance
-    return _rounded(importance, "importance")
+def ols_importance(spark, sf_dir):
+    return _rounded(_small_benchmark(spark, sf_dir).importance, "importance")
 
 
 def default_benchmark(spark, sf_dir):
     """The default feature set, all folds of all years, per station."""
-    series = _regions(spark, sf_dir, DEFAULT_CONFIG.inputs)
-    return run_benchmark(series, [DEFAULT_CONFIG], all_years(series)).summary
+    records = region_records(spark, sf_dir)
+    series = daily_series(records, DEFAULT_CONFIG.inputs)
+    return run_benchmark(series, [DEFAULT_CONFIG], all_years(records)).summary
 
 
 def date_forecasts(spark, sf_dir):
@@ -625,10 +624,44 @@ def bundle_roundtrip(spark, sf_dir):
     return forecast_from_bundle(records, loaded, checked, DEFAULT_CONFIG)
 
 
+def _quarter_days(series: DataFrame) -> list[date]:
+    """The first day of each quarter in which the series has rows."""
+    quarters = series.select(F.to_date(F.date_trunc("quarter", F.col(DATE))).alias("day")).distinct()
+    return [r.day for r in quarters.orderBy("day").collect()]
+
+
+def tree_fold_predictions(spark, sf_dir):
+    """Boosted trees with Tweedie loss, refitted for each station at the start of every quarter."""
+    series = _pooled(spark, sf_dir)
+    return predict_dates(series, _quarter_days(series), DEFAULT_CONFIG, boosted_trees())
+
+
+def tree_fold_scores(spark, sf_dir):
+    """Per station: folds, scored days, the error of the training mean, and whether the trees of
+    `tree_fold_predictions` stay below 1.1 times that error."""
+    series = materialize(_pooled(spark, sf_dir), "series")
+    first_days = _quarter_days(series)
+    predictions = predict_dates(series, first_days, DEFAULT_CONFIG, boosted_trees())
+    table = feature_table(series, DEFAULT_CONFIG).select(KEY, DATE, TARGET)
+    cutoffs = F.explode(F.array(*[F.lit(d - timedelta(days=1)) for d in first_days])).alias("cutoff")
+    means = table.select(KEY, DATE, TARGET, cutoffs).filter(F.col(DATE) <= F.col("cutoff"))
+    means = means.groupBy(KEY, "cutoff").agg(F.avg(TARGET).alias("mean"))
+    scored = predictions.filter("actual is not null").join(means, [KEY, "cutoff"])
+    error = lambda by: F.avg(F.abs(F.col("actual") - F.col(by)))
+    station = scored.groupBy(KEY).agg(
+        F.countDistinct("cutoff").cast("int").alias("folds"),
+        F.count("*").cast("int").alias("days"),
+        error("mean").alias("mean_error"),
+        (error("prediction") <= 1.1 * error("mean")).cast("int").alias("sound"),
+    )
+    return _rounded(station, "mean_error")
+
+
 def config_search(spark, sf_dir):
     """The default and three random feature sets over all years, best 20% per station."""
-    series = _regions(spark, sf_dir, BASE_COLUMNS)
-    _, best = explore_configs(series, [DEFAULT_CONFIG], 3, years=all_years(series))
+    records = region_records(spark, sf_dir)
+    series = daily_series(records, BASE_COLUMNS)
+    _, best = explore_configs(series, [DEFAULT_CONFIG], 3, years=all_years(records))
     return best
 
 
@@ -720,9 +753,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "expanding_ols_forecast": expanding_ols_forecast,
     "ols_summary": ols_summary,
     "ols_importance": ols_importance,
-    "expanding_ols_forecast_all": partial(expanding_ols_forecast, every=True),
-    "ols_summary_all": partial(ols_summary, every=True),
-    "ols_importance_all": partial(ols_importance, every=True),
+    "expanding_ols_forecast_all": expanding_ols_forecast,
+    "ols_summary_all": ols_summary,
+    "ols_importance_all": ols_importance,
     "default_benchmark": default_benchmark,
     "date_forecasts": date_forecasts,
     "gbt_forecast": gbt_forecast,
@@ -731,6 +764,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tweedie_predictions": tweedie_predictions,
     "feature_importance": feature_importance,
     "bundle_roundtrip": bundle_roundtrip,
+    "tree_fold_predictions": tree_fold_predictions,
+    "tree_fold_scores": tree_fold_scores,
     "config_search": config_search,
     "manifest_validate": manifest_validate,
 }

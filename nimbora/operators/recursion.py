@@ -17,6 +17,7 @@ from nimbora.functions.arrays import array_mean, array_std, array_sum, let
 from nimbora.functions.calendar import CALENDAR
 from nimbora.functions.scoring import non_negative
 from nimbora.operators.specs import LAG, FeatureConfig, Spec
+from nimbora.operators.trees import MODEL_FIELDS, tree_sum
 
 
 def _missing() -> Column:
@@ -114,6 +115,23 @@ def linear_path(
     return recursive_path(config, arrays, cutoff, predict)
 
 
+def tree_path(
+    config: FeatureConfig,
+    arrays: dict[str, Column],
+    cutoff: Column,
+    model: dict[str, Column],
+    depth: int,
+    exponentiate: bool = False,
+) -> Column:
+    """`recursive_path` of a tree ensemble given as columns; `exponentiate` for a log link."""
+
+    def predict(inputs: list[Column]) -> Column:
+        total = tree_sum(inputs, *(model[f] for f in MODEL_FIELDS), depth)
+        return F.exp(total) if exponentiate else total
+
+    return recursive_path(config, arrays, cutoff, predict)
+
+
 def transform_path(
     state: DataFrame, config: FeatureConfig, inputs: Sequence[str], model
 ) -> DataFrame:

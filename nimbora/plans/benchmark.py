@@ -1,6 +1,6 @@
 """Expanding-window cross-validation: configs x stations x folds as one job."""
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from datetime import date
 
@@ -27,8 +27,9 @@ from nimbora.operators.metrics import (
     mean_importance,
     residual_spread,
 )
-from nimbora.operators.recursion import as_predictions, linear_path
+from nimbora.operators.recursion import as_predictions, linear_path, tree_path
 from nimbora.operators.specs import FeatureConfig, base_columns, distinct_specs
+from nimbora.operators.trees import MODEL_FIELDS, TreeParams, expanding_trees
 from nimbora.session import materialize
 from nimbora.sources.sinks import write_table
 
@@ -51,6 +52,39 @@ class BenchmarkReport:
         write_table(self.importance, f"{path}/importance", mode)
 
 
+@dataclass(frozen=True)
+class FoldLearner:
+    """How every fold is fitted, and how a fit, a struct of `fields`, forecasts.
+
+    `fit(features, grid, configs)` gives one row per (idema, config_id, cutoff) with the fields and
+    `importances`; `path(config, arrays, cutoff, fit)` is the array of clipped predictions.
+    """
+
+    fit: Callable[[DataFrame, DataFrame, Sequence[FeatureConfig]], DataFrame]
+    fields: tuple[str, ...]
+    path: Callable[[FeatureConfig, dict[str, Column], Column, Column], Column]
+
+
+LEAST_SQUARES = FoldLearner(
+    expanding_least_squares,
+    ("intercept", "coefficients"),
+    lambda config, arrays, cutoff, fit: linear_path(config, arrays, cutoff, fit["intercept"], fit["coefficients"]),
+)
+
+
+def boosted_trees(params: TreeParams = TreeParams(), fits_per_task: int = 4) -> FoldLearner:
+    """Boosted trees refitted at every cutoff, Tweedie loss by default."""
+
+    def path(config, arrays, cutoff, fit):
+        model = {f: fit[f] for f in MODEL_FIELDS}
+        return tree_path(config, arrays, cutoff, model, params.depth, exponentiate=params.power is not None)
+
+    def fit(features, grid, configs):
+        return expanding_trees(features, grid, configs, params, fits_per_task=fits_per_task)
+
+    return FoldLearner(fit, MODEL_FIELDS, path)
+
+
 def union_features(series: DataFrame, configs: Sequence[FeatureConfig]) -> DataFrame:
     """Features of all configs computed once, warm-up rows still in."""
     calendar = list(dict.fromkeys(c for config in configs for c in config.calendar))
@@ -64,6 +98,7 @@ def fold_forecasts(
     grid: DataFrame,
     configs: Sequence[FeatureConfig],
     training_min_date: date | None = None,
+    learner: FoldLearner = LEAST_SQUARES,
 ) -> DataFrame:
     """Predictions of every fitted fold, paired with the rows that came after it."""
     inputs = base_columns(distinct_specs(configs))
@@ -79,29 +114,27 @@ def fold_forecasts(
             F.filter("history", lambda e: e["offset"] >= first).alias("history"),
             "observed",
         )
-    fit = F.struct("intercept", "coefficients")
+    fit = F.struct(*learner.fields)
     by_config = F.map_from_entries(F.collect_list(F.struct("config_id", fit.alias("fit"))))
     folds = fits.groupBy(KEY, "cutoff").agg(by_config.alias("fits")).join(
         F.broadcast(grid), "cutoff"
     )
     state = folds.join(windows, [KEY, FOLD], "left")
-    candidates = [_candidate(c, lookback) for c in configs]
+    candidates = [_candidate(c, lookback, learner) for c in configs]
     paths = state.select(
         KEY, FOLD, "year", "cutoff", F.inline(F.array_compact(F.array(*candidates)))
     )
     return as_predictions(paths)
 
 
-def _candidate(config: FeatureConfig, lookback: int) -> Column:
+def _candidate(config: FeatureConfig, lookback: int, learner: FoldLearner) -> Column:
     """(config_id, path, observed) of one config over a state row, NULL if it has no fit."""
     fit = F.try_element_at("fits", F.lit(config.config_id))
     arrays = dense_history(base_columns(config.specs), lookback, config.warmup)
     seen = F.slice(observed_values(config.warmup), 1, config.horizon)
 
     def forecast(found: Column) -> Column:
-        path = linear_path(
-            config, arrays, F.col("cutoff"), found["intercept"], found["coefficients"]
-        )
+        path = learner.path(config, arrays, F.col("cutoff"), found)
         candidate = F.struct(
             F.lit(config.config_id).alias("config_id"),
             path.alias("path"),
@@ -120,13 +153,14 @@ def run_benchmark(
     year_min_day: int | None = None,
     year_max_day: int | None = None,
     keep: bool = False,
+    learner: FoldLearner = LEAST_SQUARES,
 ) -> BenchmarkReport:
     """Refit per cutoff, forecast, score and summarise each config on each station.
 
-    The learner is least squares, whose refits share one pass over the data. Configs of
-    one call must agree on the horizon, because the fold grid steps by it. `keep` writes
-    fits and predictions to shared storage, so that reading several of the result tables
-    does the work once.
+    Refits of the default learner, least squares, share one pass over the data; those of
+    `boosted_trees()` are dealt out by station and run of cutoffs. Configs of one call must
+    agree on the horizon, because the fold grid steps by it. `keep` writes fits and predictions
+    to shared storage, so that reading several of the result tables does the work once.
     """
     if len({c.horizon for c in configs}) != 1:
         raise ValueError("configs of one benchmark must share the forecast horizon")
@@ -138,10 +172,10 @@ def run_benchmark(
     features = union_features(rows, configs)
     if training_min_date is not None:
         features = features.filter(F.col(DATE) >= F.lit(training_min_date))
-    fits = expanding_least_squares(features, grid, configs)
+    fits = learner.fit(features, grid, configs)
     if keep:
         fits = materialize(fits, "fits")
-    predictions = fold_forecasts(rows, fits, grid, configs, training_min_date)
+    predictions = fold_forecasts(rows, fits, grid, configs, training_min_date, learner)
     if keep:
         predictions = materialize(predictions, "predictions")
     folds = fold_metrics(predictions)

@@ -4,6 +4,7 @@ from collections.abc import Callable, Iterable
 from datetime import date, timedelta
 from inspect import signature
 
+from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,11 +19,12 @@ from nimbora.operators.folds import (
     fold_windows,
     observed_values,
 )
-from nimbora.operators.learners import FittedModel, expanding_least_squares, fit_boosted_trees
+from nimbora.operators.learners import FittedModel, fit_boosted_trees
 from nimbora.operators.metrics import default_spread, forecast_bands, window_metrics
-from nimbora.operators.recursion import as_predictions, transform_path
+from nimbora.operators.recursion import as_predictions, transform_path, tree_path
 from nimbora.operators.specs import DEFAULT_CONFIG, LOOKBACK_DAYS, FeatureConfig
-from nimbora.plans.benchmark import fold_forecasts, union_features
+from nimbora.operators.trees import ensemble_columns, mllib_ensemble
+from nimbora.plans.benchmark import LEAST_SQUARES, FoldLearner, fold_forecasts, union_features
 from nimbora.sources.bundle import Manifest, save_bundle
 
 Learner = Callable[[DataFrame, FeatureConfig], FittedModel]
@@ -61,13 +63,20 @@ def forecast_states(series: DataFrame, config: FeatureConfig, cutoff: date) -> D
 def run_forecast(
     series: DataFrame, fitted: FittedModel, config: FeatureConfig, cutoff: date
 ) -> DataFrame:
-    """Recursive forecast of every station with one fitted model, paired with actuals."""
+    """Recursive forecast of every station with one fitted model, paired with actuals.
+
+    Tree ensembles are walked inside one expression; other models take a transform a step.
+    """
     if fitted.feature_columns != config.columns:
         raise ValueError("the model was fitted on other features than the config names")
-    paths = transform_path(
-        forecast_states(series, config, cutoff), config, config.inputs, fitted.model
-    )
-    return as_predictions(paths)
+    state = forecast_states(series, config, cutoff)
+    if not isinstance(fitted.model, GBTRegressionModel):
+        return as_predictions(transform_path(state, config, config.inputs, fitted.model))
+    model = ensemble_columns(mllib_ensemble(series.sparkSession, fitted.model))
+    arrays = {c: F.col(c) for c in config.inputs}
+    path = tree_path(config, arrays, F.col("cutoff"), model, fitted.model.getMaxDepth())
+    carried = [c for c in state.columns if c not in config.inputs]
+    return as_predictions(state.select(*carried, path.alias("path")))
 
 
 def fit_at(
@@ -98,12 +107,13 @@ def predict_dates(
     series: DataFrame,
     first_days: Iterable[date],
     config: FeatureConfig = DEFAULT_CONFIG,
+    learner: FoldLearner = LEAST_SQUARES,
 ) -> DataFrame:
-    """Forecasts starting on each given day, all refits in one pass (least squares)."""
+    """Forecasts starting on each given day, refitted for each station and day in one job."""
     rows = indexed(series)
     grid = cutoff_grid(series.sparkSession, [d - timedelta(days=1) for d in first_days])
-    fits = expanding_least_squares(union_features(rows, [config]), grid, [config])
-    return fold_forecasts(rows, fits, grid, [config])
+    fits = learner.fit(union_features(rows, [config]), grid, [config])
+    return fold_forecasts(rows, fits, grid, [config], learner=learner)
 
 
 def predict_dates_with(
@@ -173,5 +183,7 @@ def report(predictions: DataFrame, horizon: int = HORIZON) -> DataFrame:
 def chart_table(predictions: DataFrame, spread: DataFrame | None = None) -> DataFrame:
     """Forecast rows with band and levels, as the charts show them. `spread` is that of a
     benchmark of the same model; without it the default band is used."""
-    return forecast_bands(predictions, spread or default_spread(predictions.sparkSession))
+    if spread is None:
+        spread = default_spread(predictions.sparkSession)
+    return forecast_bands(predictions, spread)
 
