@@ -9,6 +9,7 @@ from nimbora.constants import KEY, TARGET
 from nimbora.functions.arrays import let
 from nimbora.operators.blocks import ROW_INDEX
 from nimbora.operators.split import days_around, join_days
+from nimbora.session import dealt_by
 
 FOLD = "fold_id"
 
@@ -73,7 +74,7 @@ def fold_windows(
         F.col("offset") > 0,
         F.struct("offset", ROW_INDEX, F.col(TARGET).cast("double").alias("actual")),
     )
-    return near.groupBy(KEY, FOLD).agg(
+    return dealt_by(near, KEY, FOLD).groupBy(KEY, FOLD).agg(
         F.collect_list(past).alias("history"),
         F.sort_array(F.collect_list(ahead)).alias("observed"),
     )

@@ -1,8 +1,8 @@
 """Learners: least squares for every cutoff in one pass, and MLlib regressors.
 
-Expanding-window least squares never copies training rows. Each task turns its rows into
-cross-product sums per (station, config, cutoff interval); adding those up in cutoff
-order gives the normal equations of every fold.
+Expanding-window least squares never copies training rows. Rows become sums of products per
+(station, cutoff interval), for the columns of all configs together; adding those up in cutoff
+order gives the normal equations of every fold, and each config takes its part of them.
 """
 
 from collections.abc import Iterator, Sequence
@@ -20,10 +20,13 @@ from pyspark.sql import functions as F
 from nimbora.constants import DATE, KEY, SEED, TARGET
 from nimbora.operators.blocks import ROW_INDEX
 from nimbora.operators.specs import FeatureConfig
+from nimbora.session import dealt_by
 
 _EPOCH = date(1970, 1, 1)
 
-SUMS_SCHEMA = f"{KEY} string, config_id string, bucket int, sums array<double>"
+#: Up to so many columns, [1, inputs, target], their products are summed by generated code. Cutoffs
+#: whose running sums are held at a time.
+JVM_COLUMNS, SCAN_CUTOFFS = 16, 256
 FIT_SCHEMA = (
     f"{KEY} string, config_id string, cutoff date, n_train long, "
     "intercept double, coefficients array<double>, importances array<double>"
@@ -35,30 +38,41 @@ def _cutoff_list(grid: DataFrame) -> list[date]:
     return [r.cutoff for r in grid.select("cutoff").distinct().orderBy("cutoff").collect()]
 
 
-def _interval_sums(
-    batches: Iterator[pd.DataFrame], plans: list[tuple[str, int, list[str]]], edges: np.ndarray
-) -> Iterator[pd.DataFrame]:
-    """Cross products of [1, inputs, target] per (station, first cutoff that trains on it)."""
-    for batch in batches:
-        bucket = np.searchsorted(edges, batch["day"].to_numpy(), side="left")
-        station, names = pd.factorize(batch[KEY])
-        code = station.astype(np.int64) * (len(edges) + 1) + bucket
-        order = np.argsort(code, kind="stable")
-        out = []
-        for config_id, warmup, columns in plans:
-            rows = order[batch[ROW_INDEX].to_numpy()[order] > warmup]
-            if not len(rows):
-                continue
-            z = np.column_stack(
-                [np.ones(len(rows)), batch[[*columns, TARGET]].to_numpy(float)[rows]]
-            )
-            starts = np.flatnonzero(np.diff(code[rows], prepend=-1))
-            for lo, hi in zip(starts, [*starts[1:], len(rows)]):
-                part = z[lo:hi]
-                first = rows[lo]
-                out.append((names[station[first]], config_id, int(bucket[first]), (part.T @ part).ravel()))
-        if out:
-            yield pd.DataFrame(out, columns=[KEY, "config_id", "bucket", "sums"])
+def _jvm_sums(rows: DataFrame, inputs: Sequence[str]) -> DataFrame:
+    """(idema, bucket, stage, sums): pairwise products of [1, inputs, target], upper triangle by
+    rows, added up inside Spark's own aggregation, map-side first."""
+    values = [F.lit(1.0), *[F.col(n) for n in inputs], F.col(TARGET).cast("double")]
+    products = [F.sum(a * b) for i, a in enumerate(values) for b in values[i:]]
+    return rows.groupBy(KEY, "bucket", "stage").agg(F.array(*products).alias("sums"))
+
+
+def _arrow_sums(rows: DataFrame, inputs: Sequence[str]) -> DataFrame:
+    """As `_jvm_sums`, for more products than one generated aggregation can hold."""
+    columns, names = [*inputs, TARGET], [KEY, "bucket", "stage", "sums"]
+    triangle = np.triu_indices(len(columns) + 1)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for group, part in batch.groupby(names[:3], sort=False):
+                z = np.column_stack([np.ones(len(part)), part[columns].to_numpy(float)])
+                out.append((*group, (z.T @ z)[triangle]))
+            if out:
+                yield pd.DataFrame(out, columns=names)
+
+    return rows.mapInPandas(sums, f"{KEY} string, bucket int, stage int, sums array<double>")
+
+
+def cutoff_buckets(features: DataFrame, edges: np.ndarray) -> DataFrame:
+    """Adds `bucket`, the first cutoff (by its place in `edges`, days since 1970) that a row's day
+    does not exceed. The days between the cutoffs are configuration, like the cutoffs, and so
+    is what is broadcast: a row for each."""
+    days = np.arange(edges[0], edges[-1] + 1)
+    table = pd.DataFrame({"_day": days, "bucket": np.searchsorted(edges, days, side="left")}).astype("int32")
+    known = F.broadcast(features.sparkSession.createDataFrame(table, "_day int, bucket int"))
+    rows = features.filter(F.unix_date(DATE) <= int(edges[-1]))
+    met = rows.join(known, F.unix_date(DATE) == F.col("_day"), "left")
+    return met.select(*features.columns, F.coalesce("bucket", F.lit(0)).alias("bucket"))
 
 
 def _solve(moments: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,51 +96,87 @@ def _solve(moments: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return intercept, coefficients, importance
 
 
-def _fit_station(rows: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
-    """All cutoffs of one (station, config): at most one row of sums per task and interval."""
-    sums = np.stack(rows["sums"].to_numpy())
-    width = int(round(sums.shape[1] ** 0.5))
-    steps = np.zeros((len(edges), width * width))
-    np.add.at(steps, rows["bucket"].to_numpy(), sums)
-    moments = np.cumsum(steps, axis=0).reshape(-1, width, width)
-    trained = moments[:, 0, 0] > 0
-    intercept, coefficients, importance = _solve(moments[trained])
-    return pd.DataFrame(
-        {
-            KEY: rows[KEY].iloc[0],
-            "config_id": rows["config_id"].iloc[0],
-            "cutoff": [date.fromordinal(_EPOCH.toordinal() + int(d)) for d in edges[trained]],
-            "n_train": moments[trained, 0, 0].round().astype("int64"),
-            "intercept": intercept,
-            "coefficients": list(coefficients),
-            "importances": list(importance),
-        }
-    )
+def _scan(rows: pd.DataFrame, edges: np.ndarray, size: int, block: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first place, running sums) of a station's cutoffs in blocks: cutoffs x stages x products.
+    Stage k of the running sums holds the rows beyond the first k + 1 warm-ups."""
+    stages = int(rows["stage"].max()) + 1
+    bucket, stage = rows["bucket"].to_numpy(), rows["stage"].to_numpy()
+    order = np.argsort(bucket, kind="stable")
+    total = np.zeros((stages, size))
+    for first in range(0, len(edges), block):
+        steps = np.zeros((min(block, len(edges) - first), stages, size))
+        low, high = np.searchsorted(bucket[order], [first, first + len(steps)])
+        here = order[low:high]
+        if len(here):
+            sums = np.stack(rows["sums"].iloc[here].to_numpy())
+            np.add.at(steps, (bucket[here] - first, stage[here]), sums)
+        steps[0] += total
+        running = np.cumsum(steps, axis=0)
+        total = running[-1]
+        yield first, np.cumsum(running[:, ::-1], axis=1)[:, ::-1]
+
+
+def _fit_station(rows: pd.DataFrame, edges: np.ndarray, plans, width: int, block: int) -> pd.DataFrame:
+    """All configs and cutoffs of a station. A config takes its own part of the products."""
+    upper = np.triu_indices(width)
+    place = np.zeros((width, width), dtype=int)
+    place[upper] = np.arange(len(upper[0]))
+    place = np.maximum(place, place.T)
+    out = []
+    for first, running in _scan(rows, edges, len(upper[0]), block):
+        for config_id, stage, at in plans:
+            if stage >= running.shape[1]:
+                continue
+            moments = running[:, stage][:, place[np.ix_(at, at)]]
+            trained = moments[:, 0, 0] > 0.5
+            if not trained.any():
+                continue
+            intercept, coefficients, importance = _solve(moments[trained])
+            days = edges[first : first + len(moments)][trained]
+            out.append(
+                pd.DataFrame(
+                    {
+                        KEY: rows[KEY].iloc[0],
+                        "config_id": config_id,
+                        "cutoff": [date.fromordinal(_EPOCH.toordinal() + int(d)) for d in days],
+                        "n_train": moments[trained, 0, 0].round().astype("int64"),
+                        "intercept": intercept,
+                        "coefficients": list(coefficients),
+                        "importances": list(importance),
+                    }
+                )
+            )
+    return pd.concat(out) if out else pd.DataFrame(columns=[f.split()[0] for f in FIT_SCHEMA.split(", ")])
 
 
 def expanding_least_squares(
-    features: DataFrame, grid: DataFrame, configs: Sequence[FeatureConfig]
+    features: DataFrame, grid: DataFrame, configs: Sequence[FeatureConfig], block: int = SCAN_CUTOFFS
 ) -> DataFrame:
     """One fit per (station, config, cutoff) on all feature rows up to the cutoff.
 
     `features` holds the columns of all configs; each config drops its own warm-up.
     Rows: idema, config_id, cutoff, n_train, intercept, coefficients, importances, the
     arrays in `config.columns` order. Cutoffs without a training row give none.
+
+    The products of all columns in use are added up once per (station, cutoff interval, warm-up
+    stage), whatever the number of configs, and scanned over the intervals `block` cutoffs at a time.
     """
-    cutoffs = _cutoff_list(grid)
-    edges = np.array([(d - _EPOCH).days for d in cutoffs])
-    plans = [(c.config_id, c.warmup, c.columns) for c in configs]
-    used = list(dict.fromkeys(n for c in configs for n in c.columns))
-    rows = features.filter(F.col(DATE) <= F.lit(cutoffs[-1])).select(
-        KEY,
-        F.unix_date(DATE).alias("day"),
-        ROW_INDEX,
-        TARGET,
-        *[F.col(n).cast("double").alias(n) for n in used if n != TARGET],
+    edges = np.array([(d - _EPOCH).days for d in _cutoff_list(grid)])
+    inputs = list(dict.fromkeys(n for c in configs for n in c.columns if n != TARGET))
+    names = [None, *inputs, TARGET]
+    warmups = sorted({c.warmup for c in configs})
+    plans = [
+        (c.config_id, warmups.index(c.warmup), [0, *(names.index(n) for n in c.columns), len(names) - 1])
+        for c in configs
+    ]
+    passed = sum((F.col(ROW_INDEX) > w).cast("int") for w in warmups) - 1
+    rows = cutoff_buckets(features, edges).select(
+        KEY, "bucket", passed.alias("stage"), TARGET, *[F.col(n).cast("double").alias(n) for n in inputs]
     )
-    sums = rows.mapInPandas(lambda it: _interval_sums(it, plans, edges), SUMS_SCHEMA)
-    return sums.groupBy(KEY, "config_id").applyInPandas(
-        lambda pdf: _fit_station(pdf, edges), FIT_SCHEMA
+    add_up = _jvm_sums if len(names) <= JVM_COLUMNS else _arrow_sums
+    sums = add_up(rows.filter("stage >= 0"), inputs)
+    return dealt_by(sums, KEY).groupBy(KEY).applyInPandas(
+        lambda pdf: _fit_station(pdf, edges, plans, len(names), block), FIT_SCHEMA
     )
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from nimbora.constants import DATE, KEY, SEED, TARGET
 from nimbora.operators.blocks import ROW_INDEX
 from nimbora.operators.specs import FeatureConfig
-from nimbora.session import scratch_path
+from nimbora.session import dealt_by, scratch_path
 
 MODEL_FIELDS = ("base", "splits", "thresholds", "leaves")
 FIT_SCHEMA = (
@@ -297,9 +297,4 @@ def expanding_trees(
         names = [f.split()[0] for f in FIT_SCHEMA.split(", ")]
         return pd.DataFrame(out, columns=names)
 
-    # A fit is work out of proportion to its bytes, by which Spark would merge the groups into few
-    # tasks; a stated number of partitions is left as it is.
-    spark = features.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    dealt = rows.select("*", run).repartition(parts, KEY, "run")
-    return dealt.groupBy(KEY, "run").applyInPandas(fit, FIT_SCHEMA)
+    return dealt_by(rows.select("*", run), KEY, "run").groupBy(KEY, "run").applyInPandas(fit, FIT_SCHEMA)

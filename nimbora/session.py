@@ -45,3 +45,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by the keys for work out of proportion to their bytes. By these Spark would merge
+    such groups into few tasks; a stated number of partitions is left as it is."""
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, *keys)

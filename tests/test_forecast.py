@@ -7,12 +7,13 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from nimbora.operators.bulk import feature_table
+from nimbora.operators import learners
+from nimbora.operators.bulk import feature_table, indexed
 from nimbora.operators.folds import cutoff_grid, fold_grid, year_list
 from nimbora.operators.learners import FittedModel, expanding_least_squares, fit_boosted_trees, fit_tweedie
 from nimbora.operators.recursion import linear_path, transform_path
 from nimbora.operators.specs import DEFAULT_CONFIG, KINDS, LOOKBACK_DAYS, FeatureConfig, Spec
-from nimbora.plans.benchmark import run_benchmark
+from nimbora.plans.benchmark import run_benchmark, union_features
 from nimbora.plans.predict import (
     export_model,
     fit_at,
@@ -327,3 +328,37 @@ def test_search_keeps_the_best_share(spark, series, tmp_path):
     boards = [{r.config_id: (r.mae, r.rain_error) for r in b.leaderboard.collect()} for b in (kept, result)]
     assert {c: pytest.approx(v) for c, v in boards[0].items()} == boards[1]
     assert spark.read.parquet(str(tmp_path / "report" / "residual_spread")).count() == 28
+
+
+def test_sums_and_scans_in_blocks_do_not_change_the_fits(spark, series, monkeypatch):
+    """Three configs, two warm-ups, a station that starts late: sums by generated code or in Arrow
+    batches, scanned whole or three cutoffs at a time, one config or all."""
+    configs = [
+        FeatureConfig("lag", (Spec(P, "lag", 14),)),
+        FeatureConfig("more", (Spec(P, "lag", 14), Spec(P, "std", 25), Spec(H, "lag", 14))),
+        FeatureConfig("humid", (Spec(H, "mean", 5), Spec(P, "lag", 14)), ()),
+    ]
+    late = {d: v for d, v in random_days(400, 0.8, 31).items() if d > 250}
+    rows = series({"a": random_days(400, 0.9, 30), "b": late})
+    features = union_features(indexed(rows), configs)
+    grid = fold_grid(year_list(spark, [2020]), 14)
+
+    def fits(some, block=256):
+        found = learners.expanding_least_squares(features, grid, some, block).collect()
+        return {(r.idema, r.config_id, r.cutoff): r for r in found}
+
+    def agree(got, want):
+        assert set(got) == set(want)
+        for k, r in want.items():
+            assert got[k].n_train == r.n_train
+            if r.n_train > 20:
+                np.testing.assert_allclose([got[k].intercept, *got[k].coefficients], [r.intercept, *r.coefficients], rtol=1e-6, atol=1e-8)
+
+    together = fits(configs)
+    agree(fits(configs, block=3), together)
+    alone = {}
+    for c in configs:
+        alone |= fits([c])
+    agree(alone, together)
+    monkeypatch.setattr(learners, "JVM_COLUMNS", 0)
+    agree(fits(configs), together)
