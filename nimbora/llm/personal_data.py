@@ -62,7 +62,7 @@ def _digits(text: str) -> str:
 
 def _accepted(kind: str, match: str) -> bool:
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in match.split("."))
+        return all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in match.split(".")))
     if kind == "card":
         return 12 <= len(d := _digits(match)) <= 19 and luhn(d)
     return 9 <= len(_digits(match)) <= 15
