@@ -3,17 +3,22 @@
 A byte-pair model never merges across the pieces that its pre-tokenizer cuts, and both
 supported cuts fall at a single space between two characters that are not white space.
 So a text is encoded by its space-separated chunks, and a chunk seen before on this worker
-is looked up. The ids equal those of encoding the text at once; a test compares them.
+is looked up. The ids equal those of encoding the text at once; a test compares them. A text that
+may name a special token is encoded at once by the library itself.
 """
 
 import re
+import sys
+from array import array
 
 import numpy as np
 
 from nimbora.llm.common import worker_cache
 
-#: Chunks remembered per worker; beyond it the memory starts anew.
-MEMO_CHUNKS = 1_000_000
+#: Chunks in each of a worker's two generations of memory: when the newer one is full it becomes the
+#: older, and what is asked for again moves back, so that frequent chunks stay. Longer chunks are
+#: not kept.
+MEMO_CHUNKS, MEMO_LENGTH = 500_000, 64
 
 
 class ChunkEncoder:
@@ -23,13 +28,16 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = id_type(self.tokenizer.get_vocab_size())
+        self.code = "H" if self.dtype == "<u2" else "I"
         self.drops_space = self.tokenizer.normalizer is not None
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.memo_chunks = memo_chunks
         self.runs = re.compile(r"\s\s")
         self.between = re.compile(r"(?<=\S) (?=\S)")
+        names = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(names) or r"(?!)", re.IGNORECASE)
 
     def chunks(self, text: str) -> list[str]:
         """Pieces whose ids, put together, are the ids of the text."""
@@ -39,19 +47,35 @@ class ChunkEncoder:
         return parts[:1] + [" " + p for p in parts[1:]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.chunks(t) for t in texts]
-        memo = self.memo
-        new = set().union(*cut).difference(memo) if cut else set()
-        if len(memo) + len(new) > self.memo_chunks:
-            memo.clear()
-            new = set().union(*cut)
-        new = list(new)
+        whole = {i for i, t in enumerate(texts) if self.special.search(t)}
+        cut = [[] if i in whole else self.chunks(t) for i, t in enumerate(texts)]
+        passing = self._remember(set().union(*cut) if cut else set())
+        out = [b"".join(map(self.memo.__getitem__, c)) for c in cut]
+        for chunk in passing:
+            del self.memo[chunk]
+        for i in whole:
+            out[i] = self._bytes(self.tokenizer.encode(texts[i], add_special_tokens=False))
+        return out
+
+    def _bytes(self, encoding) -> bytes:
+        ids = array(self.code, encoding.ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
+    def _remember(self, asked: set[str]) -> list[str]:
+        """Put the ids of all these chunks into memory; returns those that are too long to stay."""
+        new = asked.difference(self.memo)
+        if len(self.memo) + len(new) > self.memo_chunks:
+            self.memo, self.older, new = {}, self.memo, asked
+        for chunk in new.intersection(self.older):
+            self.memo[chunk] = self.older[chunk]
+        new = list(new.difference(self.older))
         for start in range(0, len(new), 20_000):
             part = new[start : start + 20_000]
-            encoded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            for chunk, e in zip(part, encoded):
-                memo[chunk] = np.array(e.ids, dtype=self.dtype).tobytes()
-        return [b"".join(map(memo.__getitem__, c)) for c in cut]
+            for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.memo[chunk] = self._bytes(e)
+        return [chunk for chunk in new if len(chunk) > MEMO_LENGTH]
 
 
 def id_type(vocabulary: int) -> str:
