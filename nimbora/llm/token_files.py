@@ -39,6 +39,10 @@ BLOCK = T.StructType(
 )
 
 
+#: Places of the ones of each byte, from its highest bit.
+ONES = [tuple(k for k in range(8) if byte >> (7 - k) & 1) for byte in range(256)]
+
+
 class EliasFano:
     """A non-decreasing sequence of n numbers up to u in about n * (2 + log2(u / n)) bits.
 
@@ -65,19 +69,20 @@ class EliasFano:
         return cls(n, low_bits, low.tobytes(), np.packbits(bits).tobytes(), samples.tobytes())
 
     def _low(self, i: int) -> int:
-        bits = range(i * self.low_bits, (i + 1) * self.low_bits)
-        return sum((self.low[b >> 3] >> (7 - (b & 7)) & 1) << k for k, b in enumerate(bits))
+        first, width = i * self.low_bits, self.low_bits
+        some = self.low[first >> 3 : (first + width + 7) >> 3]
+        bits = int.from_bytes(some) >> (len(some) * 8 - (first & 7) - width) & ((1 << width) - 1)
+        return int(f"{bits:0{width}b}"[::-1], 2) if width else 0
 
     def select(self, i: int) -> int:
         """The i-th number: from the nearest stored one, count ones up to the i-th."""
-        at = int(np.frombuffer(self.samples, dtype="<u4")[i // SELECT_STEP])
-        left, byte = i % SELECT_STEP, at >> 3
-        bits = np.unpackbits(np.frombuffer(self.high, dtype=np.uint8, offset=byte, count=1))
-        bits[: at & 7] = 0
-        while (ones := int(bits.sum())) <= left:
-            left, byte = left - ones, byte + 1
-            bits = np.unpackbits(np.frombuffer(self.high, dtype=np.uint8, offset=byte, count=1))
-        at = byte * 8 + int(np.flatnonzero(bits)[left])
+        at = int.from_bytes(self.samples[i // SELECT_STEP * 4 :][:4], "little")
+        left, place = i % SELECT_STEP, at >> 3
+        byte = self.high[place] & (0xFF >> (at & 7))
+        while (ones := byte.bit_count()) <= left:
+            left, place = left - ones, place + 1
+            byte = self.high[place]
+        at = place * 8 + ONES[byte][left]
         return ((at - i) << self.low_bits) | self._low(i)
 
     def all(self) -> np.ndarray:
@@ -147,11 +152,15 @@ def write_token_files(
     ordered.select("k", "t").mapInArrow(blocks, BLOCK).write.option("compression", "zstd").parquet(path)
 
 
-def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
+def read_token_files(
+    spark: SparkSession, path: str, with_ids: bool = False, keys: DataFrame | None = None
+) -> DataFrame:
     """One row per document: key, start (ids of all documents before it), n_tokens, ids_crc32,
-    and `ids` where asked for.
+    and `ids` where asked for. With `keys` (a column `key`) the documents of these keys alone.
 
-    A shard's start is the sum of the shards before it: one row for each writing task.
+    Where a document lies in its block is asked of the block's boundaries by select, one document
+    at a time; nothing else of the block is decoded. A shard's start is the sum of the shards before
+    it: one row for each writing task. Null keys are never asked for; repeated ones count once.
     """
     import pyarrow as pa
 
@@ -164,31 +173,38 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
         F.col("shard").alias("s"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")
     )
     fields = "key long, start long, n_tokens long, ids_crc32 long"
-    columns = ["first", "base", "id_bytes", "keys", "ids", "low_bits", "low", "high", "samples"]
+    columns = ["first", "base", "id_bytes", "keys", "ids", "low_bits", "low", "high", "samples", "asked"]
 
     def documents(batches):
         for batch in slices(batches, 8):
             for row in batch.to_pylist():
-                keys = row["keys"]
-                ef = EliasFano(len(keys), row["low_bits"], row["low"], row["high"], row["samples"])
-                ends = ef.all()
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+                names, asked = row["keys"], row["asked"]
+                ef = EliasFano(len(names), row["low_bits"], row["low"], row["high"], row["samples"])
+                places = range(len(names)) if asked is None else [i for i, k in enumerate(names) if k in set(asked)]
+                starts = np.array([ef.select(i - 1) if i else 0 for i in places], dtype=np.int64)
+                ends = np.array([ef.select(i) for i in places], dtype=np.int64)
                 ids = np.frombuffer(row["ids"], dtype=f"<u{row['id_bytes']}").astype("<u4")
                 crcs = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, ends)]
                 first = row["first"] + row["base"]
                 out = [
-                    pa.array(keys, pa.int64()),
+                    pa.array([names[i] for i in places], pa.int64()),
                     pa.array(starts + first),
                     pa.array(ends - starts),
                     pa.array(crcs, pa.int64()),
                 ]
-                names = ["key", "start", "n_tokens", "ids_crc32"]
                 if with_ids:
-                    cuts = np.concatenate([[0], ends]).astype(np.int32)
-                    out.append(pa.ListArray.from_arrays(cuts, ids.astype(np.int32)))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(out, names)
+                    out.append(pa.array([ids[a:b].astype(np.int32) for a, b in zip(starts, ends)], pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(out, ["key", "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
 
     # One row for each writing task: small whatever the input, so it may be broadcast.
-    placed = stored.join(F.broadcast(starts), F.col("shard") == F.col("s")).select(columns)
+    placed = stored.join(F.broadcast(starts), F.col("shard") == F.col("s"))
+    if keys is None:
+        placed = placed.withColumn("asked", F.lit(None).cast("array<bigint>"))
+    else:
+        # Which blocks hold which of the keys: a block's keys are in range order, its texts stay put.
+        held = stored.select("shard", "block", F.explode("keys").alias("key"))
+        wanted = held.join(keys.select("key").distinct(), "key")
+        asked = wanted.groupBy("shard", "block").agg(F.collect_set("key").alias("asked"))
+        placed = placed.join(asked, ["shard", "block"])
+    placed = placed.select(columns)
     return placed.mapInArrow(documents, fields + (", ids array<int>" if with_ids else ""))

@@ -45,7 +45,6 @@ def full_ids(path, text):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
     return model.encode(text or "", add_special_tokens=False).ids
 
 
@@ -76,7 +75,12 @@ def test_token_files_round_trip(spark, docs, empty, texts):
         assert (row["start"], row["n_tokens"], row["ids"]) == (start, len(ids), ids)
         assert row["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
         start += len(ids)
+        if key == 3:
+            third = (row["start"], row["n_tokens"], row["ids"])
     assert not got
+    asked = spark.createDataFrame([(3,), (3,), (None,), (999,)], "key long")
+    (row,) = token_files.read_token_files(spark, folder, with_ids=True, keys=asked).collect()
+    assert (row["key"], row["start"], row["n_tokens"], row["ids"]) == (3, *third)
     folder = scratch_path(spark, "t")
     token_files.write_token_files(empty, folder, path, 2)
     assert token_files.read_token_files(spark, folder).count() == 0
