@@ -18,7 +18,7 @@ from nimbora.llm.common import worker_cache
 #: Chunks in each of a worker's two generations of memory: when the newer one is full it becomes the
 #: older, and what is asked for again moves back, so that frequent chunks stay. Longer chunks are
 #: not kept.
-MEMO_CHUNKS, MEMO_LENGTH = 500_000, 64
+MEMO_CHUNKS, MEMO_LENGTH = 800_000, 64
 
 
 class ChunkEncoder:
