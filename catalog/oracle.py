@@ -580,5 +580,6 @@ select c_custkey, error,
 from checked""",
     }
     # Names from when the plain ones were limited to some years.
+    texts["store_trailing_window"] = texts["trailing_window"]
     texts |= {f"{name}_all": texts[name] for name in ("expanding_ols_forecast", "ols_summary", "ols_importance")}
     return texts

@@ -139,9 +139,8 @@ def station_range_scan(spark, sf_dir):
     """Range scan of every station from a store."""
     store = RecordStore(spark, scratch_path(spark, "store"), buckets=4)
     store.upsert(region_records(spark, sf_dir))
-    scans = [
-        store.station_range(f"R{i}", date(1996, 3, 1), date(2000, 2, 29)) for i in range(5)
-    ]
+    stations = [r.idema for r in store.zones().select(KEY).distinct().orderBy(KEY).collect()]
+    scans = [store.station_range(s, date(1996, 3, 1), date(2000, 2, 29)) for s in stations]
     together = scans[0]
     for scan in scans[1:]:
         together = together.unionByName(scan)
@@ -318,6 +317,13 @@ def trailing(spark, sf_dir):
     return trailing_window(latest, 51).select(KEY, DAY, "prec", "hrMedia")
 
 
+def store_trailing(spark, sf_dir):
+    """The same window from a store, whose zones name the folders to read."""
+    store = RecordStore(spark, scratch_path(spark, "store"), buckets=4)
+    store.upsert(supplier_records(spark, sf_dir))
+    return store.trailing_window(51).select(KEY, DAY, "prec", "hrMedia")
+
+
 def _year_end_cutoffs(series: DataFrame) -> DataFrame:
     return series.groupBy(KEY, F.year(DATE).alias("y")).agg(F.max(DATE).alias("cutoff")).drop("y")
 
@@ -727,6 +733,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "seasonality_7d": seasonality_7d,
     "network_seasonality": network_seasonality,
     "trailing_window": trailing,
+    "store_trailing_window": store_trailing,
     "inference_window": inference,
     "backfill_tiles": tiles,
     "resolve_cutoffs": cutoffs_resolved,

@@ -1,25 +1,41 @@
-"""The record store: Parquet, one row per (station, day).
+"""The record store: Parquet, one row per (station, day), in versions.
 
-Laid out by station hash bucket and year, sorted inside files, so a station range scan
-prunes to a few folders and row groups, one station's history is spread over many files,
-and an upsert rewrites only the (bucket, year) folders it touches.
+  data/snapshot=.../bucket=.../year_text=.../   the records, by station hash bucket and year
+  _zones/<snapshot>/                            a row for each station and folder: first, last day, rows
+  _versions/v<number>                           a small file that names a version's zones
+
+An upsert writes the (bucket, year) folders it touches anew, below a snapshot of its own, then the
+zones of the new version, and last the version file, put in place by one rename. Until then
+readers see the version before it, whole; a reader keeps the files it has started with. Folders
+that an upsert doesn't touch are shared by the versions.
+
+The zones say which folders hold a station's days, so range scans and trailing windows name their
+folders without listing or scanning the data.
 """
 
+import re
+import uuid
+from dataclasses import dataclass
 from datetime import date, timedelta
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from nimbora.constants import DATE, DAY, KEY
+from nimbora.constants import DATE, DAY, KEY, METRIC_FIELDS
 from nimbora.operators.split import days_around
-from nimbora.operators.upsert import keyed, latest_records, merge_records
-from nimbora.session import scratch_path
+from nimbora.operators.upsert import keyed, merge_records, latest_records
 from nimbora.sources.records import RECORD_COLUMNS
 
-BUCKET, YEAR = "bucket", "year_text"
+BUCKET, YEAR, SNAPSHOT = "bucket", "year_text", "snapshot"
 LAYOUT = (BUCKET, YEAR)
-# Holds the number of buckets. Readers of the data skip names with an underscore.
-LAYOUT_FILE = "_layout"
+TEXTS = "map<string,string>"
+STORED_SCHEMA = (
+    f"{KEY} string, {DAY} string, {', '.join(f'{m} string' for m in METRIC_FIELDS)}, null_keys array<string>, "
+    f"rest {TEXTS}, {SNAPSHOT} string, {BUCKET} int, {YEAR} string"
+)
+ZONE_SCHEMA = f"{KEY} string, {BUCKET} int, {YEAR} string, first_day string, last_day string, rows long, folder string"
 
 
 def _bucket(station: Column, buckets: int) -> Column:
@@ -31,6 +47,15 @@ def _year(day: Column) -> Column:
     return F.substring(day, 1, 4)
 
 
+@dataclass(frozen=True)
+class Version:
+    """A committed state of a store."""
+
+    number: int
+    buckets: int
+    zones: str
+
+
 class RecordStore:
     """A folder of upserted records.
 
@@ -39,79 +64,155 @@ class RecordStore:
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 16) -> None:
-        self.spark, self.path, self.buckets = spark, path, buckets
-        if self.exists():
-            self.buckets = self._stored_buckets()
+        self.spark, self.path, self._buckets = spark, path.rstrip("/"), buckets
+
+    @property
+    def buckets(self) -> int:
+        current = self.current()
+        return current.buckets if current else self._buckets
 
     def _file(self, path: str):
         """Hadoop file system and path, of whatever store the path names."""
         target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
 
-    def exists(self) -> bool:
-        files, target = self._file(f"{self.path}/{LAYOUT_FILE}")
-        return files.exists(target)
+    def _names(self, folder: str) -> list[str]:
+        files, target = self._file(f"{self.path}/{folder}")
+        return [s.getPath().getName() for s in files.listStatus(target)] if files.exists(target) else []
 
-    def _stored_buckets(self) -> int:
-        files, target = self._file(f"{self.path}/{LAYOUT_FILE}")
+    def versions(self) -> list[int]:
+        """Numbers of the committed versions, ascending."""
+        return sorted(int(n[1:]) for n in self._names("_versions") if re.fullmatch(r"v\d{10}", n))
+
+    def version(self, number: int) -> Version:
+        files, target = self._file(f"{self.path}/_versions/v{number:010d}")
         stream = files.open(target)
         try:
-            return stream.readInt()
+            return Version(number, stream.readInt(), stream.readUTF())
         finally:
             stream.close()
 
-    def _store_buckets(self) -> None:
-        files, target = self._file(f"{self.path}/{LAYOUT_FILE}")
-        stream = files.create(target)
-        try:
-            stream.writeInt(self.buckets)
-        finally:
-            stream.close()
+    def current(self) -> Version | None:
+        numbers = self.versions()
+        return self.version(numbers[-1]) if numbers else None
 
-    def read(self) -> DataFrame:
-        """All stored records."""
-        return self._read().drop(*LAYOUT)
+    def exists(self) -> bool:
+        return bool(self.versions())
+
+    def zones(self, version: Version | None = None) -> DataFrame:
+        """A row for each station and folder: idema, bucket, year_text, first_day, last_day, rows,
+        folder. Without a version, of the current one."""
+        version = version or self.current()
+        if version is None:
+            raise FileNotFoundError(f"no record store at {self.path}; import shards first")
+        return self.spark.read.schema(ZONE_SCHEMA).parquet(f"{self.path}/_zones/{version.zones}")
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """All records of the current version, or of a numbered one."""
+        pinned = self.current() if version is None else self.version(version)
+        return self._read(self.zones(pinned)).drop(SNAPSHOT, *LAYOUT)
 
     def upsert(self, records: DataFrame, arrival: str = "arrival") -> int:
         """Merge records in; the last arrival wins. Returns the rows attempted.
 
-        `records` is read more than once; give a stable source.
+        `records` is read twice, to name the folders and to merge; give a stable source. One upsert
+        at a time: of two that start from the same version the second to end raises, and stores
+        nothing.
         """
         incoming = keyed(_complete(records)).select(*RECORD_COLUMNS, arrival)
-        attempted = incoming.count()
-        if not attempted:
+        current = self.current()
+        buckets = current.buckets if current else self._buckets
+        # At most buckets x years rows: names of folders.
+        touched = _placed(incoming, buckets).groupBy(*LAYOUT).count().collect()
+        if not touched:
             return 0
-        aside = None
-        if self.exists():
-            self.buckets = self._stored_buckets()
-            latest, aside = self._merged(incoming, arrival)
+        number = current.number + 1 if current else 1
+        snapshot = f"{number:010d}-{uuid.uuid4().hex[:12]}"
+        folders = self.spark.createDataFrame([(r[BUCKET], r[YEAR]) for r in touched], f"{BUCKET} int, {YEAR} string")
+        if current:
+            old = self.zones(current)
+            kept = old.join(F.broadcast(folders), [*LAYOUT], "left_anti")
+            stored = self._read(old.join(F.broadcast(folders), [*LAYOUT], "left_semi")).drop(SNAPSHOT, *LAYOUT)
+            latest = merge_records(stored, incoming, arrival)
         else:
-            self._store_buckets()
-            latest = self._placed(latest_records(incoming, arrival))
+            kept, latest = None, latest_records(incoming, arrival)
+        self._write(_placed(latest, buckets), snapshot)
+        zones = self._zones_of(snapshot)
+        if kept is not None:
+            zones = zones.unionByName(kept.select(zones.columns))
+        zones.write.parquet(f"{self.path}/_zones/{snapshot}")
+        self._commit(Version(number, buckets, snapshot))
+        return sum(r["count"] for r in touched)
+
+    def _write(self, records: DataFrame, snapshot: str) -> None:
         # By range, so that one folder may be the work of many tasks.
         order = (*LAYOUT, KEY, DAY)
-        spread = latest.repartitionByRange(*order).sortWithinPartitions(*order)
-        (
-            spread.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*LAYOUT)
-            .parquet(self.path)
+        spread = records.repartitionByRange(*order).sortWithinPartitions(*order)
+        spread.write.partitionBy(*LAYOUT).parquet(f"{self.path}/data/{SNAPSHOT}={snapshot}")
+
+    def _zones_of(self, snapshot: str) -> DataFrame:
+        folder = F.regexp_extract("_metadata.file_path", rf"/data/({SNAPSHOT}=.*)/[^/]*$", 1).alias("folder")
+        schema = T._parse_datatype_string(STORED_SCHEMA)
+        written = self.spark.read.schema(schema).option("basePath", f"{self.path}/data").parquet(
+            f"{self.path}/data/{SNAPSHOT}={snapshot}"
+        )
+        rows = written.select(KEY, DAY, *LAYOUT, folder)
+        return rows.groupBy(KEY, *LAYOUT, "folder").agg(
+            F.min(DAY).alias("first_day"), F.max(DAY).alias("last_day"), F.count("*").alias("rows")
         )
-        if aside:
-            files, target = self._file(aside)
-            files.delete(target, True)
-        return attempted
+
+    def _commit(self, version: Version) -> None:
+        """The step that makes a version: a rename onto a name that must be free."""
+        target_name = f"{self.path}/_versions/v{version.number:010d}"
+        files, target = self._file(target_name)
+        _, aside = self._file(f"{self.path}/_versions/.{version.zones}")
+        stream = files.create(aside)
+        try:
+            stream.writeInt(version.buckets)
+            stream.writeUTF(version.zones)
+        finally:
+            stream.close()
+        if files.exists(target) or not files.rename(aside, target):
+            raise RuntimeError(f"another upsert has made version {version.number}; upsert again")
+
+    def drop_old(self, keep: int = 2) -> list[int]:
+        """Remove all but the last `keep` versions and the files no kept one names; readers that
+        still hold a removed version fail. Returns the removed numbers."""
+        numbers = self.versions()
+        gone, kept = numbers[:-keep], [self.version(n) for n in numbers[-keep:]]
+        if not gone:
+            return []
+        used = {self._snapshot(r.folder) for v in kept for r in self.zones(v).select("folder").distinct().collect()}
+        for n in gone:
+            files, target = self._file(f"{self.path}/_versions/v{n:010d}")
+            files.delete(target, False)
+        for folder, name_of in (("data", lambda n: n.split("=", 1)[-1]), ("_zones", str)):
+            held = used if folder == "data" else {v.zones for v in kept}
+            for name in self._names(folder):
+                # What is newer than the kept versions may be an upsert in progress.
+                if name_of(name) not in held and int(name_of(name)[:10]) < kept[0].number:
+                    files, target = self._file(f"{self.path}/{folder}/{name}")
+                    files.delete(target, True)
+        return gone
+
+    @staticmethod
+    def _snapshot(folder: str) -> str:
+        return folder.split("/", 1)[0].split("=", 1)[1]
 
     def station_range(
         self, station: str, start: date | None = None, end: date | None = None
     ) -> DataFrame:
-        """Records of one station with start <= day <= end, by day."""
-        wanted = (F.col(KEY) == station) & (F.col(BUCKET) == _bucket(F.lit(station), self.buckets))
+        """Records of one station with start <= day <= end, by day; only folders that hold some."""
+        current = self.current()
+        zones = self.zones(current).filter(F.col(KEY) == station)
+        wanted = (F.col(KEY) == station) & (F.col(BUCKET) == _bucket(F.lit(station), current.buckets))
         if start is not None:
+            zones = zones.filter(F.col("last_day") >= start.isoformat())
             wanted &= (F.col(DAY) >= start.isoformat()) & (F.col(YEAR) >= f"{start.year:04d}")
         if end is not None:
+            zones = zones.filter(F.col("first_day") <= end.isoformat())
             wanted &= (F.col(DAY) <= end.isoformat()) & (F.col(YEAR) <= f"{end.year:04d}")
-        return self._read().filter(wanted).drop(*LAYOUT).orderBy(DAY)
+        return self._read(zones).filter(wanted).drop(SNAPSHOT, *LAYOUT).orderBy(DAY)
 
     def load_station(
         self,
@@ -122,44 +223,43 @@ class RecordStore:
     ) -> DataFrame:
         """Range scan; `lookback_days` replaces `start` and counts back from `end`.
 
-        Without `end`, the station's last stored day is used. n lookback days are n + 1
-        days inclusive. An unknown station gives no rows, a missing store raises.
+        Without `end`, the station's last stored day is used, which the zones hold. n lookback days
+        are n + 1 days inclusive. An unknown station gives no rows, a missing store raises.
         """
-        if not self.exists():
-            raise FileNotFoundError(f"no record store at {self.path}; import shards first")
+        zones = self.zones()
         if lookback_days is not None:
-            end = end or self._last_day(station)
             if end is None:
-                return self.station_range(station).limit(0)
+                (row,) = zones.filter(F.col(KEY) == station).agg(F.max("last_day").alias("last")).collect()
+                if row.last is None:
+                    return self.station_range(station).limit(0)
+                end = date.fromisoformat(row.last)
             start = end - timedelta(days=lookback_days)
         return self.station_range(station, start, end)
 
-    def _last_day(self, station: str) -> date | None:
-        (row,) = self.station_range(station).agg(F.max(DAY).alias("last")).collect()
-        return None if row.last is None else date.fromisoformat(row.last)
-
-    def _read(self) -> DataFrame:
-        # Year folders are texts; keep '0199' from being inferred as a number.
-        schema = self.spark.read.parquet(self.path).schema
-        schema[YEAR].dataType = schema[DAY].dataType
-        return self.spark.read.schema(schema).parquet(self.path)
-
-    def _placed(self, records: DataFrame) -> DataFrame:
-        return records.withColumn(BUCKET, _bucket(F.col(KEY), self.buckets)).withColumn(
-            YEAR, _year(F.col(DAY))
-        )
-
-    def _merged(self, incoming: DataFrame, arrival: str) -> tuple[DataFrame, str]:
-        # Folder names the batch touches, at most buckets x years. As literals they prune
-        # the scan of the store to those folders.
-        folder = F.concat_ws("/", *LAYOUT)
-        touched = self._placed(incoming).select(folder.alias("folder")).distinct().collect()
-        stored = self._read().filter(folder.isin([r.folder for r in touched])).drop(*LAYOUT)
-        merged = self._placed(merge_records(stored, incoming, arrival))
-        # Written aside first: the folders it was read from are about to be replaced.
-        aside = scratch_path(self.spark, "upsert")
-        merged.write.parquet(aside)
-        return self.spark.read.schema(merged.schema).parquet(aside), aside
+    def trailing_window(self, lookback_days: int, end: date | None = None) -> DataFrame:
+        """`trailing_window` of the stored records. Last days and the folders to read come from the
+        zones; folders without a day of any station's window are not read."""
+        zones = self.zones()
+        last = F.to_date(F.max("last_day")) if end is None else F.lit(end)
+        cutoffs = zones.groupBy(KEY).agg(last.alias("cutoff"))
+        first = F.date_sub("cutoff", lookback_days).cast("string")
+        reached = (F.col("last_day") >= first) & (F.col("first_day") <= F.col("cutoff").cast("string"))
+        held = zones.join(cutoffs, KEY).filter(reached)
+        records = self._read(held).drop(SNAPSHOT, *LAYOUT)
+        return inference_window(records, cutoffs, lookback_days, 0).drop("cutoff")
+
+    def _read(self, zones: DataFrame) -> DataFrame:
+        """The records of the folders that these zones name: at most buckets x years."""
+        folders = sorted(unquote(r.folder) for r in zones.select("folder").distinct().collect())
+        reader = self.spark.read.schema(STORED_SCHEMA)
+        if not folders:
+            return self.spark.createDataFrame([], STORED_SCHEMA)
+        plain = [re.sub(r"([\[\]{}*?,\\])", r"\\\1", f) for f in folders]
+        return reader.option("basePath", f"{self.path}/data").parquet(*(f"{self.path}/data/{f}" for f in plain))
+
+
+def _placed(records: DataFrame, buckets: int) -> DataFrame:
+    return records.withColumn(BUCKET, _bucket(F.col(KEY), buckets)).withColumn(YEAR, _year(F.col(DAY)))
 
 
 def _complete(records: DataFrame) -> DataFrame:

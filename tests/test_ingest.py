@@ -193,3 +193,84 @@ def test_shards_with_repeated_keys_and_odd_elements(spark, tmp_path):
     assert loaded.records.count() == 2
     errors = {r["path"].rsplit("/", 1)[1]: r["error"] for r in loaded.rejected.collect()}
     assert errors == {"b_0.json": "not a JSON array", "c_0.json": "not valid JSON"}
+
+
+def day_values(store, version=None):
+    return {(r.idema, r.fecha): r.prec for r in store.read(version).collect()}
+
+
+def two_stations(make, prec):
+    return [
+        *make.daily("2022-12-20", 60, prec=prec),
+        *[{**r, "indicativo": "B"} for r in make.daily("2024-02-01", 30, prec=prec)],
+    ]
+
+
+@pytest.mark.parametrize("step", ["_write", "_zones_of", "_commit"])
+def test_an_upsert_that_dies_leaves_the_old_version_whole(spark, records, make, tmp_path, monkeypatch, step):
+    store = RecordStore(spark, str(tmp_path / "store"), buckets=2)
+    store.upsert(records(two_stations(make, "1,0")))
+    before = day_values(store)
+    whole = getattr(RecordStore, step)
+
+    def dies(self, *args):
+        if step == "_write":  # one folder is written, the others are not
+            placed, snapshot = args
+            whole(self, placed.filter("year_text = '2023'"), snapshot)
+        raise OSError("executor lost")
+
+    monkeypatch.setattr(RecordStore, step, dies)
+    with pytest.raises(OSError):
+        store.upsert(records(two_stations(make, "2,0")))
+    assert day_values(RecordStore(spark, store.path)) == before and len(before) == 90
+    monkeypatch.setattr(RecordStore, step, whole)
+    store.upsert(records(two_stations(make, "2,0")))
+    assert set(day_values(store).values()) == {"2,0"} and len(day_values(store)) == 90
+
+
+def test_readers_keep_their_version(spark, records, make, tmp_path):
+    store = RecordStore(spark, str(tmp_path / "store"), buckets=2)
+    store.upsert(records(two_stations(make, "1,0")))
+    started = store.read()
+    store.upsert(records([make.raw("2023-01-05", prec="7,0")]))
+    store.upsert(records([make.raw("2031-01-05", prec="8,0")]))
+    assert store.versions() == [1, 2, 3]
+    assert {r.prec for r in started.collect()} == {"1,0"}
+    assert day_values(store, 2)["1082", "2023-01-05"] == "7,0" and ("1082", "2031-01-05") not in day_values(store, 2)
+    files = {v: set(store.read(v).inputFiles()) for v in (1, 2)}
+    assert len(files[2] - files[1]) == 1, "an upsert writes only the folder it touches"
+    assert store.drop_old(keep=1) == [1, 2] and store.versions() == [3]
+    assert len(day_values(store)) == 91 and day_values(store)["1082", "2023-01-05"] == "7,0"
+    with pytest.raises(Exception):
+        store.read(1)
+
+
+def test_two_upserts_from_one_version_do_not_mix(spark, records, make, tmp_path, monkeypatch):
+    store = RecordStore(spark, str(tmp_path / "store"), buckets=2)
+    store.upsert(records([make.raw("2024-01-01", prec="1,0")]))
+    first = store.current()
+    other = RecordStore(spark, store.path)
+    monkeypatch.setattr(other, "current", lambda: first)
+    store.upsert(records([make.raw("2024-01-02", prec="2,0")]))
+    with pytest.raises(RuntimeError, match="version 2"):
+        other.upsert(records([make.raw("2024-01-03", prec="3,0")]))
+    assert sorted(day for _, day in day_values(store)) == ["2024-01-01", "2024-01-02"]
+
+
+def test_zones_name_the_folders_of_a_window(spark, records, make, tmp_path):
+    store = RecordStore(spark, str(tmp_path / "store"), buckets=4)
+    rows = two_stations(make, "1,0")
+    store.upsert(records(rows))
+    zones = {(r.idema, r.year_text): (r.first_day, r.last_day, r.rows) for r in store.zones().collect()}
+    assert zones == {
+        ("1082", "2022"): ("2022-12-20", "2022-12-31", 12),
+        ("1082", "2023"): ("2023-01-01", "2023-02-17", 48),
+        ("B", "2024"): ("2024-02-01", "2024-03-01", 30),
+    }
+    window = store.trailing_window(10)
+    assert sorted(f.split("year_text=")[1][:4] for f in window.inputFiles() if "year_text=" in f) == ["2023", "2024"]
+    want = sorted((r.idema, r.fecha) for r in trailing_window(records(rows), 10).collect())
+    assert sorted((r.idema, r.fecha) for r in window.collect()) == want and len(want) == 22
+    (scan,) = {f.split("year_text=")[1][:4] for f in store.station_range("1082", end=date(2022, 12, 31)).inputFiles()}
+    assert scan == "2022"
+    assert store.station_range("nowhere").count() == 0
