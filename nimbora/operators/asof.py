@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from nimbora.constants import DATE, KEY
 from nimbora.functions.calendar import calendar_columns
+from nimbora.operators.bands import band_join
 from nimbora.operators.blocks import (
     BLOCK,
     block_window,
@@ -54,15 +55,24 @@ def asof_features(series: DataFrame, specs: Sequence[Spec]) -> DataFrame:
     return _derive(series.withColumn(_ROW, F.lit(1)), specs).drop(_ROW)
 
 
+def reachable(history: DataFrame, targets: DataFrame, reach: int) -> DataFrame:
+    """History rows of the `reach` days before any target of their station, each once."""
+    if reach < 1:
+        return history.filter(F.lit(False))
+    return band_join(history, targets, F.col(DATE), F.col(DATE), -reach, -1, "left_semi")
+
+
 def features_at(
     targets: DataFrame, history: DataFrame, specs: Sequence[Spec], calendar: Sequence[str] = ()
 ) -> DataFrame:
     """Feature rows for arbitrary (station, date) targets from a station history.
 
-    Targets join the history as marker rows carrying no values, so one windowed pass
-    replaces a range join. `targets` holds distinct (station, date) pairs.
+    Of the history only the days that some target looks back to are kept. Targets join them as
+    marker rows carrying no values, so one windowed pass over these gives all features.
+    `targets` holds distinct (station, date) pairs.
     """
     columns = base_columns(specs)
+    history = reachable(history, targets, max_window(specs))
     asked = F.lit(None).cast("int").alias(_ROW)
     markers = targets.select(
         KEY, DATE, *[F.lit(None).cast("double").alias(c) for c in columns], asked

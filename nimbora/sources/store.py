@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nimbora.constants import DATE, DAY, KEY, METRIC_FIELDS
-from nimbora.operators.split import days_around
+from nimbora.constants import DAY, KEY, METRIC_FIELDS
+from nimbora.operators.bands import band_join
 from nimbora.operators.upsert import keyed, merge_records, latest_records
 from nimbora.sources.records import RECORD_COLUMNS
 
@@ -273,11 +273,7 @@ def _complete(records: DataFrame) -> DataFrame:
 
 
 def trailing_window(records: DataFrame, lookback_days: int, end: date | None = None) -> DataFrame:
-    """Last `lookback_days` + 1 days of every station at once, up to its last day or `end`.
-
-    Each station's window is spread to its days: the join key is then (station, day) and
-    a station with very many records does not meet in one task.
-    """
+    """Last `lookback_days` + 1 days of every station at once, up to its last day or `end`."""
     last = records.groupBy(KEY).agg(F.to_date(F.max(DAY)).alias("cutoff"))
     if end is not None:
         last = last.select(KEY, F.lit(end).alias("cutoff"))
@@ -289,8 +285,9 @@ def inference_window(
 ) -> DataFrame:
     """Rows of [cutoff - lookback, cutoff + horizon] for every (station, cutoff).
 
-    A cutoff is spread to its days, so this is an equi-join on (station, day).
+    Joined by bands of days; a station with very many records does not meet in one task. A day text
+    that is not an ISO date is in no window.
     """
-    days = days_around(cutoffs.select(KEY, "cutoff"), lookback_days, horizon)
-    wanted = days.select(KEY, "cutoff", F.col(DATE).cast("string").alias(DAY))
-    return records.join(wanted, [KEY, DAY])
+    day = F.try_to_date(DAY, "yyyy-MM-dd")
+    iso = F.when(day.cast("string") == F.col(DAY), day)
+    return band_join(records, cutoffs.select(KEY, "cutoff"), iso, F.col("cutoff"), -lookback_days, horizon)

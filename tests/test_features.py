@@ -3,8 +3,10 @@ from datetime import date, timedelta
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from nimbora.operators.asof import asof_features, features_at
+from nimbora.operators.asof import asof_features, features_at, reachable
+from nimbora.operators.bands import band_join
 from nimbora.operators.bulk import bulk_features, feature_table, rolling_week, short_stations
 from nimbora.operators.seasonality import seasonality
 from nimbora.operators.specs import KINDS, FeatureConfig, Spec
@@ -133,3 +135,34 @@ def test_specs_are_checked():
         FeatureConfig("c", (), ("weekday",))
     assert Spec(PRECIPITATION, "std", 14).name == "precipitation_rolling_14d_std"
     assert pd.Series([Spec(PRECIPITATION, "lag", 14).name])[0] == "precipitation_lag_14d"
+
+
+@pytest.mark.parametrize("first, last", [(-25, -1), (-51, 14), (0, 0), (3, 9)])
+def test_band_join_against_all_pairs(spark, series, first, last):
+    days = {"a": random_days(400, 0.7, 41), "b": random_days(60, 0.9, 42), "c": {-30: (1, 1)}}
+    rows = series(days).select("idema", "date", "precipitation")
+    asked = [("a", d) for d in (-5, 0, 17, 18, 200, 399, 420)] + [("b", 59), ("b", 60), ("none", 3)]
+    start = date(2020, 1, 1)
+    targets = spark.createDataFrame(
+        [(s, start + timedelta(days=d)) for s, d in asked] + [("a", None)], "idema string, cutoff date"
+    )
+    want = sorted(
+        (s, d, t) for s, own in days.items() for d in own for x, t in asked if x == s and t + first <= d <= t + last
+    )
+    both = band_join(rows, targets, F.col("date"), F.col("cutoff"), first, last)
+    assert both.columns == ["idema", "date", "precipitation", "cutoff"]
+    got = sorted((r.idema, (r.date - start).days, (r.cutoff - start).days) for r in both.collect())
+    assert got == want
+    once = band_join(rows, targets, F.col("date"), F.col("cutoff"), first, last, "left_semi")
+    assert sorted((r.idema, (r.date - start).days) for r in once.collect()) == sorted({w[:2] for w in want})
+
+
+def test_forecast_features_window_only_what_they_reach(spark, series):
+    days = {s: random_days(500, 1.0, 43) for s in "ab"}
+    rows = series(days)
+    last = date(2020, 1, 1) + timedelta(days=499)
+    ahead = spark.createDataFrame(
+        [(s, last + timedelta(days=d)) for s in "ab" for d in range(1, 15)], "idema string, date date"
+    )
+    kept = reachable(rows, ahead, 25).groupBy("idema").count().collect()
+    assert [r["count"] for r in kept] == [25, 25]
