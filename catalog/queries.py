@@ -63,14 +63,14 @@ from nimbora.plans.predict import (
     chart_table,
     export_model,
     fit_at,
-    forecast_from_bundle,
+    forecast_saved,
     predict_dates,
     run_prediction,
 )
 from nimbora.plans.search import explore_configs
 from nimbora.session import materialize, scratch_path
 from nimbora.sources.adapter import daily_series, region_records, supplier_records
-from nimbora.sources.bundle import check_manifests, load_bundle
+from nimbora.sources.bundle import check_manifests
 from nimbora.sources.records import to_json_text
 from nimbora.sources.shards import read_lines, read_shards, read_shards_tolerant
 from nimbora.sources.sinks import write_json_lines
@@ -626,8 +626,7 @@ def bundle_roundtrip(spark, sf_dir):
     series = clean_daily(records, row_index=True, columns=DEFAULT_CONFIG.inputs)
     path = scratch_path(spark, "bundle")
     export_model(series, path, LAST_TRAINING_DAY + timedelta(days=1), learner=fit_boosted_trees)
-    loaded, checked = load_bundle(spark, path)
-    return forecast_from_bundle(records, loaded, checked, DEFAULT_CONFIG)
+    return forecast_saved(records, path)
 
 
 def _quarter_days(series: DataFrame) -> list[date]:

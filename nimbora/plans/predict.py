@@ -25,7 +25,7 @@ from nimbora.operators.recursion import as_predictions, transform_path, tree_pat
 from nimbora.operators.specs import DEFAULT_CONFIG, LOOKBACK_DAYS, FeatureConfig
 from nimbora.operators.trees import ensemble_columns, mllib_ensemble
 from nimbora.plans.benchmark import LEAST_SQUARES, FoldLearner, fold_forecasts, union_features
-from nimbora.sources.bundle import Manifest, save_bundle
+from nimbora.sources.bundle import Manifest, load_bundle, load_config, save_bundle
 
 Learner = Callable[[DataFrame, FeatureConfig], FittedModel]
 
@@ -157,7 +157,7 @@ def export_model(
         feature_columns=fitted.feature_columns,
         additional_date_features=list(config.calendar),
     )
-    save_bundle(series.sparkSession, fitted, manifest, path)
+    save_bundle(series.sparkSession, fitted, manifest, path, config)
     return manifest
 
 
@@ -175,6 +175,13 @@ def forecast_from_bundle(
     return run_forecast(series, fitted, config, manifest.max_date)
 
 
+def forecast_saved(records: DataFrame, path: str) -> DataFrame:
+    """Forecast from nothing but the records and the bundle at `path`."""
+    spark = records.sparkSession
+    fitted, manifest = load_bundle(spark, path)
+    return forecast_from_bundle(records, fitted, manifest, load_config(spark, path, manifest))
+
+
 def report(predictions: DataFrame, horizon: int = HORIZON) -> DataFrame:
     """Metrics record per station and cutoff; a forecast without actuals has none."""
     return window_metrics(predictions, horizon)

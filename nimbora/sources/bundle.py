@@ -1,4 +1,8 @@
-"""Model bundles: an MLlib model folder next to a validated manifest."""
+"""Model bundles: an MLlib model folder next to a validated manifest.
+
+A third part, `inputs`, holds what the manifest has no field for: how each input is derived and how
+much it varied in training. Bundles without it load as well.
+"""
 
 import json
 from dataclasses import asdict, dataclass
@@ -9,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nimbora.operators.learners import FittedModel
+from nimbora.operators.specs import FeatureConfig, Spec
 
 # Manifest version and field names.
 MANIFEST_VERSION = 1
@@ -120,13 +125,17 @@ def parse_manifest(spark: SparkSession, text: str) -> Manifest:
     return Manifest(**values)
 
 
-def save_bundle(spark: SparkSession, fitted: FittedModel, manifest: Manifest, path: str) -> None:
-    """Write the model and its manifest below `path`, replacing what is there."""
+def save_bundle(
+    spark: SparkSession, fitted: FittedModel, manifest: Manifest, path: str, config: FeatureConfig | None = None
+) -> None:
+    """Write the model, its manifest and its inputs below `path`, replacing what is there."""
     if manifest.model_name not in _MODELS:
         raise ValueError(f"unknown model: {manifest.model_name}")
     fitted.model.write().overwrite().save(f"{path}/model")
-    text = spark.createDataFrame([(manifest.to_json(),)], "value string")
-    text.coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    specs = [[s.column, s.kind, s.window] for s in config.specs] if config else None
+    inputs = json.dumps({"config_id": config and config.config_id, "specs": specs, "extra": fitted.extra})
+    for part, value in (("manifest", manifest.to_json()), ("inputs", inputs)):
+        spark.createDataFrame([(value,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{part}")
 
 
 def load_bundle(spark: SparkSession, path: str) -> tuple[FittedModel, Manifest]:
@@ -139,7 +148,31 @@ def load_bundle(spark: SparkSession, path: str) -> tuple[FittedModel, Manifest]:
     if manifest.model_name not in _MODELS:
         raise ValueError(f"unknown model: {manifest.model_name}")
     model = _MODELS[manifest.model_name].load(f"{path}/model")
-    return FittedModel(manifest.model_name, model, manifest.feature_columns), manifest
+    extra = _inputs(spark, path).get("extra") or {}
+    return FittedModel(manifest.model_name, model, manifest.feature_columns, extra), manifest
+
+
+def load_config(spark: SparkSession, path: str, manifest: Manifest) -> FeatureConfig:
+    """The feature set a bundle was fitted with; ValueError if its columns are not the manifest's."""
+    inputs = _inputs(spark, path)
+    if inputs.get("specs") is None:
+        raise FileNotFoundError(f"Missing inputs: {path}/inputs")
+    config = FeatureConfig(
+        inputs["config_id"],
+        tuple(Spec(*s) for s in inputs["specs"]),
+        tuple(manifest.additional_date_features),
+        manifest.forecast_horizon,
+    )
+    if config.columns != manifest.feature_columns:
+        raise ValueError("the bundle's inputs are not the manifest's feature columns")
+    return config
+
+
+def _inputs(spark: SparkSession, path: str) -> dict:
+    if not _exists(spark, f"{path}/inputs"):
+        return {}
+    (row,) = spark.read.text(f"{path}/inputs").collect()
+    return json.loads(row.value)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from nimbora.operators import learners
 from nimbora.operators.bulk import feature_table, indexed
+from nimbora.operators.clean import clean_daily
 from nimbora.operators.folds import cutoff_grid, fold_grid, year_list
 from nimbora.operators.learners import FittedModel, expanding_least_squares, fit_boosted_trees, fit_tweedie
 from nimbora.operators.recursion import linear_path, transform_path
@@ -18,6 +19,7 @@ from nimbora.plans.predict import (
     export_model,
     fit_at,
     forecast_from_bundle,
+    forecast_saved,
     forecast_states,
     inference_data_window,
     predict_dates,
@@ -27,7 +29,7 @@ from nimbora.plans.predict import (
     run_prediction,
 )
 from nimbora.plans.search import exploration_configs, explore_configs, random_config_table
-from nimbora.sources.bundle import Manifest, load_bundle, parse_manifest, save_bundle
+from nimbora.sources.bundle import Manifest, load_bundle, load_config, parse_manifest, save_bundle
 from test_features import brute_asof, random_days
 
 START = date(2020, 1, 1)
@@ -362,3 +364,24 @@ def test_sums_and_scans_in_blocks_do_not_change_the_fits(spark, series, monkeypa
     agree(alone, together)
     monkeypatch.setattr(learners, "JVM_COLUMNS", 0)
     agree(fits(configs), together)
+
+
+def test_a_bundle_holds_all_that_a_forecast_needs(spark, records, make, tmp_path):
+    """Tweedie: importances need the spread of the inputs; the forecast needs the feature set."""
+    config = FeatureConfig("own", (Spec(P, "lag", 14), Spec(H, "mean", 5)), ("month",), horizon=7)
+    rows = [{**r, "prec": f"{i * 7 % 11},{i % 10}", "hrMedia": str(40 + i * 13 % 50)} for i, r in enumerate(make.daily("2024-01-01", 200))]
+    stored = records(rows)
+    series = clean_daily(stored, row_index=True, columns=config.inputs)
+    path = str(tmp_path / "bundle")
+    manifest = export_model(series, path, date(2024, 6, 1), config, fit_tweedie)
+    fitted, loaded = load_bundle(spark, path)
+    assert loaded == manifest and load_config(spark, path, loaded) == config
+    shares = {r.feature: r.importance for r in fitted.importances(spark).collect()}
+    assert set(shares) == set(config.columns) and sum(shares.values()) == pytest.approx(1.0)
+    got = [(r.step, r.prediction) for r in forecast_saved(stored, path).orderBy("step").collect()]
+    want = forecast_from_bundle(stored, fitted, loaded, config).orderBy("step").collect()
+    assert got == [(r.step, r.prediction) for r in want] and len(got) == 7
+    old = str(tmp_path / "old")
+    save_bundle(spark, fitted, loaded, old)
+    with pytest.raises(FileNotFoundError, match="inputs"):
+        load_config(spark, old, loaded)
