@@ -18,7 +18,7 @@ from nimbora.llm.common import worker_cache
 #: Chunks in each of a worker's two generations of memory: when the newer one is full it becomes the
 #: older, and what is asked for again moves back, so that frequent chunks stay. Longer chunks are
 #: not kept.
-MEMO_CHUNKS, MEMO_LENGTH = 500_000, 64
+MEMO_CHUNKS, MEMO_LENGTH = 800_000, 64
 
 
 class ChunkEncoder:
@@ -36,8 +36,9 @@ class ChunkEncoder:
         self.memo_chunks = memo_chunks
         self.runs = re.compile(r"\s\s")
         self.between = re.compile(r"(?<=\S) (?=\S)")
-        names = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(names) or r"(?!)", re.IGNORECASE)
+        names = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, names)) or r"(?!)", re.IGNORECASE)
+        self.hints = {n[0] for n in names} | {n[0].swapcase() for n in names}
 
     def chunks(self, text: str) -> list[str]:
         """Pieces whose ids, put together, are the ids of the text."""
@@ -47,7 +48,8 @@ class ChunkEncoder:
         return parts[:1] + [" " + p for p in parts[1:]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = {i for i, t in enumerate(texts) if self.special.search(t)}
+        hinted = [i for i, t in enumerate(texts) if any(h in t for h in self.hints)]
+        whole = {i for i in hinted if self.special.search(texts[i])}
         cut = [[] if i in whole else self.chunks(t) for i, t in enumerate(texts)]
         passing = self._remember(set().union(*cut) if cut else set())
         out = [b"".join(map(self.memo.__getitem__, c)) for c in cut]
