@@ -4,6 +4,7 @@ Pieces never hold the space mark after another character, so the lattice of a te
 into that of its words. In a word, forward Viterbi scores are the exact heuristic of a backward
 A* search, which gives its segmentations best first. The best of a text are combinations of those
 of its words; only the words with the smallest loss of second place can differ from their best.
+The forward pass knows that loss, so only those words are searched backward.
 
 The scores of a BPE model are merge ranks and do not add up to those of a text. For such a model a
 piece scores the logarithm of its share in the model's own encoding of all texts.
@@ -13,6 +14,7 @@ import heapq
 import re
 import zlib
 from collections import Counter
+from itertools import accumulate, chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -23,6 +25,14 @@ from nimbora.llm.common import slices, worker_cache
 MARK = "▁"
 #: Words remembered per worker; beyond it the memory starts anew.
 MEMO_WORDS = 700_000
+#: Words searched backward that a worker remembers, likewise.
+MEMO_SEARCHED = 50_000
+#: Distinct words segmented at once, and code points of texts whose words are sought together.
+WORDS_AT_ONCE, TEXT_AT_ONCE = 50_000, 2_000_000
+#: Words of more code points are segmented one by one.
+LONG_WORD = 64
+#: A code point fits into so many bits.
+CHARACTER_BITS = 21
 #: Added to the lowest score of the vocabulary for a character without a piece. Fixed value.
 UNKNOWN_PENALTY = 10.0
 #: Counted scores are multiples of this, so that their sums are exact and equal scores tie.
@@ -47,12 +57,23 @@ class PieceModel:
                 self.scores[model.id_to_piece(i)] = (model.get_score(i) if scores is None else float(scores[i]), i.to_bytes(4, "little"))
         # Every piece and, with None, every other beginning of one.
         self.begins = {p[:n]: None for p in self.scores for n in range(1, len(p) + 1)} | self.scores
+        self._trie()
         usual = [s for s, _ in self.scores.values() if s > -1e8]
         self.unknown = min(usual, default=0.0) - UNKNOWN_PENALTY
         self.unknown_id = model.unk_id()
         self.mark_cuts = not any(MARK in p.lstrip(MARK) for p in self.scores)
         self.mark_first = model.normalize("a").startswith(MARK)
         self.memo: dict[str, tuple] = {}
+        self.searched: dict[str, tuple] = {}
+
+    def _trie(self):
+        """The beginnings of pieces as arrays: an edge is its node's number and a character."""
+        number = {"": 0} | {p: i for i, p in enumerate(self.begins, 1)}
+        edges = np.array([number[p[:-1]] << CHARACTER_BITS | ord(p[-1]) for p in self.begins], np.int64)
+        order = np.argsort(edges)
+        self.edges, self.below = edges[order], 1 + order
+        self.score_at = np.array([float("nan")] + [v[0] if v else float("nan") for v in self.begins.values()])
+        self.id_at = np.array([0] + [int.from_bytes(v[1], "little") if v else 0 for v in self.begins.values()], "<u4")
 
     def normal(self, text: str) -> str:
         """The library's own normal form of the text, spaces as marks."""
@@ -60,14 +81,16 @@ class PieceModel:
 
     def words(self, text: str) -> list[str]:
         """The parts of the normal text that are segmented apart."""
-        normal = self.normal(text)
+        return self.parts(self.normal(text))
+
+    def parts(self, normal: str) -> list[str]:
         return WORD.findall(normal) if self.mark_cuts else [normal] if normal else []
 
-    def own_ids(self, word: str) -> list[int]:
-        """The library's own encoding of a part of a normal text."""
-        rest = self.plain(word)
+    def own_ids(self, words: list[str]) -> list[list[int]]:
+        """The library's own encoding of parts of normal texts."""
+        found = self.processor.encode([self.plain(w) for w in words], num_threads=1)
         # Nothing is put before an empty text.
-        return self.processor.encode(rest) if rest else [self.processor.piece_to_id(word)]
+        return [ids or [self.processor.piece_to_id(w)] for w, ids in zip(words, found)]
 
     def ranked(self) -> bool:
         """Whether the model's scores are merge ranks, which are whole numbers."""
@@ -114,44 +137,172 @@ class PieceModel:
                 heapq.heappush(heap, (-(done + s + forward[i]), i, piece + ids, done + s))
         return tuple(found)
 
-    def n_best_of(self, text: str) -> list[tuple[float, bytes]]:
-        """Up to n_best (score, little-endian 32-bit ids) of a whole text, best first."""
-        words, memo = self.words(text), self.memo
-        if len(memo) > self.memo_words:
-            memo.clear()
-        for w in set(words).difference(memo):
-            memo[w] = self.word(w)
-        options = [memo[w] for w in words]
-        best = b"".join([o[0][1] for o in options])
-        score = float(sum([o[0][0] for o in options]))
-        out = [(score, best)]
-        if self.n_best > 1:
-            out = self._combined(options, score, best)
+    def best(self, word: str) -> tuple[float, bytes, float]:
+        """Score and id bytes of the best segmentation of a word, the one that `word` finds first,
+        and what the second best loses against it: infinite where there is none."""
+        get, n, none = self.begins.get, len(word), float("-inf")
+        first, second, last = [0.0] + [none] * n, [none] * (n + 1), [None] * (n + 1)
+        for i in range(n):
+            one, two, single = first[i], second[i], False
+            for j in range(i + 1, n + 1):
+                found = get(word[i:j], 0)
+                if found:
+                    s, piece = found
+                    if j == i + 1:
+                        single = True
+                elif found == 0:
+                    break
+                else:
+                    continue
+                now, s = first[j], s + one
+                # Of equal scores the one with the longer last piece came first and stays.
+                if s > now:
+                    other = two + s - one
+                    first[j], second[j], last[j] = s, now if now > other else other, (i, piece)
+                elif s > second[j]:
+                    second[j] = s
+            if not single:
+                j, s = i + 1, one + self.unknown
+                now = first[j]
+                if s > now:
+                    other = two + self.unknown
+                    first[j], second[j], last[j] = s, now if now > other else other, (i, self._fallback(word[i]))
+                elif s > second[j]:
+                    second[j] = s
+        ids, at = [], n
+        while at:
+            at, piece = last[at]
+            ids.append(piece)
+        return first[n], b"".join(ids[::-1]), first[n] - second[n]
+
+    def best_of_many(self, words: list[str]) -> list[tuple[float, bytes, float]]:
+        """`best` of each word, a step of the forward pass taken for all of them at once. Words with
+        a character that is no piece, and long ones, are left to `best`."""
+        length = np.array([len(w) for w in words], np.int64)
+        letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        text = np.cumsum(length) - length
+        base = text + np.arange(len(words))  # a word has one position more than letters
+        size, hard = len(letters) + len(words), length > LONG_WORD
+        first, second = np.full(size, -np.inf), np.full(size, -np.inf)
+        last, width = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        first[base] = 0.0
+        rows = np.flatnonzero(~hard)
+        for i in range(int(length[rows].max(initial=0))):
+            rows = rows[(length[rows] > i) & ~hard[rows]]
+            live, node, n = rows, np.zeros(len(rows), np.int64), 0
+            while len(live):
+                asked = node << CHARACTER_BITS | letters[text[live] + i + n]
+                at = np.minimum(np.searchsorted(self.edges, asked), len(self.edges) - 1)
+                ok = self.edges[at] == asked
+                live, node, n = live[ok], self.below[at[ok]], n + 1
+                score = self.score_at[node]
+                piece = score == score
+                if n == 1:
+                    hard[rows] = True
+                    hard[live[piece]] = False
+                begin = base[live[piece]] + i
+                j, gain = begin + n, score[piece]
+                s, now = first[begin] + gain, first[j]
+                # Of equal scores the one with the longer last piece came first and stays.
+                up = s > now
+                second[j] = np.where(up, np.maximum(now, second[begin] + gain), np.maximum(second[j], s))
+                j = j[up]
+                first[j], last[j], width[j] = s[up], node[piece][up], n
+                more = length[live] > i + n
+                live, node = live[more], node[more]
+        easy = np.flatnonzero(~hard)
+        at, steps = (base + length)[easy], []
+        rows = np.arange(len(easy))
+        while len(rows):
+            steps.append((rows, last[at]))
+            at = at - width[at]
+            more = at > base[easy[rows]]
+            rows, at = rows[more], at[more]
+        count = np.zeros(len(easy), np.int64)
+        for rows, _ in steps:
+            count[rows] += 1
+        ends = np.cumsum(count)
+        ids = np.zeros(int(count.sum()), "<u4")
+        for back, (rows, node) in enumerate(steps, 1):
+            ids[ends[rows] - back] = self.id_at[node]
+        raw, ends = ids.tobytes(), (4 * ends).tolist()
+        top = first[(base + length)[easy]]
+        lost = (top - second[(base + length)[easy]]).tolist()
+        out: list = [None] * len(words)
+        start = 0
+        for i, score, end, loss in zip(easy.tolist(), top.tolist(), ends, lost):
+            out[i] = (score, raw[start:end], loss)
+            start = end
+        for i in np.flatnonzero(hard).tolist():
+            out[i] = self.best(words[i])
         return out
 
-    def _combined(self, options, score, best):
-        losses = sorted((o[0][0] - o[1][0], i) for i, o in enumerate(options) if len(o) > 1)
+    def remember(self, words: set[str]):
+        """Have the best segmentations of these words at hand."""
+        if len(self.memo) > self.memo_words:
+            self.memo.clear()
+        new = list(words.difference(self.memo))
+        for start in range(0, len(new), WORDS_AT_ONCE):
+            some = new[start : start + WORDS_AT_ONCE]
+            self.memo.update(zip(some, self.best_of_many(some)))
+
+    def options(self, word: str) -> tuple:
+        found = self.searched.get(word)
+        if found is None:
+            if len(self.searched) > MEMO_SEARCHED:
+                self.searched.clear()
+            found = self.searched[word] = self.word(word)
+        return found
+
+    def n_best_of(self, text: str) -> list[tuple[float, bytes]]:
+        """Up to n_best (score, little-endian 32-bit ids) of a whole text, best first."""
+        return [(score, ids) for score, ids, _ in self.n_best_parts(self.words(text))]
+
+    def n_best_parts(self, words: list[str]) -> list[tuple[float, bytes, list]]:
+        """As `n_best_of` for the parts of a text, with (best ids, ids here) of the changed parts."""
+        if not words:
+            return [(0.0, b"", [])]
+        try:
+            found = [*map(self.memo.__getitem__, words)]
+        except KeyError:
+            self.remember(set(words))
+            found = [*map(self.memo.__getitem__, words)]
+        scores, ids, losses = zip(*found)
+        best, score = b"".join(ids), float(sum(scores))
         # A text that changes a word of larger loss is worse than n_best - 1 single changes.
-        places = [i for _, i in losses[: self.n_best - 1]]
-        start = (0,) * len(places)
+        least = heapq.nsmallest(self.n_best - 1, zip(losses, range(len(words))))
+        places = [i for loss, i in least if loss < float("inf")]
+        if not places:
+            return [(score, best, [])]
+        ends = list(accumulate(map(len, ids)))
+        options = [self.options(words[i]) for i in places]
+        return [(total, *self._ids(best, ends, places, options, choice)) for total, choice in self._combined(options, score)]
+
+    def _combined(self, options, score):
+        """(score, option taken for each of the words), best first."""
+        start = (0,) * len(options)
         heap, seen, out = [(-score, start)], {start}, []
         while heap and len(out) < self.n_best:
             total, choice = heapq.heappop(heap)
-            out.append((-total, self._ids(options, places, choice, best)))
-            for p, i in enumerate(places):
-                c = choice[p]
-                if c + 1 < len(options[i]) and (next_ := choice[:p] + (c + 1,) + choice[p + 1 :]) not in seen:
+            out.append((-total, choice))
+            for p, c in enumerate(choice):
+                if c + 1 < len(options[p]) and (next_ := choice[:p] + (c + 1,) + choice[p + 1 :]) not in seen:
                     seen.add(next_)
-                    lost = options[i][c][0] - options[i][c + 1][0]
+                    lost = options[p][c][0] - options[p][c + 1][0]
                     heapq.heappush(heap, (total + lost, next_))
         return out
 
     @staticmethod
-    def _ids(options, places, choice, best):
-        changed = {i: c for i, c in zip(places, choice) if c}
-        if not changed:
-            return best
-        return b"".join([o[changed.get(i, 0)][1] for i, o in enumerate(options)])
+    def _ids(best, ends, places, options, choice):
+        """Ids of the text with the chosen options, and (best ids, ids here) of the changed words."""
+        parts, changes, at = [], [], 0
+        for i, found, c in sorted(zip(places, options, choice)):
+            if c:
+                start = ends[i - 1] if i else 0
+                parts += [best[at:start], found[c][1]]
+                changes.append((found[0][1], found[c][1]))
+                at = ends[i]
+        return b"".join([*parts, best[at:]]), changes
 
     def plain(self, normal: str) -> str:
         """A normal text with spaces for marks, without the one put before it."""
@@ -160,6 +311,13 @@ class PieceModel:
     def decode(self, ids: list[int]) -> str:
         return self.processor.decode(ids)
 
+    def decode_bytes(self, ids: bytes) -> str:
+        return self.decode(np.frombuffer(ids, "<i4").tolist())
+
+    def same_decoded(self, changes: list[tuple[bytes, bytes]]) -> bool:
+        """Whether each changed word decodes as before; so does the text then, piece by piece."""
+        return all(self.decode_bytes(a) == self.decode_bytes(b) for a, b in changes)
+
 
 def piece_model(path: str, n_best: int, scores: np.ndarray | None = None) -> PieceModel:
     cache, asked = worker_cache(), (path, n_best, None if scores is None else scores.tobytes())
@@ -178,12 +336,16 @@ def counted_scores(docs: DataFrame, model_path: str, text: str = "text") -> np.n
         return None
 
     def counted(batches):
-        model, seen, sums = piece_model(model_path, 1), Counter(), Counter()
+        model, seen = piece_model(model_path, 1), Counter()
+        sums = np.zeros(model.processor.get_piece_size(), dtype=np.int64)
 
         def flush():
-            for word, n in seen.items():
-                for i in model.own_ids(word):
-                    sums[i] += n
+            words = list(seen)
+            for start in range(0, len(words), WORDS_AT_ONCE):
+                some = words[start : start + WORDS_AT_ONCE]
+                found = model.own_ids(some)
+                times = np.repeat([seen[w] for w in some], [len(ids) for ids in found])
+                np.add.at(sums, np.fromiter(chain.from_iterable(found), np.int64, len(times)), times)
             seen.clear()
 
         for batch in slices(batches):
@@ -192,9 +354,8 @@ def counted_scores(docs: DataFrame, model_path: str, text: str = "text") -> np.n
             if len(seen) > MEMO_WORDS:
                 flush()
         flush()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.int64())], ["id", "n"]
-        )
+        used = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(sums[used])], ["id", "n"])
 
     found = docs.select(F.col(text).alias("t")).mapInArrow(counted, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counts = np.zeros(local.processor.get_piece_size())
@@ -226,18 +387,40 @@ def encode(
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int64()]
     kinds += [pa.list_(pa.int32())] * with_ids + [pa.int64(), pa.bool_()] * decoded
 
+    def prepared(model, batch):
+        """(key, normal text, words) of each row; the words of many texts are segmented at once."""
+        held, size = [], 0
+
+        def ready():
+            model.remember(set(chain.from_iterable(words for _, _, words in held)))
+            return held
+
+        for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            normal = model.normal(t or "")
+            held.append((k, normal, model.parts(normal)))
+            size += len(normal)
+            if size > TEXT_AT_ONCE:
+                yield from ready()
+                held, size = [], 0
+        yield from ready()
+
     def encoded(batches):
         model = piece_model(model_path, n_best, scores)
         for batch in slices(batches):
             out = [[] for _ in names]
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                whole = model.plain(model.normal(t or "")) if decoded else None
-                for rank, (score, ids) in enumerate(model.n_best_of(t or ""), 1):
+            for k, normal, words in prepared(model, batch):
+                first = None
+                for rank, (score, ids, changes) in enumerate(model.n_best_parts(words), 1):
                     row = [k, rank, len(ids) // 4, score, zlib.crc32(ids)]
                     row += [np.frombuffer(ids, "<i4")] * with_ids
                     if decoded:
-                        back = model.decode(np.frombuffer(ids, "<i4").tolist())
-                        row += [zlib.crc32(back.encode("utf-8", "surrogatepass")), back == whole]
+                        if first is None or not model.same_decoded(changes):
+                            back = model.decode_bytes(ids)
+                            text_of = [zlib.crc32(back.encode("utf-8", "surrogatepass")), back == model.plain(normal)]
+                            first = first or text_of
+                        else:
+                            text_of = first
+                        row += text_of
                     for column, value in zip(out, row):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)

@@ -315,6 +315,25 @@ def test_best_segmentations_equal_enumeration(docs, empty, texts):
     assert pieces.encode(empty, path).count() == 0
 
 
+def test_forward_pass_over_many_words(texts):
+    """Best and second best of all words at once, against the backward search of each word."""
+    rng = np.random.default_rng(5)
+    own = pieces.PieceModel(P.path("piece_bpe_32k.model"), 2)
+    scores = np.round(rng.uniform(-12, -2, own.processor.get_piece_size()) * 4) / 4  # many ties
+    model = pieces.PieceModel(P.path("piece_bpe_32k.model"), 2, scores=scores)
+    words = {w for _, t in texts for w in model.words(t or "")}
+    words |= {pieces.MARK + "".join(rng.choice(list("abeinst漢é😀\n9▁"), n)) for n in range(1, 90)} | {"a", "▁", "x" * 300}
+    words = sorted(words)
+    for word, (score, ids, loss) in zip(words, model.best_of_many(words)):
+        found = model.word(word)
+        assert (score, ids) == found[0] and (score, ids, loss) == model.best(word), word
+        assert loss == (found[0][0] - found[1][0] if len(found) > 1 else float("inf")), word
+    assert model.best_of_many([]) == []
+    # The memory starting anew within a text changes nothing.
+    small = pieces.PieceModel(P.path("piece_bpe_32k.model"), 2, memo_words=3, scores=scores)
+    assert all(small.n_best_of(t or "") == model.n_best_of(t or "") for _, t in texts)
+
+
 def test_first_segmentation_is_that_of_the_library(spark, texts):
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2
