@@ -57,23 +57,26 @@ class PieceModel:
                 self.scores[model.id_to_piece(i)] = (model.get_score(i) if scores is None else float(scores[i]), i.to_bytes(4, "little"))
         # Every piece and, with None, every other beginning of one.
         self.begins = {p[:n]: None for p in self.scores for n in range(1, len(p) + 1)} | self.scores
-        self._trie()
         usual = [s for s, _ in self.scores.values() if s > -1e8]
         self.unknown = min(usual, default=0.0) - UNKNOWN_PENALTY
         self.unknown_id = model.unk_id()
+        self._trie()
         self.mark_cuts = not any(MARK in p.lstrip(MARK) for p in self.scores)
         self.mark_first = model.normalize("a").startswith(MARK)
         self.memo: dict[str, tuple] = {}
         self.searched: dict[str, tuple] = {}
 
     def _trie(self):
-        """The beginnings of pieces as arrays: an edge is its node's number and a character."""
-        number = {"": 0} | {p: i for i, p in enumerate(self.begins, 1)}
-        edges = np.array([number[p[:-1]] << CHARACTER_BITS | ord(p[-1]) for p in self.begins], np.int64)
+        """The beginnings of pieces as arrays: an edge is its node's number and a character. ASCII
+        characters without a piece are pieces at the unknown score here, as they have one id."""
+        alone = [c for c in map(chr, range(128)) if not self.begins.get(c)]
+        begins = self.begins | {c: (self.unknown, self._fallback(c)) for c in alone}
+        number = {"": 0} | {p: i for i, p in enumerate(begins, 1)}
+        edges = np.array([number[p[:-1]] << CHARACTER_BITS | ord(p[-1]) for p in begins], np.int64)
         order = np.argsort(edges)
         self.edges, self.below = edges[order], 1 + order
-        self.score_at = np.array([float("nan")] + [v[0] if v else float("nan") for v in self.begins.values()])
-        self.id_at = np.array([0] + [int.from_bytes(v[1], "little") if v else 0 for v in self.begins.values()], "<u4")
+        self.score_at = np.array([float("nan")] + [v[0] if v else float("nan") for v in begins.values()])
+        self.id_at = np.array([0] + [int.from_bytes(v[1], "little") if v else 0 for v in begins.values()], "<u4")
 
     def normal(self, text: str) -> str:
         """The library's own normal form of the text, spaces as marks."""
@@ -177,7 +180,7 @@ class PieceModel:
 
     def best_of_many(self, words: list[str]) -> list[tuple[float, bytes, float]]:
         """`best` of each word, a step of the forward pass taken for all of them at once. Words with
-        a character that is no piece, and long ones, are left to `best`."""
+        another character that is no piece, and long ones, are left to `best`."""
         length = np.array([len(w) for w in words], np.int64)
         letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         text = np.cumsum(length) - length
