@@ -107,7 +107,8 @@ def factors() -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
-    """(key, n_shingles, digest, tokens): size, identity, minwise tokens and sketch of each set."""
+    """(k, h, n_shingles, digest, tokens): key, hash of the text, and size, identity, minwise tokens
+    and sketch of each set."""
     import pyarrow as pa
 
     odd = factors()
@@ -115,20 +116,21 @@ def document_sets(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
     def sets(batches):
         make = shingler()
         for batch in slices(batches):
-            found = [make(t, size) for t in batch.column(1).to_pylist()]
+            found = [make(t, size) for t in batch.column(2).to_pylist()]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in found]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array([len(s) for s in found], pa.int64()),
                     pa.array(digests, pa.binary()),
                     pa.array([minwise(s, odd).tobytes() + sketch(s).tobytes() if len(s) else None for s in found], pa.binary()),
                 ],
-                ["k", "n_shingles", "digest", "tokens"],
+                ["k", "h", "n_shingles", "digest", "tokens"],
             )
 
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    return rows.mapInArrow(sets, "k long, n_shingles long, digest binary, tokens binary")
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    return rows.mapInArrow(sets, "k long, h long, n_shingles long, digest binary, tokens binary")
 
 
 # --- the trees --------------------------------------------------------------
@@ -365,8 +367,8 @@ def last_pairs(large: DataFrame, least: int) -> DataFrame:
 # --- links and groups -------------------------------------------------------
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, size: int, least: int, key: str, text: str) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= least * union."""
+def confirm(pairs: DataFrame, docs: DataFrame, size: int, least: int, text: str) -> DataFrame:
+    """The pairs of text hashes whose full sets have 100 * intersection >= least * union."""
     import pyarrow as pa
 
     def check(batches):
@@ -386,12 +388,13 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, least: int, key: str,
                 keep[i] = 100 * both >= least * (len(one) + len(other) - both)
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
-    texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    texts = docs.select(F.xxhash64(text).alias("k"), F.col(text).alias("t"))
     ids = pairs.select(F.col("a").alias("i")).union(pairs.select("b")).distinct()
     ids, _ = write_scratch(ids, "pair-ids")
     if ids.count() <= SENT_IDS:
         ids = F.broadcast(ids)
-    texts = texts.join(ids, F.col("k") == F.col("i"), "left_semi")
+    # A text that many rows hold leaves each task once.
+    texts = texts.join(ids, F.col("k") == F.col("i"), "left_semi").groupBy("k").agg(F.first("t").alias("t"))
     first = texts.withColumnsRenamed({"k": "a", "t": "ta"})
     second = texts.withColumnsRenamed({"k": "b", "t": "tb"})
     # Pairs of two long texts meet in small Arrow batches; rows come sorted by a.
@@ -435,35 +438,38 @@ def near_duplicates(
     distinct shingles of `shingle` words; a shorter text is one shingle; without words the set is
     empty and linked with nothing. Rows link where 100 * intersection >= least * union;
     component_id is the smallest key reachable, kept marks the row that has it. Rows with one key
-    are one document: all kept or none; a key that is the smallest of several different sets
-    is linked by one of these sets only. Rows with a null key are
+    are one document: all kept or none, linked by each of their texts. Rows with a null key are
     linked with nothing, have a null component_id and are kept. An empty table gives no rows.
     Other columns are not read.
     """
     sets, _ = write_scratch(document_sets(docs, shingle, key, text), "sets")
     usable = sets.filter(F.col("k").isNotNull() & F.col("digest").isNotNull())
-    # Rows of one digest have one set, so any of them gives the class its size and tokens.
+    # Rows of one digest have one set, so any of them gives the class its size and tokens. A class
+    # is named by the hash of one of its texts, as keys may repeat with different texts.
     classes, _ = write_scratch(
         usable.groupBy("digest").agg(
-            F.min("k").alias("rep"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens")
+            F.min("h").alias("rep"),
+            F.min("k").alias("least"),
+            F.first("n_shingles").alias("n"),
+            F.first("tokens").alias("tokens"),
         ),
         "classes",
     )
-    base = classes.groupBy("rep").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    base, _ = write_scratch(base, "class-sets")
-
-    links = _links(base, docs, shingle, least, key, text)
-    groups = components(links)
-    named = classes.select("digest", "rep").join(groups.withColumnRenamed("v", "rep"), "rep", "left").select(
-        F.col("digest").alias("d"), F.coalesce("comp", "rep").alias("group")
+    links = _links(classes.select("rep", "n", "tokens"), docs, shingle, least, text)
+    groups = components(links).withColumnRenamed("v", "rep")
+    members = classes.select("digest", "least", "rep").join(groups, "rep", "left")
+    smallest = members.filter("comp is not null").groupBy("comp").agg(F.min("least").alias("low"))
+    named = members.join(smallest, "comp", "left").select(
+        F.col("digest").alias("d"), F.coalesce("low", "least").alias("group")
     )
-    labelled = sets.join(named, F.col("digest") == F.col("d"), "left")
+    labelled = sets.drop("tokens", "h").join(named, F.col("digest") == F.col("d"), "left")
     # One key with several texts ties their groups together.
-    tied = labelled.filter(F.col("group").isNotNull()).groupBy("k").agg(
-        F.min("group").alias("a"), F.max("group").alias("b")
-    ).filter("a < b").select("a", "b")
-    tied, _ = write_scratch(tied, "tied")
-    if tied.limit(1).count():
+    linked = labelled.filter(F.col("group").isNotNull() & F.col("k").isNotNull()).select("k", "group")
+    several = linked.groupBy("k").agg(F.min("group").alias("a"), F.max("group").alias("b")).filter("a < b")
+    several, _ = write_scratch(several.select("k", "a"), "several")
+    if several.limit(1).count():
+        tied = linked.distinct().join(several, "k").filter("group > a")
+        tied, _ = write_scratch(tied.select("a", F.col("group").alias("b")).distinct(), "tied")
         top = components(tied).select(F.col("v").alias("group"), F.col("comp").alias("top"))
         labelled = labelled.join(top, "group", "left").withColumn("group", F.coalesce("top", "group"))
     component = F.when(F.col("k").isNotNull(), F.coalesce("group", "k"))
@@ -475,7 +481,7 @@ def near_duplicates(
     )
 
 
-def _links(base, docs, shingle, least, key, text):
+def _links(base, docs, shingle, least, text):
     """Confirmed links between classes, enough of them for the groups."""
 
     def sized(rows):
@@ -490,7 +496,7 @@ def _links(base, docs, shingle, least, key, text):
 
     def confirmed(pairs):
         distinct, _ = write_scratch(pairs.distinct(), "pairs")
-        out, _ = write_scratch(confirm(distinct, docs, shingle, least, key, text), "confirmed")
+        out, _ = write_scratch(confirm(distinct, docs, shingle, least, text), "confirmed")
         return out
 
     def grouped(links):

@@ -139,6 +139,22 @@ def test_near_duplicates_equal_brute_force(monkeypatch, docs, empty, texts, smal
         assert near_dedup.near_duplicates(empty, 4, 80).count() == 0
 
 
+def test_repeated_keys_link_by_each_of_their_texts(spark):
+    """Links of every text of a key; null keys and equal texts tie nothing together."""
+    rng = np.random.default_rng(19)
+    text = [prose(rng, 60) + f" topic{i} " + prose(rng, 20) for i in range(9)]
+    near = [t + " end" for t in text]
+    rows = [(1, text[0]), (1, text[1]), (2, near[0]), (3, near[1]), (3, near[1])]
+    rows += [(14, text[2]), (14, text[3]), (14, text[4]), (5, near[2]), (6, near[3]), (7, near[4])]
+    rows += [(8, text[5]), (9, text[6]), (None, text[5]), (None, text[6]), (None, text[0]), (10, text[7]), (11, None), (11, text[8])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {}
+    for r in near_dedup.near_duplicates(docs, 4, 80).collect():
+        got.setdefault(r["key"], set()).add((r["component_id"], r["kept"]))
+    want = {1: 1, 2: 1, 3: 1, 14: 5, 5: 5, 6: 5, 7: 5, 8: 8, 9: 9, 10: 10, 11: 11}
+    assert got == {k: {(c, c == k)} for k, c in want.items()} | {None: {(None, True)}}
+
+
 def test_groups_of_the_last_level_are_bounded(spark, monkeypatch):
     from pyspark.sql import GroupedData
 
