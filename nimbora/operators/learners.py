@@ -20,13 +20,15 @@ from pyspark.sql import functions as F
 from nimbora.constants import DATE, KEY, SEED, TARGET
 from nimbora.operators.blocks import ROW_INDEX
 from nimbora.operators.specs import FeatureConfig
-from nimbora.session import dealt_by
+from nimbora.session import dealt_by, materialize
 
 _EPOCH = date(1970, 1, 1)
 
 #: Up to so many columns, [1, inputs, target], their products are summed by generated code. Cutoffs
 #: whose running sums are held at a time.
 JVM_COLUMNS, SCAN_CUTOFFS = 16, 256
+#: Rows in a partition of what a distributed fit iterates over.
+FIT_ROWS = 50_000
 FIT_SCHEMA = (
     f"{KEY} string, config_id string, cutoff date, n_train long, "
     "intercept double, coefficients array<double>, importances array<double>"
@@ -219,10 +221,21 @@ class FittedModel:
         )
 
 
+def _fit_rows(train: DataFrame, config: FeatureConfig) -> DataFrame:
+    """(features, label) for a fit of many small jobs, written once: a job then walks no lineage but
+    that of a stored table. Dealt by the number of rows, not by the width of the shuffle they come
+    from, and ordered by station and day, so what is sampled does not depend on the cluster."""
+    assembler = VectorAssembler(inputCols=config.columns, outputCol="features")
+    assembled = assembler.transform(train).select(KEY, DATE, "features", F.col(TARGET).alias("label"))
+    stored = materialize(assembled, "training")
+    parts = max(1, -(-stored.count() // FIT_ROWS))
+    ordered = stored.repartitionByRange(parts, KEY, DATE).sortWithinPartitions(KEY, DATE)
+    return ordered.select("features", "label")
+
+
 def _fit(estimator, train: DataFrame, config: FeatureConfig):
     """Fit on assembled rows; they are held while the estimator iterates over them."""
-    assembler = VectorAssembler(inputCols=config.columns, outputCol="features")
-    rows = assembler.transform(train).select("features", F.col(TARGET).alias("label"))
+    rows = _fit_rows(train, config)
     rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return estimator.fit(rows)

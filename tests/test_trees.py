@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nimbora.operators.bulk import feature_table
 from nimbora.operators.folds import cutoff_grid
-from nimbora.operators.learners import fit_boosted_trees
+from nimbora.operators.learners import _fit, fit_boosted_trees
 from nimbora.operators.recursion import transform_path
 from nimbora.operators.specs import FeatureConfig, Spec
 from nimbora.operators.trees import Ensemble, TreeParams, boost, ensemble_columns, expanding_trees, mllib_ensemble, tree_sum
@@ -168,3 +168,23 @@ def test_benchmark_with_trees(spark, series):
     shares = report.importance.groupBy("config_id").agg(F.sum("importance").alias("s")).collect()
     assert [r.s for r in shares] == pytest.approx([1.0, 1.0])
     assert report.leaderboard.count() == 2 and report.residual_spread.count() == 28
+
+
+class _Held:
+    """Stands in for an estimator: how the rows that a fit iterates over are dealt, and the rows."""
+
+    def fit(self, rows):
+        return rows.rdd.getNumPartitions(), sorted((tuple(r.features), r.label) for r in rows.collect())
+
+
+def test_fit_deals_rows_by_their_number_not_by_the_shuffle(spark):
+    days = [date(2020, 1, 1) + timedelta(days=i) for i in range(40)]
+    config = FeatureConfig("rain", (Spec(P, "lag", 14),))
+    rows = spark.createDataFrame(
+        [("A", d, float(i % 7), i + 1) for i, d in enumerate(days)], "idema string, date date, precipitation double, row_index int"
+    )
+    table = feature_table(rows, config)
+    narrow, held = _fit(_Held(), table.coalesce(1), config)
+    wide, same = _fit(_Held(), table.repartition(16), config)
+    assert narrow == wide == 1 and held == same
+    assert len(held) == table.count() > 0
