@@ -117,8 +117,7 @@ def upsert_latest(spark, sf_dir):
 
 
 def network_upsert(spark, sf_dir):
-    latest = latest_records(supplier_records(spark, sf_dir))
-    return latest.select(KEY, DAY, *METRIC_FIELDS)
+    return latest_records(supplier_records(spark, sf_dir), columns=METRIC_FIELDS)
 
 
 def upsert_counts_by_source(spark, sf_dir):

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nimbora.constants import DAY, KEY
+from nimbora.functions.packing import pack_texts, split_texts, unpack_texts
+
+_TEXTS = "_texts"
 
 
 def keyed(records: DataFrame) -> DataFrame:
@@ -20,23 +23,43 @@ def latest_records(
 
     `arrival` may be any orderable column, a struct included, and must be unique within a
     key. `max_by` keeps one candidate per key in each map task, so a key repeated in a
-    third of all rows still shuffles one row per task.
+    third of all rows still shuffles one row per task. Texts travel packed into one.
     """
-    kept = columns or [c for c in records.columns if c not in (KEY, DAY, arrival)]
-    winner = F.max_by(F.struct(*kept), arrival).alias("winner")
-    return keyed(records).groupBy(KEY, DAY).agg(winner).select(KEY, DAY, "winner.*")
+    kept = list(columns or [c for c in records.columns if c not in (KEY, DAY, arrival)])
+    kinds = dict(records.dtypes)
+    texts = [c for c in kept if kinds[c] == "string"]
+    if len(texts) < 2:
+        winner = F.max_by(F.struct(*kept), arrival).alias("winner")
+        return keyed(records).groupBy(KEY, DAY).agg(winner).select(KEY, DAY, "winner.*")
+    return unpacked(latest_packed(records.select(KEY, DAY, arrival, *kept), texts, arrival), texts).select(KEY, DAY, *kept)
+
+
+def latest_packed(records: DataFrame, texts: Sequence[str], arrival: str = "arrival") -> DataFrame:
+    """`latest_records` of all columns, these texts still packed: for rows that travel on."""
+    others = [c for c in records.columns if c not in (KEY, DAY, arrival, *texts)]
+    rows = keyed(records).select(KEY, DAY, arrival, pack_texts(texts).alias(_TEXTS), *others)
+    winner = F.max_by(F.struct(_TEXTS, *others), arrival).alias("winner")
+    return rows.groupBy(KEY, DAY).agg(winner).select(KEY, DAY, "winner.*")
+
+
+def unpacked(records: DataFrame, texts: Sequence[str]) -> DataFrame:
+    """Records with the packed texts as columns again."""
+    others = [c for c in records.columns if c != _TEXTS]
+    parts = records.select(*others, split_texts(F.col(_TEXTS)).alias(_TEXTS))
+    return parts.select(*others, *unpack_texts(F.col(_TEXTS), texts))
 
 
-def merge_records(
-    existing: DataFrame, incoming: DataFrame, arrival: str = "arrival"
+def merge_packed(
+    existing: DataFrame, incoming: DataFrame, texts: Sequence[str], arrival: str = "arrival"
 ) -> DataFrame:
-    """Upsert `incoming` (with `arrival`) into `existing` (without): stored rows always lose."""
+    """Upsert `incoming` (with `arrival`) into `existing` (without): stored rows always lose.
+    Rows as of `latest_packed`."""
     order = F.struct(F.lit(1).alias("fresh"), F.col(arrival).alias("at"))
     fresh = incoming.withColumn("_order", order).drop(arrival)
     at = incoming.schema[arrival].dataType
     stored_order = F.struct(F.lit(0).alias("fresh"), F.lit(None).cast(at).alias("at"))
     stored = existing.withColumn("_order", stored_order)
-    return latest_records(stored.unionByName(fresh), arrival="_order")
+    return latest_packed(stored.unionByName(fresh), texts, arrival="_order")
 
 
 def upsert_counts(records: DataFrame, source: str = "path") -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from nimbora.constants import DAY, KEY, METRIC_FIELDS
 from nimbora.operators.bands import band_join
-from nimbora.operators.upsert import keyed, merge_records, latest_records
+from nimbora.operators.upsert import keyed, latest_packed, merge_packed, unpacked
 from nimbora.sources.records import RECORD_COLUMNS
 
 BUCKET, YEAR, SNAPSHOT = "bucket", "year_text", "snapshot"
@@ -133,9 +133,9 @@ class RecordStore:
             old = self.zones(current)
             kept = old.join(F.broadcast(folders), [*LAYOUT], "left_anti")
             stored = self._read(old.join(F.broadcast(folders), [*LAYOUT], "left_semi")).drop(SNAPSHOT, *LAYOUT)
-            latest = merge_records(stored, incoming, arrival)
+            latest = merge_packed(stored, incoming, METRIC_FIELDS, arrival)
         else:
-            kept, latest = None, latest_records(incoming, arrival)
+            kept, latest = None, latest_packed(incoming, METRIC_FIELDS, arrival)
         self._write(_placed(latest, buckets), snapshot)
         zones = self._zones_of(snapshot)
         if kept is not None:
@@ -145,10 +145,11 @@ class RecordStore:
         return sum(r["count"] for r in touched)
 
     def _write(self, records: DataFrame, snapshot: str) -> None:
+        """Write records whose texts are packed; they travel once more like that."""
         # By range, so that one folder may be the work of many tasks.
         order = (*LAYOUT, KEY, DAY)
         spread = records.repartitionByRange(*order).sortWithinPartitions(*order)
-        spread.write.partitionBy(*LAYOUT).parquet(f"{self.path}/data/{SNAPSHOT}={snapshot}")
+        unpacked(spread, METRIC_FIELDS).write.partitionBy(*LAYOUT).parquet(f"{self.path}/data/{SNAPSHOT}={snapshot}")
 
     def _zones_of(self, snapshot: str) -> DataFrame:
         folder = F.regexp_extract("_metadata.file_path", rf"/data/({SNAPSHOT}=.*)/[^/]*$", 1).alias("folder")
