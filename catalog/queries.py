@@ -240,7 +240,7 @@ def impute_mean(spark, sf_dir):
 
 def wind_sector(spark, sf_dir):
     """Sector of every raw wind text, before filling."""
-    latest = latest_records(supplier_records(spark, sf_dir))
+    latest = latest_records(supplier_records(spark, sf_dir), columns=raw_fields([WIND_DIRECTION]))
     parsed = parse_records(latest, columns=[WIND_DIRECTION])
     return parsed.select(KEY, DATE, F.col(WIND_DIRECTION).cast("int").alias("sector"))
 
