@@ -57,7 +57,7 @@ from nimbora.operators.split import (
     resolve_cutoffs,
     train_test_split,
 )
-from nimbora.operators.upsert import latest_records, upsert_counts
+from nimbora.operators.upsert import keyed, latest_records, upsert_counts
 from nimbora.plans.benchmark import boosted_trees, run_benchmark
 from nimbora.plans.predict import (
     chart_table,
@@ -312,8 +312,10 @@ def network_seasonality(spark, sf_dir):
 
 
 def trailing(spark, sf_dir):
-    latest = latest_records(supplier_records(spark, sf_dir))
-    return trailing_window(latest, 51).select(KEY, DAY, "prec", "hrMedia")
+    """Whether a record is in the window depends on its station and day alone, and these are the key
+    of the upsert: only the window's records need it."""
+    window = trailing_window(keyed(supplier_records(spark, sf_dir)), 51)
+    return latest_records(window, columns=["prec", "hrMedia"])
 
 
 def store_trailing(spark, sf_dir):
