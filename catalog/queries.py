@@ -387,7 +387,7 @@ def network_asof(spark, sf_dir):
 
 def future_features(spark, sf_dir):
     """Feature rows of the 14 days after each station's last day."""
-    series = _suppliers(spark, sf_dir, DEFAULT_CONFIG.inputs)
+    series = materialize(_suppliers(spark, sf_dir, DEFAULT_CONFIG.inputs), "series")
     ahead = days_around(resolve_cutoffs(series), -1, HORIZON).select(KEY, DATE)
     rows = features_at(ahead, series, DEFAULT_SPECS, ["day_of_year", "quarter"])
     return _rounded(rows, *[s.name for s in DEFAULT_SPECS])
