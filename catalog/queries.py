@@ -427,18 +427,20 @@ def _standin(series: DataFrame, lags=(14,), by_date: bool = False) -> DataFrame:
     past = series.select(KEY, DATE, F.col(TARGET).alias("past"), lag).select(
         KEY, config, F.date_add(DATE, F.col("lag")).alias(DATE), "past"
     )
-    forecast = ahead.join(past, [KEY, "config_id", DATE], "left").select(
+    pair = metrics.pair_by_date if by_date else metrics.pair_by_position
+    # Paired before the values are looked up: most steps of a sparse station meet no actual.
+    steps = ahead.withColumnRenamed("offset", "step")
+    return pair(steps, actual).join(past, [KEY, "config_id", DATE], "left").select(
         "config_id",
         KEY,
         FOLD,
         "year",
         "cutoff",
-        F.col("offset").alias("step"),
+        "step",
         DATE,
         F.coalesce("past", F.lit(0.0)).alias("prediction"),
+        "actual",
     )
-    pair = metrics.pair_by_date if by_date else metrics.pair_by_position
-    return pair(forecast, actual)
 
 
 def fold_scores(spark, sf_dir):
