@@ -28,10 +28,14 @@ def drop_scratch(spark: SparkSession, *paths: str) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def worker_cache() -> dict:
-    """A dict that lives as long as the Python worker, across tasks."""
+def worker_cache(owner: str) -> dict:
+    """A dict that lives as long as the Python worker, across tasks, or until another owner asks for
+    one: the steps of a job come after each other and need not hold what they remember side by side."""
     name = "nimbora_worker_cache"
-    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+    held = sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+    if held.get("owner") != owner:
+        held["owner"], held["cache"] = owner, {}
+    return held["cache"]
 
 
 def slices(batches, rows: int = TEXT_ROWS):

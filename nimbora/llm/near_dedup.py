@@ -78,7 +78,7 @@ class Shingler:
 
 
 def shingler() -> Shingler:
-    cache = worker_cache()
+    cache = worker_cache("near_dedup")
     if "shingler" not in cache:
         cache["shingler"] = Shingler()
     return cache["shingler"]

@@ -323,7 +323,7 @@ class PieceModel:
 
 
 def piece_model(path: str, n_best: int, scores: np.ndarray | None = None) -> PieceModel:
-    cache, asked = worker_cache(), (path, n_best, None if scores is None else scores.tobytes())
+    cache, asked = worker_cache("pieces"), (path, n_best, None if scores is None else scores.tobytes())
     if cache.get("pieces_of") != asked:
         cache["pieces"], cache["pieces_of"] = PieceModel(path, n_best, scores=scores), asked
     return cache["pieces"]

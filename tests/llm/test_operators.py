@@ -57,6 +57,29 @@ def test_chunked_ids_equal_whole_ids(name, texts):
         assert np.frombuffer(coder.encode([text])[0], coder.dtype).tolist() == full_ids(path, text), text
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_plain_chunks_go_to_the_model_word_by_word(name):
+    path, rng = P.path(name), np.random.default_rng(6)
+    signs = [*"aB1é ÉßÞ×÷ªµ!#'|<\n\t\x1c\x00\x7f", "'s", "'LL", "  ", "e\u0301", "İ", "Σ", "漢", "</w>", "Ġ", "\u2028"]
+    some = ["".join(rng.choice(signs, rng.integers(1, 12))) for _ in range(3000)]
+    coder = tokens.ChunkEncoder(path, memo_chunks=200, memo_words=100)
+    for text, ids in zip(some, coder.encode(some)):
+        assert np.frombuffer(ids, coder.dtype).tolist() == full_ids(path, text), text
+    want = full_ids(path, "Grüße, new words! don't 12 stop")
+    coder.tokenizer = None  # plain chunks do without the steps before the model
+    ids = coder.encode(["Grüße, new words! don't 12 stop"])[0]
+    assert np.frombuffer(ids, coder.dtype).tolist() == want
+
+
+def test_a_worker_holds_the_memory_of_one_operator():
+    from nimbora.llm.common import worker_cache
+
+    first = worker_cache("one")
+    first["kept"] = 1
+    assert worker_cache("one") is first
+    assert worker_cache("other") == {} and worker_cache("one") == {}
+
+
 def test_elias_fano_selects_every_number():
     rng = np.random.default_rng(2)
     for values in ([], [0], [5], [1] * 700, np.cumsum(rng.integers(0, 900, 1500))):
