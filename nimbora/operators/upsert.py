@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nimbora.constants import DAY, KEY
@@ -36,10 +36,34 @@ def latest_records(
 
 def latest_packed(records: DataFrame, texts: Sequence[str], arrival: str = "arrival") -> DataFrame:
     """`latest_records` of all columns, these texts still packed: for rows that travel on."""
+    return _last(_packed(records, texts, arrival), arrival, (KEY, DAY))
+
+
+def latest_placed(
+    records: DataFrame, texts: Sequence[str], place: Sequence[str], crowded: Column | None, arrival: str = "arrival"
+) -> DataFrame:
+    """`latest_packed` of rows that are to lie in order of (*place, station, day), where `place` follows
+    from the key. Rows travel once: dealt by range of that order, those of a key meet where they stay.
+    Rows for which `crowded` holds, all or none of a key, are first thinned to one a key, which starts
+    in each map task: a key that has very many rows would meet in one task without that."""
+    order = [*place, KEY, DAY]
+    rows = _packed(records, texts, arrival)
+    if crowded is not None:
+        many = rows.filter(crowded)
+        thinned = _last(many.withColumn("_at", F.col(arrival)), "_at", order).select(rows.columns)
+        rows = rows.filter(~crowded).unionByName(thinned)
+    return _last(rows.repartitionByRange(*order), arrival, order).sortWithinPartitions(*order)
+
+
+def _packed(records: DataFrame, texts: Sequence[str], arrival: str) -> DataFrame:
     others = [c for c in records.columns if c not in (KEY, DAY, arrival, *texts)]
-    rows = keyed(records).select(KEY, DAY, arrival, pack_texts(texts).alias(_TEXTS), *others)
-    winner = F.max_by(F.struct(_TEXTS, *others), arrival).alias("winner")
-    return rows.groupBy(KEY, DAY).agg(winner).select(KEY, DAY, "winner.*")
+    return keyed(records).select(KEY, DAY, arrival, pack_texts(texts).alias(_TEXTS), *others)
+
+
+def _last(rows: DataFrame, arrival: str, key: Sequence[str]) -> DataFrame:
+    """The row of each key with the greatest `arrival`, without that."""
+    winner = F.max_by(F.struct(*[c for c in rows.columns if c not in (arrival, *key)]), arrival)
+    return rows.groupBy(*key).agg(winner.alias("winner")).select(*key, "winner.*")
 
 
 def unpacked(records: DataFrame, texts: Sequence[str]) -> DataFrame:
@@ -49,17 +73,13 @@ def unpacked(records: DataFrame, texts: Sequence[str]) -> DataFrame:
     return parts.select(*others, *unpack_texts(F.col(_TEXTS), texts))
 
 
-def merge_packed(
-    existing: DataFrame, incoming: DataFrame, texts: Sequence[str], arrival: str = "arrival"
-) -> DataFrame:
-    """Upsert `incoming` (with `arrival`) into `existing` (without): stored rows always lose.
-    Rows as of `latest_packed`."""
-    order = F.struct(F.lit(1).alias("fresh"), F.col(arrival).alias("at"))
-    fresh = incoming.withColumn("_order", order).drop(arrival)
+def stored_and_fresh(existing: DataFrame, incoming: DataFrame, arrival: str = "arrival") -> DataFrame:
+    """Stored rows (without `arrival`) and incoming ones together, with an `arrival` by which stored
+    rows always lose."""
     at = incoming.schema[arrival].dataType
+    order = F.struct(F.lit(1).alias("fresh"), F.col(arrival).alias("at"))
     stored_order = F.struct(F.lit(0).alias("fresh"), F.lit(None).cast(at).alias("at"))
-    stored = existing.withColumn("_order", stored_order)
-    return latest_packed(stored.unionByName(fresh), texts, arrival="_order")
+    return existing.withColumn(arrival, stored_order).unionByName(incoming.withColumn(arrival, order))
 
 
 def upsert_counts(records: DataFrame, source: str = "path") -> DataFrame:

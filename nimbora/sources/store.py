@@ -17,6 +17,8 @@ import re
 import uuid
 from dataclasses import dataclass
 from datetime import date, timedelta
+from functools import reduce
+from operator import or_
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,11 +27,15 @@ from pyspark.sql import types as T
 
 from nimbora.constants import DAY, KEY, METRIC_FIELDS
 from nimbora.operators.bands import band_join
-from nimbora.operators.upsert import keyed, latest_packed, merge_packed, unpacked
+from nimbora.operators.upsert import keyed, latest_placed, stored_and_fresh, unpacked
 from nimbora.sources.records import RECORD_COLUMNS
 
 BUCKET, YEAR, SNAPSHOT = "bucket", "year_text", "snapshot"
 LAYOUT = (BUCKET, YEAR)
+#: The keys of a folder are dealt to so many cells. A cell with more rows than both of these, a number and
+#: a share of its folder, may hold a key that alone has so many.
+CELL, CELLS = "cell", 256
+CROWD_ROWS, CROWD_SHARE = 100_000, 32
 TEXTS = "map<string,string>"
 STORED_SCHEMA = (
     f"{KEY} string, {DAY} string, {', '.join(f'{m} string' for m in METRIC_FIELDS)}, null_keys array<string>, "
@@ -115,15 +121,14 @@ class RecordStore:
     def upsert(self, records: DataFrame, arrival: str = "arrival") -> int:
         """Merge records in; the last arrival wins. Returns the rows attempted.
 
-        `records` is read twice, to name the folders and to merge; give a stable source. One upsert
-        at a time: of two that start from the same version the second to end raises, and stores
+        `records` is read three times, to name the folders, to find the ranges of days and stations that
+        tasks take, and to merge; give a stable source. Records travel once. One upsert at a time: of two that start from the same version the second to end raises, and stores
         nothing.
         """
         incoming = keyed(_complete(records)).select(*RECORD_COLUMNS, arrival)
         current = self.current()
         buckets = current.buckets if current else self._buckets
-        # At most buckets x years rows: names of folders.
-        touched = _placed(incoming, buckets).groupBy(*LAYOUT).count().collect()
+        touched = _folders(_placed(incoming, buckets))
         if not touched:
             return 0
         number = current.number + 1 if current else 1
@@ -133,10 +138,11 @@ class RecordStore:
             old = self.zones(current)
             kept = old.join(F.broadcast(folders), [*LAYOUT], "left_anti")
             stored = self._read(old.join(F.broadcast(folders), [*LAYOUT], "left_semi")).drop(SNAPSHOT, *LAYOUT)
-            latest = merge_packed(stored, incoming, METRIC_FIELDS, arrival)
+            incoming = stored_and_fresh(stored, incoming, arrival)
         else:
-            kept, latest = None, latest_packed(incoming, METRIC_FIELDS, arrival)
-        self._write(_placed(latest, buckets), snapshot)
+            kept = None
+        placed = _placed(incoming, buckets)
+        self._write(latest_placed(placed, METRIC_FIELDS, LAYOUT, _crowded(touched), arrival), snapshot)
         zones = self._zones_of(snapshot)
         if kept is not None:
             zones = zones.unionByName(kept.select(zones.columns))
@@ -145,11 +151,8 @@ class RecordStore:
         return sum(r["count"] for r in touched)
 
     def _write(self, records: DataFrame, snapshot: str) -> None:
-        """Write records whose texts are packed; they travel once more like that."""
-        # By range, so that one folder may be the work of many tasks.
-        order = (*LAYOUT, KEY, DAY)
-        spread = records.repartitionByRange(*order).sortWithinPartitions(*order)
-        unpacked(spread, METRIC_FIELDS).write.partitionBy(*LAYOUT).parquet(f"{self.path}/data/{SNAPSHOT}={snapshot}")
+        """Write records in order, whose texts are packed. One folder may be the work of many tasks."""
+        unpacked(records, METRIC_FIELDS).write.partitionBy(*LAYOUT).parquet(f"{self.path}/data/{SNAPSHOT}={snapshot}")
 
     def _zones_of(self, snapshot: str) -> DataFrame:
         folder = F.regexp_extract("_metadata.file_path", rf"/data/({SNAPSHOT}=.*)/[^/]*$", 1).alias("folder")
@@ -263,6 +266,30 @@ def _placed(records: DataFrame, buckets: int) -> DataFrame:
     return records.withColumn(BUCKET, _bucket(F.col(KEY), buckets)).withColumn(YEAR, _year(F.col(DAY)))
 
 
+def _cell() -> Column:
+    return F.pmod(F.xxhash64(KEY, DAY), F.lit(CELLS)).cast("int")
+
+
+def _folders(placed: DataFrame) -> list:
+    """(bucket, year_text, count, crowded) of each folder: at most buckets x years rows, each with the
+    few cells, fewer than CROWD_SHARE, that hold very many of its records."""
+    cells = placed.groupBy(*LAYOUT, _cell().alias(CELL)).agg(F.count("*").alias("held"))
+    folders = cells.groupBy(*LAYOUT).agg(
+        F.sum("held").alias("count"), F.collect_list(F.struct("held", CELL)).alias("cells")
+    )
+    much = F.greatest(F.lit(CROWD_ROWS), F.col("count") / CROWD_SHARE)
+    crowded = F.transform(F.filter("cells", lambda c: c["held"] > much), lambda c: c[CELL])
+    return folders.select(*LAYOUT, "count", crowded.alias("crowded")).collect()
+
+
+def _crowded(folders: list) -> Column | None:
+    """Whether a placed record lies in a crowded cell; None where there are none."""
+    crowds = [
+        (F.col(BUCKET) == f[BUCKET]) & (F.col(YEAR) == f[YEAR]) & _cell().isin(f["crowded"]) for f in folders if f["crowded"]
+    ]
+    return reduce(or_, crowds) if crowds else None
+
+
 def _complete(records: DataFrame) -> DataFrame:
     """Fill in the optional parts of the record layout."""
     if "null_keys" not in records.columns:

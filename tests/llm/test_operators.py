@@ -59,12 +59,15 @@ def test_chunked_ids_equal_whole_ids(name, texts):
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_plain_chunks_go_to_the_model_word_by_word(name):
+    from tokenizers import Tokenizer
+
     path, rng = P.path(name), np.random.default_rng(6)
+    library = Tokenizer.from_file(path)
     signs = [*"aB1é ÉßÞ×÷ªµ!#'|<\n\t\x1c\x00\x7f", "'s", "'LL", "  ", "e\u0301", "İ", "Σ", "漢", "</w>", "Ġ", "\u2028"]
     some = ["".join(rng.choice(signs, rng.integers(1, 12))) for _ in range(3000)]
     coder = tokens.ChunkEncoder(path, memo_chunks=200, memo_words=100)
     for text, ids in zip(some, coder.encode(some)):
-        assert np.frombuffer(ids, coder.dtype).tolist() == full_ids(path, text), text
+        assert np.frombuffer(ids, coder.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, text
     want = full_ids(path, "Grüße, new words! don't 12 stop")
     coder.tokenizer = None  # plain chunks do without the steps before the model
     ids = coder.encode(["Grüße, new words! don't 12 stop"])[0]

@@ -9,6 +9,7 @@ from catalog import queries
 from nimbora.constants import DAY, KEY, METRIC_FIELDS
 from nimbora.functions.packing import pack_texts, split_texts, unpack_texts
 from nimbora.operators.upsert import latest_records
+from nimbora.sources import store as store_module
 from nimbora.sources.store import RecordStore
 
 ODD = ["", None, "\x1f", "\x1b", "\x1bn", "\x1bs\x1f", "\x1be", "Ip", "0,0", "ñ\x1f\x1b\x1f", " ", "\n"]
@@ -66,6 +67,42 @@ def test_store_writes_rows_that_travel_packed(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(r[:-2] for r in rows)
 
 
+def test_records_travel_to_the_store_once(spark, tmp_path, monkeypatch):
+    rows = [("A", f"2020-01-{d:02d}", *["1,5"] * len(METRIC_FIELDS), [], d) for d in range(1, 9)]
+    plans, write = [], RecordStore._write
+
+    def spied(self, records, snapshot):
+        plans.append(_plan(records))
+        write(self, records, snapshot)
+
+    monkeypatch.setattr(RecordStore, "_write", spied)
+    store = RecordStore(spark, str(tmp_path / "store"), buckets=2)
+    store.upsert(_records(spark, rows[:5]))
+    store.upsert(_records(spark, rows[3:]))
+    assert [p.count("Exchange ") for p in plans] == [1, 1], plans
+    assert all("rangepartitioning" in p for p in plans)
+
+
+def test_crowded_keys_are_thinned_first(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "CROWD_ROWS", 20)
+    plans, write = [], RecordStore._write
+
+    def spied(self, records, snapshot):
+        plans.append(_plan(records))
+        write(self, records, snapshot)
+
+    monkeypatch.setattr(RecordStore, "_write", spied)
+    days = [f"2020-{m:02d}-{d:02d}" for m in (1, 2, 3) for d in range(1, 28)]
+    rows = [("A", day, *[f"{i},5"] * len(METRIC_FIELDS), [], i) for i, day in enumerate(days)]
+    much = [("A", days[4], *[f"{i},0"] * len(METRIC_FIELDS), [], i) for i in range(100, 300)]
+    store = RecordStore(spark, str(tmp_path / "store"), buckets=1)
+    assert store.upsert(_records(spark, much + rows)) == len(rows) + len(much)
+    assert store.upsert(_records(spark, [(*r[:-1], r[-1] - 500) for r in much])) == len(much)
+    assert len(plans) == 2 and all(p.count("Exchange ") == 2 for p in plans), plans
+    got = {r[DAY]: r["prec"] for r in store.read().collect()}
+    assert got == {r[1]: r[2] for r in rows} | {days[4]: "299,0"} and len(got) == len(days)
+
+
 @pytest.fixture()
 def lines(spark, tmp_path):
     first = date(2000, 1, 1)
