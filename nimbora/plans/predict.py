@@ -25,6 +25,7 @@ from nimbora.operators.recursion import as_predictions, transform_path, tree_pat
 from nimbora.operators.specs import DEFAULT_CONFIG, LOOKBACK_DAYS, FeatureConfig
 from nimbora.operators.trees import ensemble_columns, mllib_ensemble
 from nimbora.plans.benchmark import LEAST_SQUARES, FoldLearner, fold_forecasts, union_features
+from nimbora.session import materialize
 from nimbora.sources.bundle import Manifest, load_bundle, load_config, save_bundle
 
 Learner = Callable[[DataFrame, FeatureConfig], FittedModel]
@@ -99,7 +100,8 @@ def run_prediction(
     config: FeatureConfig = DEFAULT_CONFIG,
     learner: Learner = fit_boosted_trees,
 ) -> DataFrame:
-    """Fit at the cutoff, then forecast."""
+    """Fit at the cutoff, then forecast. The series, which both read, is worked out once."""
+    series = materialize(series, "series")
     return run_forecast(series, fit_at(series, config, cutoff, learner), config, cutoff)
 
 

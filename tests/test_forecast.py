@@ -222,6 +222,17 @@ def test_fit_then_forecast_equals_one_go(series, learner, days):
     assert [r.actual for r in apart.orderBy("step").collect()][8:] == [days[79][0], *[None] * 5]
 
 
+def test_a_forecast_works_out_its_series_once(spark, monkeypatch):
+    from nimbora.plans import predict
+
+    seen = []
+    monkeypatch.setattr(predict, "fit_at", lambda series, *_: seen.append(series))
+    monkeypatch.setattr(predict, "run_forecast", lambda series, *_: seen.append(series) or series)
+    given = spark.range(5).withColumnRenamed("id", "row_index")
+    assert sorted(r[0] for r in run_prediction(given, START).collect()) == list(range(5))
+    assert seen[0] is seen[1] and all("nimbora-series" in f for f in seen[0].inputFiles()) and seen[0].inputFiles()
+
+
 def text_records(days):
     return [
         {"indicativo": "1082", "fecha": (START + timedelta(days=d)).isoformat(),
