@@ -25,6 +25,8 @@ TREES = 5
 BRANCH = 2
 SMALL = 256
 LEVELS = 3
+#: The rows of a larger node meet what is known of the node in so many parts.
+SALTS = 16
 #: The sketch of a set: a byte of the smallest hash in each of so many equal parts of the range.
 BINS = 512
 #: A pair is confirmed on full sets unless its sketches lie this many deviations below the
@@ -290,8 +292,6 @@ def _compare(rows: DataFrame, least: int) -> DataFrame:
 
 def leader_pairs(large: DataFrame, least: int) -> DataFrame:
     """Candidates between the rows of larger nodes and two members of the same node."""
-    salts = 16
-
     # Each task offers its own first and last row of a node, so a large node sends a few rows.
     row = F.struct("comp", "n", "tokens")
     leaders = (
@@ -308,10 +308,10 @@ def leader_pairs(large: DataFrame, least: int) -> DataFrame:
             "rep1",
             "rep2",
         )
-        .withColumn("salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        .withColumn("salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
     # A node may hold a third of all rows: each is met by its leaders under every salt.
-    salted = large.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(salts)).cast("int"))
+    salted = large.withColumn("salt", _salt())
     other = (F.col("comp") != F.col("comp1")) | (F.col("comp") != F.col("comp2"))
     met = salted.join(leaders, (F.col("node") == F.col("at")) & (F.col("salt") == F.col("salt2")) & other)
     fields = ["rep", "n", "tokens", "rep1", "n1", "tokens1", "rep2", "n2", "tokens2"]
@@ -320,13 +320,14 @@ def leader_pairs(large: DataFrame, least: int) -> DataFrame:
 
 def last_pairs(large: DataFrame, least: int) -> DataFrame:
     """Candidates in larger nodes at the last level: rows outside a node's largest known group
-    against all its rows, a block of about BLOCK of these with a block of about BLOCK of those."""
+    against all its rows, a block of about BLOCK of these with a block of about BLOCK of those.
+    Nodes of one group have no such rows."""
     import pyarrow as pa
 
     groups = large.groupBy("node", "comp").count()
     biggest = F.max_by(F.struct("comp", "count"), F.struct("count", "comp"))
     main = groups.groupBy("node").agg(biggest.alias("main"), F.sum("count").alias("all"))
-    main = main.select(
+    main = main.filter("main.count < all").select(
         "node",
         F.col("main.comp").alias("main"),
         F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"),
@@ -481,19 +482,34 @@ def near_duplicates(
     )
 
 
+def sized(rows: DataFrame) -> DataFrame:
+    """Rows (node, rep, comp) of the nodes that hold several groups, with the node's size.
+
+    A node has one count, so no row is made twice. Nodes of more than SMALL rows, any of which may
+    hold a third of all, meet theirs under every salt.
+    """
+    counts = (
+        rows.groupBy("node")
+        .agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
+        .filter("c1 < c2")
+        .select("node", "size")
+    )
+    # Written, so that Spark knows their size: where they are few, no row moves to meet them.
+    counts, _ = write_scratch(counts, "nodes")
+    small = rows.join(counts.filter(F.col("size") <= SMALL), "node")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salted = counts.filter(F.col("size") > SMALL).withColumn("salt", salts)
+    large = rows.withColumn("salt", _salt()).join(salted, ["node", "salt"]).drop("salt")
+    return small.unionByName(large)
+
+
+def _salt():
+    return F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")
+
+
 def _links(base, docs, shingle, least, text):
     """Confirmed links between classes, enough of them for the groups."""
 
-    def sized(rows):
-        """Nodes of several groups, with their size."""
-        counts = (
-            rows.groupBy("node")
-            .agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
-            .filter("c1 < c2")
-            .select("node", "size")
-        )
-        return rows.join(counts, "node")
-
     def confirmed(pairs):
         distinct, _ = write_scratch(pairs.distinct(), "pairs")
         out, _ = write_scratch(confirm(distinct, docs, shingle, least, text), "confirmed")
@@ -501,34 +517,31 @@ def _links(base, docs, shingle, least, text):
 
     def grouped(links):
         groups = components(links).withColumnRenamed("v", "rep")
-        return base.join(groups, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-
-    classes = base.withColumn("comp", F.col("rep"))
-    lean = first_level(base).withColumn("comp", F.col("rep"))
-    rows, _ = write_scratch(sized(lean).drop("comp").join(classes, "rep"), "level")
-    small, large = rows.filter(F.col("size") <= SMALL), rows.filter(F.col("size") > SMALL)
-    pairs = small_pairs(small, least).unionByName(leader_pairs(large, least))
-    links = confirmed(pairs)
+        return base.select("rep").join(groups, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+
+    def level_of(lean):
+        """Small and large nodes of several groups, with tokens."""
+        # Counting and keeping both read the nodes, so they are made once, without tokens.
+        lean, _ = write_scratch(lean, "children")
+        rows, _ = write_scratch(sized(lean).join(base, "rep"), "level")
+        return rows.filter(F.col("size") <= SMALL), rows.filter(F.col("size") > SMALL)
+
+    small, large = level_of(first_level(base).withColumn("comp", F.col("rep")))
+    links = confirmed(small_pairs(small, least).unionByName(leader_pairs(large, least)))
     if not large.limit(1).count():
         return links
+    # Nodes whose classes are in one group by now have such children only, which `sized` drops.
     classes, _ = write_scratch(grouped(links), "grouped")
     found = None
-    large = large.drop("comp").join(classes.select("rep", "comp"), "rep")
-    large, _ = write_scratch(sized(large.drop("size")), "level")
-    if not large.limit(1).count():
-        return links
     for level in range(2, LEVELS + 1):
-        # Counting and keeping both read the children, so they are made once, without tokens.
-        below, _ = write_scratch(next_level(large), "children")
-        rows, _ = write_scratch(sized(below).join(base, "rep"), "level")
-        small, large = rows.filter(F.col("size") <= SMALL), rows.filter(F.col("size") > SMALL)
+        below = next_level(large)
+        if level == 2:
+            below = below.drop("comp").join(classes, "rep")
+        small, large = level_of(below)
         pairs = small_pairs(small, least).unionByName(leader_pairs(large, least))
         found = pairs if found is None else found.unionByName(pairs)
         if not large.limit(1).count():
             return links.unionByName(confirmed(found))
     links = links.unionByName(confirmed(found))
-    classes = grouped(links).select("rep", "comp")
-    large, _ = write_scratch(sized(large.drop("comp", "size").join(classes, "rep")), "level")
-    if not large.limit(1).count():
-        return links
+    large, _ = write_scratch(large.drop("comp", "size").join(grouped(links), "rep"), "level")
     return links.unionByName(confirmed(last_pairs(large, least)))

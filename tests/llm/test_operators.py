@@ -2,10 +2,12 @@
 
 import re
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from nimbora.llm import (
     inner_product, language, licenses, multi_index, near_dedup, packing, personal_data, pieces,
@@ -181,6 +183,27 @@ def test_repeated_keys_link_by_each_of_their_texts(spark):
     assert got == {k: {(c, c == k)} for k, c in want.items()} | {None: {(None, True)}}
 
 
+def test_a_large_node_meets_its_size_in_many_tasks(spark):
+    rng = np.random.default_rng(6)
+    large = [(7, int(r), int(r)) for r in rng.integers(0, 1 << 60, 4000)]
+    small = [(n, r, r) for n in range(100, 120) for r in range(n, n + 3)]
+    rows = spark.createDataFrame(large + small + [(8, r, 1) for r in range(300)] + [(9, 1, 1)], "node long, rep long, comp long")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        got = near_dedup.sized(rows).select("node", "rep", "comp", "size", F.spark_partition_id().alias("at")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # Nodes of one group go, the others keep each row once.
+    assert sorted((r["node"], r["rep"], r["comp"]) for r in got) == sorted(large + small)
+    assert all(r["size"] == (4000 if r["node"] == 7 else 3) for r in got)
+    tasks = Counter(r["at"] for r in got if r["node"] == 7)
+    assert len(tasks) > 4 and max(tasks.values()) < 2000
+
+
 def test_groups_of_the_last_level_are_bounded(spark, monkeypatch):
     from pyspark.sql import GroupedData
 
