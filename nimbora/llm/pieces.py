@@ -33,10 +33,13 @@ WORDS_AT_ONCE, TEXT_AT_ONCE = 50_000, 2_000_000
 LONG_WORD = 64
 #: A code point fits into so many bits.
 CHARACTER_BITS = 21
+#: Edges of the tree of pieces are hashed to so many bits.
+SLOT_BITS, ODD = 20, np.uint64(0x9E3779B97F4A7C15)
 #: Added to the lowest score of the vocabulary for a character without a piece. Fixed value.
 UNKNOWN_PENALTY = 10.0
 #: Counted scores are multiples of this, so that their sums are exact and equal scores tie.
 SCORE_STEP = 2.0**-16
+CUT = "\0"
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -65,6 +68,7 @@ class PieceModel:
         self.mark_first = model.normalize("a").startswith(MARK)
         self.memo: dict[str, tuple] = {}
         self.searched: dict[str, tuple] = {}
+        self.decoded_parts: dict[bytes, str] = {}
 
     def _trie(self):
         """The beginnings of pieces as arrays: an edge is its node's number and a character. ASCII
@@ -75,9 +79,31 @@ class PieceModel:
         edges = np.array([number[p[:-1]] << CHARACTER_BITS | ord(p[-1]) for p in begins], np.int64)
         order = np.argsort(edges)
         self.edges, self.below = edges[order], 1 + order
+        # An edge is found at its hash; of several at one, all but the last are in a sorted list.
+        at = np.arange(len(edges), dtype=np.int32)
+        self.slots = np.zeros(1 << SLOT_BITS, np.int32)
+        self.slots[self._slot(self.edges)] = at
+        self.crowded = at[self.slots[self._slot(self.edges)] != at]
+        self.crowded_edges = self.edges[self.crowded]
         self.score_at = np.array([float("nan")] + [v[0] if v else float("nan") for v in begins.values()])
         self.id_at = np.array([0] + [int.from_bytes(v[1], "little") if v else 0 for v in begins.values()], "<u4")
 
+    @staticmethod
+    def _slot(edges: np.ndarray) -> np.ndarray:
+        return (edges.astype(np.uint64) * ODD) >> np.uint64(64 - SLOT_BITS)
+
+    def _edges_of(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of these edges, and whether there is such an edge."""
+        at = self.slots[self._slot(asked)]
+        ok = self.edges[at] == asked
+        missed = np.flatnonzero(~ok)
+        if len(missed) and len(self.crowded):
+            sought = asked[missed]
+            place = np.minimum(np.searchsorted(self.crowded_edges, sought), len(self.crowded) - 1)
+            ok[missed] = self.crowded_edges[place] == sought
+            at[missed] = self.crowded[place]
+        return at, ok
+
     def normal(self, text: str) -> str:
         """The library's own normal form of the text, spaces as marks."""
         return self.processor.normalize(text) if text else ""
@@ -87,7 +113,13 @@ class PieceModel:
         return self.parts(self.normal(text))
 
     def parts(self, normal: str) -> list[str]:
-        return WORD.findall(normal) if self.mark_cuts else [normal] if normal else []
+        if not self.mark_cuts:
+            return [normal] if normal else []
+        if MARK + MARK in normal or CUT in normal:
+            return WORD.findall(normal)
+        # Without marks in a row a word begins at each of them.
+        words = normal.replace(MARK, CUT + MARK).split(CUT)
+        return words if words[0] else words[1:]
 
     def own_ids(self, words: list[str]) -> list[list[int]]:
         """The library's own encoding of parts of normal texts."""
@@ -195,8 +227,7 @@ class PieceModel:
             live, node, n = rows, np.zeros(len(rows), np.int64), 0
             while len(live):
                 asked = node << CHARACTER_BITS | letters[text[live] + i + n]
-                at = np.minimum(np.searchsorted(self.edges, asked), len(self.edges) - 1)
-                ok = self.edges[at] == asked
+                at, ok = self._edges_of(asked)
                 live, node, n = live[ok], self.below[at[ok]], n + 1
                 score = self.score_at[node]
                 piece = score == score
@@ -273,8 +304,12 @@ class PieceModel:
         scores, ids, losses = zip(*found)
         best, score = b"".join(ids), float(sum(scores))
         # A text that changes a word of larger loss is worse than n_best - 1 single changes.
-        least = heapq.nsmallest(self.n_best - 1, zip(losses, range(len(words))))
-        places = [i for loss, i in least if loss < float("inf")]
+        places, losses = [], list(losses)
+        for _ in range(min(self.n_best - 1, len(words))):
+            if (least := min(losses)) == float("inf"):
+                break
+            places.append(i := losses.index(least))
+            losses[i] = float("inf")
         if not places:
             return [(score, best, [])]
         ends = list(accumulate(map(len, ids)))
@@ -319,7 +354,15 @@ class PieceModel:
 
     def same_decoded(self, changes: list[tuple[bytes, bytes]]) -> bool:
         """Whether each changed word decodes as before; so does the text then, piece by piece."""
-        return all(self.decode_bytes(a) == self.decode_bytes(b) for a, b in changes)
+        return all(self._decoded_part(a) == self._decoded_part(b) for a, b in changes)
+
+    def _decoded_part(self, ids: bytes) -> str:
+        found = self.decoded_parts.get(ids)
+        if found is None:
+            if len(self.decoded_parts) > MEMO_SEARCHED:
+                self.decoded_parts.clear()
+            found = self.decoded_parts[ids] = self.decode_bytes(ids)
+        return found
 
 
 def piece_model(path: str, n_best: int, scores: np.ndarray | None = None) -> PieceModel:

@@ -399,6 +399,19 @@ def test_forward_pass_over_many_words(texts):
     assert all(small.n_best_of(t or "") == model.n_best_of(t or "") for _, t in texts)
 
 
+def test_edges_and_parts_are_found_as_by_search(texts):
+    model = pieces.PieceModel(str(P.path("piece_bpe_32k.model")), 4)
+    assert len(model.crowded)  # hashes that several edges share
+    rng = np.random.default_rng(5)
+    asked = np.concatenate([model.edges, model.edges + 1, rng.integers(0, model.edges.max(), 5000)])
+    at, ok = model._edges_of(asked)
+    assert (ok == np.isin(asked, model.edges)).all() and (model.edges[at[ok]] == asked[ok]).all()
+    m = pieces.MARK
+    odd = ["", m, m + m, "a", "a" + m, m + "a" + m + m + "b", "a" + m + "\0b" + m + "c", "\0", m + "a\nb" + m + "c"]
+    for normal in odd + [model.normal(t or "") for _, t in texts]:
+        assert model.parts(normal) == pieces.WORD.findall(normal)
+
+
 def test_first_segmentation_is_that_of_the_library(spark, texts):
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2
