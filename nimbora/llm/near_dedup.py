@@ -191,23 +191,22 @@ def first_level(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "tokens").mapInArrow(nodes, "node long, rep long")
 
 
-def next_level(large: DataFrame) -> DataFrame:
-    """(node, rep, comp) of the children of larger nodes."""
+def next_level(held: DataFrame) -> DataFrame:
+    """(rep, below) of classes with their larger nodes: the children of all of these."""
     import pyarrow as pa
 
     def nodes(batches):
         for batch in batches:
             if batch.num_rows:
-                node = _long(batch.column(0)).view(np.uint64)
-                below = _children(node, _tokens(batch.column(3)))
-                for b in range(BRANCH):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(below[:, b].view(np.int64)), batch.column(1), batch.column(2)],
-                        ["node", "rep", "comp"],
-                    )
+                large = batch.column(1)
+                each = np.diff(large.offsets.to_numpy())
+                node = _long(large.flatten()).view(np.uint64)
+                below = _children(node, np.repeat(_tokens(batch.column(2)), each, axis=0))
+                ends = np.concatenate([[0], np.cumsum(each * BRANCH)]).astype(np.int32)
+                children = pa.ListArray.from_arrays(pa.array(ends), pa.array(below.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), children], ["rep", "below"])
 
-    fields = "node long, rep long, comp long"
-    return large.select("node", "rep", "comp", "tokens").mapInArrow(nodes, fields)
+    return held.select("rep", "large", "tokens").mapInArrow(nodes, "rep long, below array<long>")
 
 
 def _similar(n1, s1, n2, s2, least):
@@ -485,15 +484,24 @@ def near_duplicates(
 def sized(rows: DataFrame) -> DataFrame:
     """Rows (node, rep, comp) of the nodes that hold several groups, with the node's size.
 
-    A node has one count, so no row is made twice. Nodes of more than SMALL rows, any of which may
-    hold a third of all, meet theirs under every salt.
+    Nodes of up to SMALL rows that hold the same classes give the same pairs, so one of them is
+    kept; they are known by size, groups and 64-bit hashes of their classes. A node has one count,
+    so no row is made twice. Nodes of more than SMALL rows, any of which may hold a third of all,
+    meet theirs under every salt.
     """
     counts = (
         rows.groupBy("node")
-        .agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
+        .agg(
+            F.count(F.lit(1)).alias("size"),
+            F.min("comp").alias("c1"),
+            F.max("comp").alias("c2"),
+            F.bit_xor(F.xxhash64("rep")).alias("who"),
+        )
         .filter("c1 < c2")
-        .select("node", "size")
     )
+    # A larger node branches by its own path, whatever else holds its classes.
+    own = F.when(F.col("size") > SMALL, F.col("node")).alias("own")
+    counts = counts.groupBy("size", "c1", "c2", "who", own).agg(F.min("node").alias("node")).select("node", "size")
     # Written, so that Spark knows their size: where they are few, no row moves to meet them.
     counts, _ = write_scratch(counts, "nodes")
     small = rows.join(counts.filter(F.col("size") <= SMALL), "node")
@@ -519,29 +527,40 @@ def _links(base, docs, shingle, least, text):
         groups = components(links).withColumnRenamed("v", "rep")
         return base.select("rep").join(groups, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
 
-    def level_of(lean):
-        """Small and large nodes of several groups, with tokens."""
+    def level_of(lean, base):
+        """Candidates of a level, its classes (rep, n, tokens, large) with their larger nodes of
+        several groups, and the rows of these nodes. A class meets its tokens once, whatever the
+        number of its nodes."""
         # Counting and keeping both read the nodes, so they are made once, without tokens.
         lean, _ = write_scratch(lean, "children")
-        rows, _ = write_scratch(sized(lean).join(base, "rep"), "level")
-        return rows.filter(F.col("size") <= SMALL), rows.filter(F.col("size") > SMALL)
+        fits = F.col("size") <= SMALL
+        nodes = sized(lean).groupBy("rep").agg(
+            F.first("comp").alias("comp"),
+            F.collect_list(F.when(fits, F.col("node"))).alias("small"),
+            F.collect_list(F.when(~fits, F.col("node"))).alias("large"),
+        )
+        nodes, _ = write_scratch(nodes, "nodes-of")
+        if nodes.count() <= SENT_IDS:
+            base = base.join(F.broadcast(nodes.select("rep")), "rep", "left_semi")
+        held, _ = write_scratch(nodes.join(base, "rep"), "level")
+        small, large = (held.select(F.explode(c).alias("node"), "rep", "comp", "n", "tokens") for c in ("small", "large"))
+        large, _ = write_scratch(large, "large")
+        pairs = small_pairs(small, least).unionByName(leader_pairs(large, least))
+        return pairs, held.filter(F.size("large") > 0).select("rep", "n", "tokens", "large"), large
 
-    small, large = level_of(first_level(base).withColumn("comp", F.col("rep")))
-    links = confirmed(small_pairs(small, least).unionByName(leader_pairs(large, least)))
+    pairs, held, large = level_of(first_level(base).withColumn("comp", F.col("rep")), base)
+    links = confirmed(pairs)
     if not large.limit(1).count():
         return links
     # Nodes whose classes are in one group by now have such children only, which `sized` drops.
     classes, _ = write_scratch(grouped(links), "grouped")
     found = None
-    for level in range(2, LEVELS + 1):
-        below = next_level(large)
-        if level == 2:
-            below = below.drop("comp").join(classes, "rep")
-        small, large = level_of(below)
-        pairs = small_pairs(small, least).unionByName(leader_pairs(large, least))
+    for _level in range(2, LEVELS + 1):
+        below = next_level(held).join(classes, "rep").select(F.explode("below").alias("node"), "rep", "comp")
+        pairs, held, large = level_of(below, held.drop("large"))
         found = pairs if found is None else found.unionByName(pairs)
         if not large.limit(1).count():
             return links.unionByName(confirmed(found))
     links = links.unionByName(confirmed(found))
-    large, _ = write_scratch(large.drop("comp", "size").join(grouped(links), "rep"), "level")
+    large, _ = write_scratch(large.drop("comp").join(grouped(links), "rep"), "level")
     return links.unionByName(confirmed(last_pairs(large, least)))

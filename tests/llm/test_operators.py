@@ -204,6 +204,29 @@ def test_a_large_node_meets_its_size_in_many_tasks(spark):
     assert len(tasks) > 4 and max(tasks.values()) < 2000
 
 
+def test_small_nodes_of_the_same_classes_are_compared_once(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL", 4)
+    same = [(n, r, r) for n in range(10) for r in (1, 2, 3)]
+    other = [(20, 1, 1), (20, 2, 2), (21, 1, 1), (21, 3, 3), (21, 4, 4), (22, 1, 1), (22, 3, 3), (22, 5, 5)]
+    large = [(n, r, r) for n in (30, 31) for r in range(100, 105)]
+    rows = spark.createDataFrame(same + other + large, "node long, rep long, comp long").repartition(4)
+    got = sorted((r["node"], r["rep"], r["comp"]) for r in near_dedup.sized(rows).collect())
+    # Larger nodes branch by paths of their own, so both stay.
+    assert got == sorted(same[:3] + other + large)
+
+
+def test_children_of_a_class_are_made_in_one_row(spark):
+    rng = np.random.default_rng(8)
+    tokens = rng.integers(0, 1 << 32, (3, near_dedup.COORDINATES), dtype=np.uint32)
+    nodes = [[5, -7, 11], [5], [-7, 13]]
+    rows = [(i, n, bytearray(t.tobytes() + b"\0" * near_dedup.BINS)) for i, (n, t) in enumerate(zip(nodes, tokens))]
+    held = spark.createDataFrame(rows, "rep long, large array<long>, tokens binary").coalesce(1)
+    got = {r["rep"]: r["below"] for r in near_dedup.next_level(held).collect()}
+    for i, own in enumerate(nodes):
+        below = near_dedup._children(np.array(own, np.int64).view(np.uint64), tokens[[i] * len(own)])
+        assert got[i] == below.ravel().view(np.int64).tolist()
+
+
 def test_groups_of_the_last_level_are_bounded(spark, monkeypatch):
     from pyspark.sql import GroupedData
 
